@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import quality
+from tallyforge.llm import exact, quality
 
 QUERIES = {
+    "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
 }
 ORACLE_SQL = {
+    "op5_cuckoo_exact_dedup": exact.SQL,
     "op7_quality_ledger": quality.SQL,
 }
