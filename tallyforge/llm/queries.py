@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import exact, quality
+from tallyforge.llm import chat, exact, quality
 
 QUERIES = {
+    "op1_chat_round_trip": chat.query,
     "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
 }
 ORACLE_SQL = {
+    "op1_chat_round_trip": chat.SQL,
     "op5_cuckoo_exact_dedup": exact.SQL,
     "op7_quality_ledger": quality.SQL,
 }
