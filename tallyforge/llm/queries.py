@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, quality
+from tallyforge.llm import chat, exact, quality, secrets
 
 QUERIES = {
+    "op3_secret_worklist": secrets.query,
     "op1_chat_round_trip": chat.query,
     "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
