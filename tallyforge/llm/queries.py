@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, quality, secrets
+from tallyforge.llm import chat, exact, pii, quality, secrets
 
 QUERIES = {
+    "op10_feistel_pseudonyms": pii.query,
     "op3_secret_worklist": secrets.query,
     "op1_chat_round_trip": chat.query,
     "op5_cuckoo_exact_dedup": exact.query,
