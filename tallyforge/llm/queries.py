@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, pii, quality, secrets
+from tallyforge.llm import chat, exact, lines, pii, quality, secrets
 
 QUERIES = {
+    "op6_line_windows": lines.query,
     "op10_feistel_pseudonyms": pii.query,
     "op3_secret_worklist": secrets.query,
     "op1_chat_round_trip": chat.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_quality_ledger": quality.query,
 }
 ORACLE_SQL = {
+    "op6_line_windows": lines.SQL,
     "op1_chat_round_trip": chat.SQL,
     "op5_cuckoo_exact_dedup": exact.SQL,
     "op7_quality_ledger": quality.SQL,
