@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, lines, pii, quality, secrets
+from tallyforge.llm import chat, exact, lines, mixing, pii, quality, secrets
 
 QUERIES = {
+    "op8_hierarchical_mix": mixing.query,
     "op6_line_windows": lines.query,
     "op10_feistel_pseudonyms": pii.query,
     "op3_secret_worklist": secrets.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_quality_ledger": quality.query,
 }
 ORACLE_SQL = {
+    "op8_hierarchical_mix": mixing.SQL,
     "op6_line_windows": lines.SQL,
     "op1_chat_round_trip": chat.SQL,
     "op5_cuckoo_exact_dedup": exact.SQL,
