@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, lines, mixing, pii, quality, secrets
+from tallyforge.llm import chat, exact, lines, minhash, mixing, pii, quality, secrets
 
 QUERIES = {
+    "op4_bag_minhash": minhash.query,
     "op8_hierarchical_mix": mixing.query,
     "op6_line_windows": lines.query,
     "op10_feistel_pseudonyms": pii.query,
