@@ -259,8 +259,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         if not all(sides):
             return
-        (a, la, sa), (b, lb, sb) = ((np.array([r[k] for r in s]) for k in (0, 1, 2)) for s in sides)
-        sa, sb = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SIZE) for s in (sa, sb))
+        (a, la), (b, lb) = ((np.array([r[k] for r in s]) for k in (0, 1)) for s in sides)
+        sa, sb = (np.frombuffer(b"".join(r[2] for r in s), np.uint8).reshape(-1, SIZE) for s in sides)
         for i in range(len(a)):
             hit = np.flatnonzero(((sb == sa[i]).sum(axis=1) >= LEAST_BYTES) & (lb != la[i]))
             for j in hit:
