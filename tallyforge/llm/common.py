@@ -45,3 +45,12 @@ def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text as an array; none for null."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5)
     return F.array_remove(F.split(flat, " "), "")
+
+
+def computed_once(column: Column) -> Column:
+    """The column, marked non-deterministic so that filters on it aren't rewritten to filters on its whole expression.
+
+    The optimizer would push those below the projections that share parts of the expression, and so evaluate nested
+    higher-order functions again for every element.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACES, table
+from tallyforge.llm.common import SPACES, computed_once, table
 
 LINES = 3
 _LEAST = -(1 << 63)
@@ -41,7 +41,8 @@ def _with_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
     window = lambda x, i: F.struct(F.xxhash64(x, at(i, 1), at(i, 2)).alias("h1"), F.xxhash64(F.lit(7), at(i, 2), x, at(i, 1)).alias("h2"), i.alias("at"))
     starts = F.slice("__l_hashes", F.lit(1), F.greatest(F.size("__l_hashes") - (LINES - 1), F.lit(0)))
     rows = rows.select("*", F.transform(starts, window).alias("__l_all"))
-    twice = F.size(F.array_distinct(F.transform("__l_all", lambda w: F.struct(w["h1"], w["h2"])))) < F.size("__l_all")
+    # Distinct longs are counted by hash, distinct structs would be compared in pairs.
+    twice = F.size(F.array_distinct(F.transform("__l_all", lambda w: w["h1"]))) < F.size("__l_all")
     rows = rows.select("*", F.when(twice, F.sort_array("__l_all")).alias("__l_sorted"))
     before = lambda i: F.get(F.col("__l_sorted"), F.greatest(i - 1, F.lit(0)))
     again = lambda w, i: (i > 0) & (w["h1"] == before(i)["h1"]) & (w["h2"] == before(i)["h2"])
@@ -50,7 +51,7 @@ def _with_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
         *own,
         "__l_id",
         "__l_mark",
-        F.when(F.col("__l_sorted").isNull(), F.col("__l_all")).otherwise(F.filter("__l_sorted", lambda w, i: ~again(w, i))).alias("__l_windows"),
+        computed_once(F.when(F.col("__l_sorted").isNull(), F.col("__l_all")).otherwise(F.filter("__l_sorted", lambda w, i: ~again(w, i)))).alias("__l_windows"),
         F.when(F.col("__l_sorted").isNotNull(), F.transform(F.filter("__l_sorted", again), lambda w: w["at"])).alias("__l_repeats"),
     )
 
@@ -79,7 +80,7 @@ def with_removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = rows.select("*", F.array_except(F.sequence(F.lit(0), F.size("__l_parts") - 1), gone).alias("__l_stay"))
     cleaned = F.array_join(F.transform("__l_stay", lambda i: F.get(F.col("__l_parts"), i)), "\n")
     own = [F.when(some, cleaned).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*own, F.when(some, F.size("__l_covered")).otherwise(F.lit(0)).cast("long").alias("__l_removed"))
+    return rows.select(*own, computed_once(F.when(some, F.size("__l_covered")).otherwise(F.lit(0)).cast("long")).alias("__l_removed"))
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACES, words
+from tallyforge.llm.common import SPACES, computed_once, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -92,7 +92,7 @@ def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         bits = bits.bitwiseOR(one)
     fields = [F.col(f"__q_measures.{m}").alias(m) for m in MEASURES]
     ledger = F.struct(*fields, bits.cast("long").alias("failure_bits"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), ledger.alias("__q_ledger"))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), computed_once(ledger).alias("__q_ledger"))
 
 
 def _on_measures(rule: Rule) -> Column:
