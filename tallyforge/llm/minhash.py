@@ -256,11 +256,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     now, sides = None, ([], [])
 
+    def columns(rows):
+        nodes, labels, sigs = zip(*rows, strict=True)
+        return np.array(nodes), np.array(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
+
     def pairs():
         if not all(sides):
             return
-        (a, la), (b, lb) = ((np.array([r[k] for r in s]) for k in (0, 1)) for s in sides)
-        sa, sb = (np.frombuffer(b"".join(r[2] for r in s), np.uint8).reshape(-1, SIZE) for s in sides)
+        (a, la, sa), (b, lb, sb) = map(columns, sides)
         for i in range(len(a)):
             hit = np.flatnonzero(((sb == sa[i]).sum(axis=1) >= LEAST_BYTES) & (lb != la[i]))
             for j in hit:
