@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, lines, minhash, mixing, pieces, pii, quality, secrets
+from tallyforge.llm import chat, exact, html, lines, minhash, mixing, pieces, pii, quality, secrets
 
 QUERIES = {
+    "op2_template_text": html.query,
     "op9_gumbel_pieces": pieces.query,
     "op4_bag_minhash": minhash.query,
     "op8_hierarchical_mix": mixing.query,
