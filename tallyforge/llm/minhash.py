@@ -9,9 +9,10 @@ weighted Jaccard similarity. Times of a process only grow, so a process stops at
 
 Texts of one multiset collapse to a node first. Nodes that agree in all rows of a band share a bucket. Each bucket
 pairs its members with its smallest node; pairs are verified exactly on the shingles. The rest, members of buckets that
-still hold several components, are compared in blocks: members outside of the component of the smallest node against
-all members, by signature bytes, then verified. So every link between two texts in a bucket is found or joins nodes that
-are connected already, and no bucket, however large, meets in one task or emits all its pairs. Components come from label
+still hold several components, meet in blocks of bounded size: members outside of the component of the smallest node
+against all members, nearest signature first, verified exactly inside of the block, where pairs that a link has connected
+meanwhile are skipped. So every link between two texts in a bucket is found or joins nodes that are connected already;
+no bucket, however large, meets in one task, and what is emitted are links of a spanning forest, never all pairs. Components come from label
 propagation with pointer jumping; every step is an aggregation or a join on tables in the shared folder.
 
 Nulls and edge cases: a text without words (null too) has no shingles and is a class of its own; of each class the
@@ -34,10 +35,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a pair misses all bands with a probability of 5e-5.
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Agreeing signature bytes that a pair of SIMILARITY falls short of at six standard deviations.
-LEAST_BYTES = int(SIZE * SIMILARITY - 6 * (SIZE * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Agreeing signature bytes that a pair of SIMILARITY falls short of at five standard deviations.
+LEAST_BYTES = int(SIZE * SIMILARITY - 5 * (SIZE * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 CHUNK = 1 << 22
-BLOCK = 2048
+BLOCK = 512
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -249,39 +250,80 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+class _Side:
+    """Members of a block: nodes, components, signature bytes, bands and units."""
+
+    def __init__(self, rows: list):
+        nodes, labels, sigs, bands, units = zip(*rows, strict=True)
+        self.nodes, self.labels = np.array(nodes), np.array(labels)
+        self.sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
+        self.bands = np.array(bands)
+        self.units = [np.frombuffer(u, np.uint64) for u in units]
+        self.sizes = np.array([len(u) for u in self.units])
+
+
+def _verified(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the others are similar to x."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return 100 * both >= round(SIMILARITY * 100) * (len(x) + sizes - both)
+
+
+def _block_links(bucket: int, left: _Side, right: _Side) -> Iterator[tuple[int, int]]:
+    """Links between components of two sides of a bucket, of pairs whose first common band this bucket is."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    percent = round(SIMILARITY * 100)
+    for i in range(len(left.nodes)):
+        own = left.sizes[i]
+        score = (right.sigs == left.sigs[i]).sum(axis=1)
+        fits = (score >= LEAST_BYTES) & (100 * np.minimum(own, right.sizes) >= percent * np.maximum(own, right.sizes))
+        spots = np.flatnonzero(fits & (right.labels != left.labels[i]))
+        if not len(spots):
+            continue
+        same = right.bands[spots] == left.bands[i]
+        spots = spots[right.bands[spots, same.argmax(axis=1)] == bucket]
+        spots = spots[np.argsort(-score[spots], kind="stable")]
+        label = int(left.labels[i])
+        for low in range(0, len(spots), 32):
+            part = [k for k in spots[low : low + 32] if find(int(right.labels[k])) != find(label)]
+            if not part:
+                continue
+            for k, good in zip(part, _verified(left.units[i], [right.units[k] for k in part]), strict=True):
+                other = find(int(right.labels[k]))
+                if good and other != find(label):
+                    parent[find(label)] = other
+                    yield int(min(left.nodes[i], right.nodes[k])), int(max(left.nodes[i], right.nodes[k]))
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks (bucket, i, j, side, node, label, bytes), a block's together and those of side 0 first -> pairs.
+    """Rows of blocks (bucket, i, j, side, then those of _Side), a block's together -> links.
 
-    A block has at most about BLOCK rows of either side.
+    A block has about BLOCK rows of either side.
     """
     now, sides = None, ([], [])
 
-    def columns(rows):
-        nodes, labels, sigs = zip(*rows, strict=True)
-        return np.array(nodes), np.array(labels), np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
-
-    def pairs():
-        if not all(sides):
-            return
-        (a, la, sa), (b, lb, sb) = map(columns, sides)
-        for i in range(len(a)):
-            hit = np.flatnonzero(((sb == sa[i]).sum(axis=1) >= LEAST_BYTES) & (lb != la[i]))
-            for j in hit:
-                yield (int(min(a[i], b[j])), int(max(a[i], b[j])))
-
-    def packed(found):
-        found = list(dict.fromkeys(found))
+    def packed():
+        found = list(_block_links(now[0], *map(_Side, sides))) if all(sides) else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
         for bucket, i, j, side, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != (bucket, i, j):
-                if now is not None and (found := list(pairs())):
-                    yield packed(found)
+                if now is not None:
+                    yield packed()
                 now, sides = (bucket, i, j), ([], [])
             sides[side].append(rest)
-    if found := list(pairs()):
-        yield packed(found)
+    if now is not None:
+        yield packed()
 
 
 class _Job:
@@ -306,13 +348,19 @@ class _Job:
         leads = spots.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
         return written(spots.join(leads.hint("merge"), "bucket"), self.folder, "members")
 
+    def units(self, wanted: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, units) of the wanted nodes, from the texts that stand for them."""
+        least = F.lit(-(1 << 63))
+        stands = wanted.join(nodes.select("node", F.coalesce("doc", least).alias("doc"), "mark"), "node")
+        texts = self.rows.withColumn("doc", F.coalesce("doc", least)).join(stands, ["doc", "mark"])
+        # Rows that repeat an id and its text give a node's units again.
+        found = texts.select("node", "text").mapInArrow(_contents, "node long, units binary")
+        return written(found.groupBy("node").agg(F.first("units").alias("units")), self.folder, f"{name}-units")
+
     def links(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose texts are similar, by their whole shingle multisets."""
         pairs = written(pairs, self.folder, f"{name}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        stands = wanted.join(nodes.select("node", "doc", "mark"), "node")
-        texts = self.rows.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))).join(stands.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))), ["doc", "mark"])
-        units = written(texts.select("node", "text").mapInArrow(_contents, "node long, units binary"), self.folder, f"{name}-units")
+        units = self.units(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, name)
         both = pairs.join(units.withColumnsRenamed({"node": "b", "units": "ub"}), "b").join(units.withColumnsRenamed({"node": "a", "units": "ua"}), "a")
         return written(both.select("a", "b", "ua", "ub").mapInArrow(_linked, "a long, b long").distinct(), self.folder, f"{name}-links")
 
@@ -334,17 +382,19 @@ class _Job:
             now = new.drop("changed")
 
     def rest(self, members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of members of one bucket that lie in different components and agree in enough signature bytes."""
+        """Links between members of one bucket that lie in different components."""
         whole = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         heads = whole.where("node = lead").select("bucket", F.col("label").alias("lead_label"))
         open_ = whole.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-        # A bucket whose members were all paired with the lead has nothing left to compare if it has two of them.
+        # A bucket of two was compared when its members were paired with the lead.
         open_ = open_.where("n > 2").join(heads, "bucket").select("bucket", "lead_label", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
         rows = written(whole.join(open_, "bucket").select("bucket", "node", "label", "lead_label", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("own")), self.folder, "open")
-        rows = rows.join(nodes.select("node", "bytes"), "node")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = rows.where("label <> lead_label").select("bucket", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node", "label", "bytes")
-        right = rows.select("bucket", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "label", "bytes")
+        if not rows.limit(1).count():
+            return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        rows = rows.join(nodes.select("node", "bytes", "bands"), "node").join(self.units(rows.select("node").distinct(), nodes, "open"), "node")
+        every, own = F.sequence(F.lit(0), F.col("blocks") - 1), ["node", "label", "bytes", "bands", "units"]
+        left = rows.where("label <> lead_label").select("bucket", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), *own)
+        right = rows.select("bucket", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *own)
         blocks = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
         return blocks.mapInArrow(_compared, "a long, b long").distinct()
 
@@ -358,9 +408,7 @@ class _Job:
         labels = self.labels(links, "star")
         more = written(self.rest(members, labels, nodes), self.folder, "rest")
         if more.limit(1).count():
-            found = self.links(more, nodes, "rest")
-            if found.limit(1).count():
-                labels = self.labels(links.unionByName(found), "all")
+            labels = self.labels(links.unionByName(more), "all")
         roots = nodes.select("node", "doc", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         groups = roots.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("size").alias("class_size"))
         found = roots.select("node", "label").join(groups, "label").select("node", "class_id", "class_size")
