@@ -33,7 +33,7 @@ from tallyforge.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 _SPACE, _LITERAL = 0x2581, 0x110000
 _BASE = 0xD1342543DE82EF95
@@ -119,6 +119,11 @@ class Vocabulary:
         return self.raw[at].tobytes()[1:]  # without the space put in front
 
 
+@lru_cache(1)
+def _store(vocab: Vocabulary) -> Store:
+    return Store()
+
+
 @lru_cache(4)
 def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -169,7 +174,7 @@ class Lattice:
         self.n_steps = np.zeros(n, np.int32)
         for slots, _, _ in found:
             self.n_steps[slots] += 1
-        order = np.argsort(to_end, kind="stable")
+        order = np.argsort(to_end.astype(np.uint16) if to_end.max(initial=0) < 1 << 16 else to_end, kind="stable")
         ends_at = np.cumsum(self.n_steps[order])
         self.begin = np.zeros(n, np.int64)
         self.begin[order] = ends_at - self.n_steps[order]
@@ -198,6 +203,50 @@ class Lattice:
         some = self.n_steps > 0
         self.upto[self.begin[some] + self.n_steps[some] - 1] = 2.0
 
+
+class Store:
+    """Lattices of the segments seen so far, one behind the other, so that a worker builds that of a common one once.
+
+    Segments are kept until there are ``KEPT``; those of later texts are overwritten by the next run's.
+    """
+
+    KEPT = 80_000
+    _SLOTS, _ENTRIES = {"begin": np.int64, "n_steps": np.int32}, {"ids": np.int32, "size": np.int32, "logp": np.float64, "upto": np.float64}
+
+    def __init__(self):
+        self.keys, self.first, self.n_slots, self.n_entries = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        for name, kind in (self._SLOTS | self._ENTRIES).items():
+            setattr(self, name, np.zeros(0, kind))
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        array = getattr(self, name)
+        if len(array) < at + len(values):
+            array = np.concatenate((array[:at], np.zeros(max(at // 2, 1 << 16) + len(values), array.dtype)))
+            setattr(self, name, array)
+        array[at : at + len(values)] = values
+
+    def slots(self, vocab: Vocabulary, chars: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The first slot of each of the segments, which are distinct and ordered by key."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        first = np.zeros(len(keys), np.int64)
+        first[known] = self.first[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            made = Lattice(vocab, chars, starts[new], ends[new])
+            first[new] = made.first + self.n_slots
+            self._put("begin", self.n_slots, made.begin + self.n_entries)
+            self._put("n_steps", self.n_slots, made.n_steps)
+            for name in self._ENTRIES:
+                self._put(name, self.n_entries, getattr(made, name))
+            if len(self.keys) + len(new) <= self.KEPT:
+                every, spots = np.concatenate((self.keys, keys[new])), np.concatenate((self.first, first[new]))
+                order = np.argsort(every)
+                self.keys, self.first = every[order], spots[order]
+                self.n_slots += len(made.begin)
+                self.n_entries += len(made.ids)
+        return first
+
     def choose(self, slots: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The entry taken at each slot."""
         at = self.begin[slots]
@@ -211,8 +260,8 @@ class Lattice:
 class Run:
     """The texts of one chunk: characters after a leading space each, segments, and paths sampled so far."""
 
-    def __init__(self, vocab: Vocabulary, texts: list[str], seeds: np.ndarray):
-        self.vocab, self.n = vocab, len(texts)
+    def __init__(self, vocab: Vocabulary, store: Store, texts: list[str], seeds: np.ndarray):
+        self.vocab, self.lattice, self.n = vocab, store, len(texts)
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         chars = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         chars[chars == _SPACE] = _LITERAL
@@ -229,13 +278,12 @@ class Run:
         self.ends = np.concatenate((self.starts[1:], [len(chars)])) if len(chars) else self.starts
         sums, inverses = _sums(chars)
         keys = _mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts] + _U(1)) + (self.ends - self.starts).astype(np.uint64)
-        _, one, self.kind = np.unique(keys, return_index=True, return_inverse=True)
-        self.lattice = Lattice(vocab, chars, self.starts[one], self.ends[one]) if len(chars) else None
+        keys, one, kind = np.unique(keys, return_index=True, return_inverse=True)
         self.place = np.arange(len(chars), dtype=np.uint64) - np.repeat(self.bounds[:-1], sizes).astype(np.uint64)
         self.slot = np.zeros(len(chars), np.int64)  # the lattice slot behind each character
         if len(chars):
-            lengths = self.ends - self.starts
-            self.slot = np.repeat(self.lattice.first[self.kind] - self.starts, lengths) + np.arange(len(chars))
+            first = store.slots(vocab, chars, keys, self.starts[one], self.ends[one])
+            self.slot = np.repeat(first[kind] - self.starts, self.ends - self.starts) + np.arange(len(chars))
 
     def _random(self, at: np.ndarray, use: int) -> np.ndarray:
         return _uniform(self.seed[self.doc[at]] + self.place[at] * _U(0xD6E8FEB86659FD93) + _U(use * int(_GOLD) % (1 << 64)))
@@ -353,7 +401,7 @@ _ENCODED = "key long, sample int, ids array<int>, n_pieces long, log_prob double
 
 def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED) -> Iterator[pa.RecordBatch]:
     """Record batches of ``_ENCODED``, k rows for a text if it has so many segmentations."""
-    row = 0
+    row, store = 0, _store(vocab)
     while row < len(texts):
         end, size = row, 0
         while end < len(texts) and (end == row or size + len(texts[end]) <= CHUNK):
@@ -361,8 +409,8 @@ def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int =
             end += 1
         own, ids = texts[row:end], keys[row:end]
         seeds = np.array([(-1 if x is None else x) & (1 << 64) - 1 for x in ids], np.uint64)
-        run = Run(vocab, own, _mix(seeds + np.array([x is None for x in ids]) * _GOLD) + _U(seed) * _U(0xA0761D6478BD642F))
-        if run.lattice is None:
+        run = Run(vocab, store, own, _mix(seeds + np.array([x is None for x in ids]) * _GOLD) + _U(seed) * _U(0xA0761D6478BD642F))
+        if not len(run.chars):
             paths, there, logp, after = [run.slot - 1] * k, np.zeros((k, run.n), bool), np.zeros((k, run.n)), np.full(run.n, -np.inf)
             there[0] = True
         else:
@@ -410,7 +458,10 @@ def encoded(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, alpha)
         for batch in batches:
-            yield from encode([t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist(), vocab, k, seed)
+            # A few rows at a time become Python strings.
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                yield from encode([t or "" for t in part.column(1).to_pylist()], part.column(0).to_pylist(), vocab, k, seed)
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(work, _ENCODED).withColumnRenamed("key", key)
