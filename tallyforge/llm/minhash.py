@@ -106,7 +106,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         total += words[k : k + len(total)] * _MIX_WORDS[k]
     n = np.maximum(counts - SHINGLE + 1, 0)
     docs = np.repeat(np.arange(len(counts)), n)
-    first = np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    first = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     long = mix(total[first])
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
     if not len(short):
@@ -133,7 +133,7 @@ def signatures(n_docs: int, docs: np.ndarray, items: np.ndarray, counts: np.ndar
     """BagMinHash signatures (n_docs x SIZE, times; inf for documents without shingles)."""
     blocks = np.where(counts > 1, np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 1)
     at = np.repeat(np.arange(len(items)), blocks)
-    block = np.arange(len(at)) - np.repeat(np.concatenate(([0], np.cumsum(blocks)[:-1])), blocks)
+    block = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     doc, count = docs[at], counts[at].astype(np.float64)
     width = np.where(block == 0, 1.0, 2.0 ** (block - 1))
     low = np.where(block == 0, 0.0, width)
@@ -226,7 +226,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, end, words, bounds in _chunks(batch.column(1)):
             docs, items, counts = bags(*shingles(words, bounds))
             at = np.repeat(np.arange(len(items)), counts)
-            nth = np.arange(len(at)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
             units, docs = mix(items[at] + nth.astype(np.uint64) * _U(0xD1B54A32D192ED03)), docs[at]
             order = np.lexsort((units, docs))
             units, cuts = units[order], np.searchsorted(docs, np.arange(end - row + 1))
@@ -267,7 +267,7 @@ def _verified(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(o) for o in others])
     flat = np.concatenate(others)
     at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
     return 100 * both >= round(SIMILARITY * 100) * (len(x) + sizes - both)
 
 

@@ -115,7 +115,7 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of a segmentation in UTF-8."""
         sizes = self.raw_at[ids + 1] - self.raw_at[ids]
-        at = np.repeat(self.raw_at[ids] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        at = np.repeat(self.raw_at[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         return self.raw[at].tobytes()[1:]  # without the space put in front
 
 
