@@ -78,7 +78,7 @@ def passk_summary(seeds: DataFrame, k: int) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     return seeds.agg(
         F.count(F.lit(1)).alias("total_seeds"),
-        F.count_if(F.col("actual_k") >= k).alias("seeds_with_full_k"),
+        F.count_if(F.col("actual_k") == k).alias("seeds_with_full_k"),
         F.count_if((F.col("actual_k") > 0) & (F.col("actual_k") < k)).alias("seeds_degraded"),
         mean("actual_k").alias("avg_actual_k"),
         mean(F.col("first_success").cast("int")).alias("pass1_functional"),

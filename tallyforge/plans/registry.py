@@ -44,7 +44,7 @@ def _valid(spark, d):
     return runs.valid_runs(_runs(spark, d))
 
 
-@query("passk_summary", _VALID, f"""SELECT count(*) AS total_seeds, count(*) FILTER (actual_k >= 3) AS seeds_with_full_k, count(*) FILTER (actual_k > 0 AND actual_k < 3) AS seeds_degraded,
+@query("passk_summary", _VALID, f"""SELECT count(*) AS total_seeds, count(*) FILTER (actual_k = 3) AS seeds_with_full_k, count(*) FILTER (actual_k > 0 AND actual_k < 3) AS seeds_degraded,
   coalesce(avg(actual_k), 0.0::DOUBLE) AS avg_actual_k, coalesce(avg(first_success::INT), 0.0::DOUBLE) AS pass1_functional, coalesce(avg(functional_pass::INT), 0.0::DOUBLE) AS passk_functional,
   coalesce(sum(first_s * n_req) / nullif(sum(n_req), 0)::DOUBLE, 0.0::DOUBLE) AS pass1_security, coalesce(sum(best_s * n_req) / nullif(sum(n_req), 0)::DOUBLE, 0.0::DOUBLE) AS passk_security,
   coalesce(avg(first_iterations), 0.0::DOUBLE) AS avg_iterations FROM ({_PER_SEED})""")
