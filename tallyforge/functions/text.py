@@ -243,3 +243,78 @@ def changes(old: Column, new: Column) -> Column:
 def prompt(name: Column, description: Column, question: Column, hint: Column) -> Column:
     """A task prompt: the question; from hint 1 the weakness's name, from hint 2 its description too."""
     return F.concat_ws("\n", question, F.when(hint >= 1, F.concat(F.lit("Weakness: "), name)), F.when(hint >= 2, F.concat(F.lit("Description: "), F.coalesce(description, F.lit("")))))
+
+
+def explanation(reply: Column) -> Column:
+    """The explanation of a test: its section up to the first fence, three sentences of it; else the prose before code."""
+    text = F.coalesce(reply, F.lit(""))
+    space = F.lit(" \t\n\r\x0b\x0c")
+    section = F.btrim(F.regexp_extract(text, r"(?is)Test Explanation:(.*?)(?:```|\z)", 1), space)
+    sentences = F.split(section, r"\.")
+    short = F.when(F.size(sentences) > 3, F.concat(F.array_join(F.slice(sentences, 1, 3), ". "), F.lit("."))).otherwise(section)
+    prose = F.transform(F.split(F.regexp_replace(text, r"(?s)(?m:^)[^\n]*(?:```|module ).*\z", ""), "\n"), lambda x: F.btrim(x, space))
+    lines = F.slice(F.filter(prose, lambda x: (x != "") & ~x.startswith("#")), 1, 3)
+    other = F.when(F.size(lines) > 0, F.array_join(lines, " ")).otherwise(F.lit("No explanation provided"))
+    return F.when(text.rlike(r"(?i)Test Explanation:"), short).otherwise(other)
+
+
+def reply_text(reply: Column) -> Column:
+    """The text of a reply that is JSON: a list of strings or of blocks, or a message with content; other text as it is."""
+    blocks = "array<struct<type: string, text: string, content: string>>"
+    said = lambda b: F.coalesce(F.when(b["type"] == "text", b["text"]), b["content"])
+    strings = F.when(reply.rlike(r'^\s*\["'), F.array_join(F.filter(F.from_json(reply, "array<string>"), lambda x: x != ""), "\n"))
+    listed = F.when(reply.rlike(r"^\s*\[\s*\{"), F.array_join(F.filter(F.transform(F.from_json(reply, blocks), said), lambda x: x.isNotNull()), "\n"))
+    message = F.when(reply.rlike(r"^\s*\{"), F.coalesce(F.get_json_object(reply, "$.content"), F.get_json_object(reply, "$.text")))
+    return F.coalesce(strings, listed, message, reply, F.lit(""))
+
+
+#: What makes a part of the hardware notes relevant.
+KNOWLEDGE = {
+    "verilog_timing": ("non-blocking", "blocking", "<=", "timing", "delay", "cycle"),
+    "verilog_syntax": ("function", "syntax", "error", "declaration"),
+    "common_contradictions": ("contradict", "conflict", "impossible", "mutually"),
+}
+
+
+def knowledge(language: Column, requirement: Column, code: Column, bench: Column, message: Column) -> Column:
+    """Names of the notes that fit a failure, in order; none for other languages than Verilog."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    whole = F.concat_ws(" ", low(requirement), low(code), low(bench), low(message))
+    found = [F.when(whole.rlike("|".join(words)), F.lit(name)) for name, words in KNOWLEDGE.items()]
+    found.append(F.when(low(bench).contains("testbench") | low(message).contains("tb"), F.lit("testbench_patterns")))
+    return F.when(F.lower(language) == "verilog", F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
+
+
+def flipped_hex(digits: Column) -> Column:
+    """Hex digits (of 64 bits at most) exclusive-or FF, in lower case."""
+    return F.lower(F.conv(F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long").bitwiseXOR(F.lit(255)).cast("string"), 10, 16))
+
+
+def intent(bench: Column) -> Column:
+    """What a test section sets and how it is timed: struct<signals, timing, expected>."""
+    sets = F.transform(F.slice(F.regexp_extract_all(bench, F.lit(r"(\w+\s*=\s*[01xb\d]+)"), F.lit(1)), 1, 5), lambda x: F.regexp_replace(x, r"\s+", ""))
+    clocks = F.regexp_count(bench, F.lit(r"@\(posedge clk\)"))
+    timing = F.when(clocks > 0, F.concat(clocks.cast("string"), F.lit(" clock cycles"))).when(bench.contains("#"), F.lit("time delays present")).otherwise(F.lit(""))
+    expected = F.trim(F.regexp_extract(bench, r"[Ee]xpect.*?(?:should|must|will).*?([^\n.]+)", 1))
+    return F.struct(sets.alias("signals"), timing.alias("timing"), expected.alias("expected"))
+
+
+def relevant_code(code: Column, most: int = 20) -> Column:
+    """Lines of always blocks, assignments, conditions and returns, a line once for each reason it counts; at most ``most``.
+
+    The depth of a block goes up by a line with begin and down by one with end; it closes at zero or below.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"), F.lit(0).alias("depth"))
+
+    def step(state, line):
+        opens = line.rlike(r"always @|always_ff @|always_comb")
+        inside, before = state["inside"] | opens, F.when(opens, 0).otherwise(state["depth"])
+        up = before + F.when(inside & line.contains("begin"), 1).otherwise(0)
+        ends = inside & line.contains("end")
+        depth = up - F.when(ends, 1).otherwise(0)
+        reasons = F.array(F.when(inside, line), F.when(F.ltrim(line).startswith("assign"), line), F.when(line.rlike("if|else|return"), line))
+        return F.struct(F.concat(state["kept"], F.array_compact(reasons)).alias("kept"), (inside & ~(ends & (depth <= 0))).alias("inside"), depth.alias("depth"))
+
+    kept = F.aggregate(F.split(code, "\n"), start, step, lambda s: s["kept"])
+    cut = F.concat(F.array_join(F.slice(kept, 1, most), "\n"), F.lit("\n... (truncated)"))
+    return F.when(F.size(kept) > most, cut).when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(F.concat(F.substring(code, 1, 500), F.lit("...")))

@@ -48,22 +48,30 @@ def breakdown(gated: DataFrame) -> DataFrame:
     )
 
 
+MEDIAN_BUCKETS = 4096
+
+
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """mean, min, max and upper median (element n div 2 of the ordered values); zeros for none.
 
-    Values are counted first and ranks are running sums over the distinct values, so no list of all values is built.
+    Values are counted, then summed up in equal ranges between the least and the largest; only the distinct values of the
+    range that holds the median are ordered.
     """
     from pyspark.sql import Window as W
 
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.orderBy("v"))
-    ranked = counts.select("v", "n", upto.alias("upto"), F.sum("n").over(W.partitionBy(F.lit(1))).alias("all"))
-    at = F.floor(F.col("all") / 2)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = counts.agg(F.sum(F.col("v") * F.col("n")).alias("sum"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    spread = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * MEDIAN_BUCKETS)).otherwise(0)
+    placed = counts.crossJoin(F.broadcast(all_)).withColumn("range", spread)  # all_ has one row
+    sums = placed.groupBy("range").agg(F.sum("n").alias("n"), F.first("all").alias("all"))  # at most MEDIAN_BUCKETS + 1 rows
+    upto = sums.withColumn("upto", F.sum("n").over(W.orderBy("range")))
+    spot = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("range").alias("range"), F.min_by(F.col("upto") - F.col("n"), "range").alias("before"))
+    inside = placed.join(F.broadcast(spot), "range").withColumn("upto", F.col("before") + F.sum("n").over(W.orderBy("v")))
+    median = inside.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias("median"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return ranked.agg(
-        zero(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), zero(F.min("v")).alias("least"), zero(F.max("v")).alias("most"),
-        zero(F.min(F.when(F.col("upto") > at, F.col("v")))).alias("median"),
-    )
+    return all_.crossJoin(F.broadcast(median)).select(
+        zero(F.try_divide(F.col("sum"), F.col("all").cast("double"))).alias("mean"), zero(F.col("lo")).alias("least"), zero(F.col("hi")).alias("most"), zero(F.col("median")).alias("median")
+    )
 
 
 def coverage_union(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import mutants as M
 from tallyforge.functions import text as T
-from tallyforge.operators import dedup, history, quality, runs, seeds
+from tallyforge.operators import dedup, history, loop, quality, runs, seeds
 from tallyforge.plans import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -672,6 +672,92 @@ def _(spark, d):
     return B.table(spark, d, "events").select("event_id", T.tagged_outputs(text)["FUNC-TEST-1"].alias("output"))
 
 
+# Loops over logs
+
+_TESTS = """SELECT if(event_id % 2 = 0, 'functional', 'security') AS suite, CAST(user_id AS INT) AS requirement_index, event_id AS seq, if(value > 30, '[TEST] PASS ', '[TEST] FAIL ') || event_type AS output, value > 30 AS passed FROM events"""
+
+
+def _tests(spark, d):
+    return B.table(spark, d, "events").selectExpr(
+        "if(event_id % 2 = 0, 'functional', 'security') AS suite", "cast(user_id AS int) AS requirement_index", "event_id AS seq", "concat(if(value > 30, '[TEST] PASS ', '[TEST] FAIL '), event_type) AS output", "value > 30 AS passed"
+    )
+
+
+@query("locked_rerun", "", f"""WITH t AS ({_TESTS}), p AS (SELECT suite, requirement_index, arg_min(passed, seq) AS passed, arg_min(output, seq) AS output FROM t GROUP BY suite, requirement_index), n AS (SELECT suite, requirement_index, arg_max(passed, seq) AS passed, arg_max(output, seq) AS output FROM t GROUP BY suite, requirement_index)
+SELECT p.suite, p.requirement_index, n.passed, if(p.passed AND n.passed, p.output, n.output) AS output, n.passed AS locked, CASE WHEN p.passed THEN p.output WHEN n.passed THEN n.output END AS expected_output FROM p JOIN n USING (suite, requirement_index)""")
+def _(spark, d):
+    rows, key = _tests(spark, d), ["suite", "requirement_index"]
+    first = rows.groupBy(*key).agg(F.min_by("passed", "seq").alias("passed"), F.min_by("output", "seq").alias("output"))
+    first = first.withColumns({"locked": F.col("passed"), "expected_output": F.when(F.col("passed"), F.col("output"))})
+    last = rows.groupBy(*key).agg(F.max_by("passed", "seq").alias("passed"), F.max_by("output", "seq").alias("output"))
+    return loop.rerun(first, last)
+
+
+_CONFLICTS = """SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'FUNCTIONAL-REQ-' ELSE 'security-req-' END || (user_id % 20) AS req1_id, if(event_id % 5 = 0, 'REQ', 'Security-REQ-') || (event_id % 20) AS req2_id, event_type AS reason FROM events"""
+
+
+@query("requirement_revisions", "", f"""WITH c AS ({_CONFLICTS}), ok AS (SELECT * FROM c WHERE regexp_matches(req2_id, '(?i)^(FUNCTIONAL|SECURITY)-REQ-\\d+')), s AS (SELECT req1_id AS own, req2_id AS other, seq, 1 AS nth, reason FROM ok UNION ALL SELECT req2_id, req1_id, seq, 2, reason FROM ok)
+SELECT lower(regexp_extract(own, '(?i)^(FUNCTIONAL|SECURITY)', 1)) AS suite, CAST(regexp_extract(own, '(\\d+)$', 1) AS INT) AS requirement_index, arg_min('Contradiction with ' || other || ': ' || reason, (seq, nth)) AS feedback FROM s GROUP BY 1, 2""")
+def _(spark, d):
+    conflicts = B.table(spark, d, "events").selectExpr(
+        "event_id AS seq", "concat(CASE event_id % 3 WHEN 0 THEN 'FUNCTIONAL-REQ-' ELSE 'security-req-' END, user_id % 20) AS req1_id", "concat(if(event_id % 5 = 0, 'REQ', 'Security-REQ-'), event_id % 20) AS req2_id", "event_type AS reason"
+    )
+    return loop.revisions(conflicts)
+
+
+@query("failure_details", "", """SELECT user_id, string_agg(d, '|' ORDER BY f DESC, event_id::VARCHAR) AS details FROM (SELECT user_id, event_id, event_id % 2 = 0 AS f, if(event_id % 2 = 0, '[Functional] ', '[Security] ') || event_id || if(event_id % 3 = 0, ' - ' || event_type, '') || chr(10) || '  Error: ' || props AS d FROM events WHERE value <= 30) GROUP BY user_id""")
+def _(spark, d):
+    rows = B.table(spark, d, "events").selectExpr("user_id", "if(event_id % 2 = 0, 'functional', 'security') AS suite", "cast(event_id AS string) AS test_id", "if(event_id % 3 = 0, event_type, '') AS description", "props AS error", "value > 30 AS passed")
+    return loop.failure_details(rows, "user_id").select("user_id", F.array_join("details", "|").alias("details"))
+
+
+@query("iteration_replay", "", """WITH t AS (SELECT l_orderkey AS uuid, l_suppkey % 2 AS run_index, l_linenumber AS iteration, avg((l_linestatus = 'F')::INT) FILTER (l_partkey % 2 = 0) AS f, avg((l_linestatus = 'F')::INT) FILTER (l_partkey % 2 = 1) AS s, coalesce(bool_and(l_linestatus = 'F') FILTER (l_partkey % 2 = 0), true) AS success FROM lineitem GROUP BY 1, 2, 3)
+SELECT uuid, run_index, iteration, coalesce(f, 0.0::DOUBLE) AS f_rate, coalesce(s, 0.0::DOUBLE) AS s_rate, success FROM t QUALIFY iteration <= coalesce(min(iteration) FILTER (success) OVER (PARTITION BY uuid, run_index), 1000)""")
+def _(spark, d):
+    tests = B.table(spark, d, "lineitem").selectExpr("l_orderkey AS uuid", "l_suppkey % 2 AS run_index", "l_linenumber AS iteration", "if(l_partkey % 2 = 0, 'functional', 'security') AS suite", "l_linestatus = 'F' AS passed")
+    return loop.scored_iterations(tests)
+
+
+@query("seeds_from_replies", "", """SELECT n_nationkey AS cwe_id, CAST(0 AS INT) AS nth, n_name AS question, 'c' AS language FROM nation WHERE n_nationkey % 2 = 0""")
+def _(spark, d):
+    reply = F.expr("""if(n_nationkey % 2 = 0, concat('```json {"seeds": [{"question": "', n_name, '", "language": "C"}, {"question": "x", "language": "rust"}, {"language": "c"}], "reasoning": "r"} ```'), 'sorry')""")
+    return loop.seeds_of(B.table(spark, d, "nation").select(F.col("n_nationkey").alias("cwe_id"), reply.alias("reply")))
+
+
+@query("history_without_suite", "attempts", "SELECT req, seq FROM attempts WHERE NOT starts_with(verdict, 'tb')")
+def _(spark, d):
+    return loop.without_prefix(B.attempts(spark, d), "verdict", "tb").select("req", "seq")
+
+
+@query("result_projection", "run_log runs", """SELECT uuid, '{"run_index":' || run_index || ',"success":' || success || ',"total_iterations":' || total_iterations || '}' AS json FROM runs""")
+def _(spark, d):
+    return _runs(spark, d).select("uuid", F.to_json(F.struct("run_index", "success", "total_iterations")).alias("json"))
+
+
+@query("explanations", "", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a ' || event_type || '. b. c.' WHEN 1 THEN 'first ' || event_type || ' second' ELSE 'No explanation provided' END AS explanation FROM events""")
+def _(spark, d):
+    reply = F.expr("CASE event_id % 3 WHEN 0 THEN concat('x Test explanation: a ', event_type, '. b. c. d. e ``` code') WHEN 1 THEN concat('# title\n first ', event_type, ' \n\nsecond\n```c\nthird') ELSE '```c\nx```' END")
+    return B.table(spark, d, "events").select("event_id", F.regexp_replace(T.explanation(reply), r"\.\s+", ". ").alias("explanation"))
+
+
+@query("reply_texts", "", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || chr(10) || event_type WHEN 1 THEN event_type || chr(10) || 'z' WHEN 2 THEN event_type ELSE 'plain' END AS text FROM events""")
+def _(spark, d):
+    reply = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('["a", "', event_type, '"]') WHEN 1 THEN concat('[{"type": "text", "text": "', event_type, '"}, {"content": "z"}]') WHEN 2 THEN concat('{"content": "', event_type, '"}') ELSE 'plain' END""")
+    return B.table(spark, d, "events").select("event_id", T.reply_text(reply).alias("text"))
+
+
+@query("hex_flips", "", "SELECT p_partkey, lower(to_hex(xor(p_partkey, 255))) AS flipped FROM part")
+def _(spark, d):
+    return B.table(spark, d, "part").select("p_partkey", T.flipped_hex(F.hex("p_partkey")).alias("flipped"))
+
+
+@query("knowledge_sections", "", """SELECT event_id, if(event_id % 2 = 0, '', CASE event_type WHEN 'error' THEN 'verilog_syntax' WHEN 'view' THEN 'verilog_timing,testbench_patterns' ELSE '' END) AS sections FROM events""")
+def _(spark, d):
+    message = F.expr("if(event_type = 'view', 'tb delay', event_type)")
+    rows = B.table(spark, d, "events")
+    return rows.select("event_id", F.array_join(T.knowledge(F.expr("if(event_id % 2 = 0, 'c', 'Verilog')"), F.lit("r"), F.lit("q"), F.lit(""), message), ",").alias("sections"))
+
+
 # Mutants and static coverage
 
 _CODE = """CASE doc_id % 3 WHEN 0 THEN concat('int f(int x) {\n  if (x) return ', doc_id, ' + 0x1f;\n  // skip 5\n  return x == 3 && x > 1;\n}')

@@ -182,3 +182,41 @@ def test_connectors(spark):
         assert connectors.run_c("int f(int x) { return x * 2; }", bench)["output"].strip() == "[CASE-1] PASS"
         assert connectors.run_c("int f(int x) {", bench)["compiled"] is False
     assert connectors.command(["sleep", "5"], 0.2, "/tmp")[0] is None
+
+
+def test_lock_state_machine(spark):
+    from tallyforge.operators import loop
+
+    schema = "suite string, requirement_index int, passed boolean, output string, locked boolean, expected_output string"
+    before = spark.createDataFrame([("f", 0, True, "PASS", True, "PASS"), ("f", 1, True, "PASS a", True, "PASS a"), ("f", 2, False, "FAIL", False, None), ("f", 3, False, "FAIL", False, None), ("f", 4, True, "PASS", True, "PASS")], schema)
+    new = spark.createDataFrame([("f", 0, "PASS  again", True), ("f", 1, "FAIL", False), ("f", 2, "PASS b", True), ("f", 3, "?", None)], "suite string, requirement_index int, output string, passed boolean")
+    got = {r.requirement_index: tuple(r)[2:] for r in loop.rerun(before, new).collect()}
+    assert got == {0: (True, "PASS", True, "PASS"), 1: (False, "FAIL", False, "PASS a"), 2: (True, "PASS b", True, "PASS b"), 3: (False, "?", False, None), 4: (True, "PASS", True, "PASS")}
+    kept = {r.requirement_index: r.passed for r in loop.rerun(before, new, verify=False).collect()}
+    assert kept[1] is True
+
+
+def test_revised_requirements(spark):
+    from tallyforge.operators import loop
+
+    reqs = spark.createDataFrame([("functional", 0, "old"), ("functional", 1, "same")], "suite string, requirement_index int, requirement string")
+    replies = spark.createDataFrame([("functional", 0, '```json {"revised_requirement": "new"} ```'), ("functional", 1, "sorry")], "suite string, requirement_index int, reply string")
+    assert sorted(tuple(r)[2:] for r in loop.revised(reqs, replies).collect()) == [("new", True), ("same", False)]
+
+
+def test_relevant_code_and_intent(spark):
+    code = "module m;\nalways @(posedge clk) begin\n  q <= d;\nend\nassign y = a;\nx\n"
+    assert values(spark, T.relevant_code(F.col("x")), [(code,), ("plain",)]) == ["always @(posedge clk) begin\n  q <= d;\nend\nassign y = a;", "plain..."]
+    got = values(spark, T.intent(F.col("x")), [("a = 1; rst_n = 0; @(posedge clk) @(posedge clk) // Expect y should be high.",)])[0]
+    assert got.signals == ["a=1", "rst_n=0"] and got.timing == "2 clock cycles" and got.expected
+
+
+def test_cli_and_settings(spark, tmp_path, sf_dir):
+    from tallyforge import cli
+
+    assert cli.settings({"A": "1", "B": "2", "C": "3"}, '# c\nA="x"\nB = y\nD=z', {"B": "env"}) == {"A": "x", "B": "env", "C": "3", "D": "z"}
+    assert cli.main(["query", "language_distribution", sf_dir, "--output", f"{tmp_path}/q"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/q").count() == 2
+    spark.createDataFrame([(1, 0.6, None), (2, 0.1, 0.9)], "uuid int, mutation_rate double, coverage double").write.parquet(f"{tmp_path}/rates")
+    assert cli.main(["filter", f"{tmp_path}/rates", f"{tmp_path}/out"], spark) == 0
+    assert [r.uuid for r in spark.read.json(f"{tmp_path}/out/result_filtered.json").collect()] == [1]
