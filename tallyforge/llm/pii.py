@@ -114,7 +114,7 @@ _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 _CLASS = {c: alphabet for alphabet in _LETTERS for c in alphabet}
 
 _PATTERN = re.compile(
-    r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w(])(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
+    r"(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w|\.\d)|(?<![\w(])(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
     r"|(?<![\w.])(?P<address>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
     r"|(?<![\w./-])(?P<date>\d{4}-\d{2}-\d{2}(?=T\d|(?!\w|-\d))|\d{4}/\d{2}/\d{2}(?!\w|/\d)|\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)|\d{1,2}/\d{1,2}/\d{4}(?!\w|/\d))"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w|-\d)"
@@ -221,41 +221,46 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in value)
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    """Candidates (kind, start, end), leftmost, not overlapping; e-mail addresses first. Validation comes later."""
-    spans, at = [], text.find("@")
+def find(text: str, names: Pseudonyms) -> list[tuple[str, int, int, str]]:
+    """Valid values (kind, start, end, pseudonym), leftmost, not overlapping; e-mail addresses first.
+
+    Behind a candidate that isn't valid the search goes on at its second character.
+    """
+    mails, at = [], text.find("@")
     while at >= 0:
-        domain = _DOMAIN.match(text, at)
-        low = max([0, *(e for _, _, e in spans[-1:])])
+        domain, low = _DOMAIN.match(text, at), mails[-1][2] if mails else 0
         start = at
         while start > low and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
             start -= 1
         while start < at and text[start] in ".-":
             start += 1
-        if domain and start < at:
-            spans.append(("email", start, domain.end()))
+        new = names.of("email", text[start : domain.end()]) if domain and start < at else None
+        if new is not None:
+            mails.append(("email", start, domain.end(), new))
         at = text.find("@", domain.end() if domain else at + 1)
-    if _DIGIT.search(text):
-        low, mails = 0, iter([*spans, ("", len(text), len(text))])
-        mail = next(mails)
-        for m in _PATTERN.finditer(text):
-            a, b = m.span()
-            while mail[2] <= a and mail[0]:
-                mail = next(mails)
-            if b <= mail[1] or not mail[0]:
-                spans.append((m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k != "email" and m[k]), a, b))
+    spans, at, k = list(mails), 0, 0
+    while _DIGIT.search(text, at) and (m := _PATTERN.search(text, at)):
+        start, end = m.span()
+        while k < len(mails) and mails[k][2] <= start:
+            k += 1
+        if k < len(mails) and mails[k][1] < end:
+            at = max(mails[k][2], start + 1)
+            continue
+        kind = next(x for x in KINDS if x != "email" and m[x])
+        new = names.of(kind, m[0])
+        if new is not None:
+            spans.append((kind, start, end, new))
+        at = start + 1 if new is None else end
     return sorted(spans, key=lambda s: s[1])
 
 
 def pseudonymised(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all valid values replaced, and their spans in the source."""
     out, spans, at = [], [], 0
-    for kind, start, end in find(text):
-        new = names.of(kind, text[start:end])
-        if new is not None:
-            out += (text[at:start], new)
-            spans.append((kind, start, end))
-            at = end
+    for kind, start, end, new in find(text, names):
+        out += (text[at:start], new)
+        spans.append((kind, start, end))
+        at = end
     return ("".join(out) + text[at:] if spans else text), spans
 
 

@@ -101,7 +101,13 @@ def test_pseudonyms_keep_format_and_link(value, kind):
     assert [s[0] for s in spans] == [kind, kind] and value not in out
     first = out[4:].split(" b ")[0]
     assert out == f"é a {first} b {first}." and len(first) == len(value) or kind == "address"
-    assert pii.find(f"é a {first} b")[0][0] == kind and names.of(kind, first) is not None
+    assert pii.find(f"é a {first} b", names)[0][0] == kind and names.of(kind, first) is not None
+
+
+def test_values_side_by_side_are_all_found():
+    names = pii.Pseudonyms("k")
+    text = "a +1 (826) 555-4081 190.137.223.204 x.19@mail5.example.com 4785380592391139 1.2.3.999 8.8.8.8"
+    assert [k for k, _, _ in pii.pseudonymised(text, names)[1]] == ["phone", "address", "email", "card", "address"]
 
 
 def test_clean_texts_and_edges_stay(spark):
