@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, work_dir, written
+from tallyforge.llm.common import table, tidy, work_dir, written
 
 MIN_PAGES, MIN_SHARE, MAIN_SHARE = 8, 0.5, 0.7
 
@@ -206,7 +206,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed, main) of pages (host, key, html): hashes of the template's text blocks, and of its main element."""
     mark = F.xxhash64("key", "n")
-    tokens = pages.select("host", "html", "key").mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "is_text").agg(
+    tokens = pages.select("host", "html", "key").mapInArrow(tidy(_tokens), _TOKENS).groupBy("host", "token", "is_text").agg(
         F.count(F.lit(1)).alias("pages"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
@@ -267,7 +267,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     keyed = rows.select("host", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     # Written first, so that the planner knows its size: broadcast below the session's threshold, else a merge join.
     found = written(templates(keyed), work_dir(pages.sparkSession), "templates")
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "fixed", "main").mapInArrow(_extracted, _EXTRACTED)
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "fixed", "main").mapInArrow(tidy(_extracted), _EXTRACTED)
 
 
 def query(spark, sf_dir):

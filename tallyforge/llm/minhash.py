@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, work_dir, written
+from tallyforge.llm.common import table, tidy, work_dir, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a pair misses all bands with a probability of 5e-5.
@@ -37,7 +37,7 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Agreeing signature bytes that a pair of SIMILARITY falls short of at five standard deviations.
 LEAST_BYTES = int(SIZE * SIMILARITY - 5 * (SIZE * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BLOCK = 512
 
 _U = np.uint64
@@ -334,7 +334,7 @@ class _Job:
         self.rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.lit(11), f"`{text}`").alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def signed(self) -> DataFrame:
-        return written(self.rows.mapInArrow(_signed, _SIGNED), self.folder, "signed")
+        return written(self.rows.mapInArrow(tidy(_signed), _SIGNED), self.folder, "signed")
 
     def nodes(self, signed: DataFrame) -> DataFrame:
         """One row for each node: the document that stands for it, its bands and bytes."""
@@ -354,7 +354,7 @@ class _Job:
         stands = wanted.join(nodes.select("node", F.coalesce("doc", least).alias("doc"), "mark"), "node")
         texts = self.rows.withColumn("doc", F.coalesce("doc", least)).join(stands, ["doc", "mark"])
         # Rows that repeat an id and its text give a node's units again.
-        found = texts.select("node", "text").mapInArrow(_contents, "node long, units binary")
+        found = texts.select("node", "text").mapInArrow(tidy(_contents), "node long, units binary")
         return written(found.groupBy("node").agg(F.first("units").alias("units")), self.folder, f"{name}-units")
 
     def links(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
@@ -362,7 +362,7 @@ class _Job:
         pairs = written(pairs, self.folder, f"{name}-pairs")
         units = self.units(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, name)
         both = pairs.join(units.withColumnsRenamed({"node": "b", "units": "ub"}), "b").join(units.withColumnsRenamed({"node": "a", "units": "ua"}), "a")
-        return written(both.select("a", "b", "ua", "ub").mapInArrow(_linked, "a long, b long").distinct(), self.folder, f"{name}-links")
+        return written(both.select("a", "b", "ua", "ub").mapInArrow(tidy(_linked), "a long, b long").distinct(), self.folder, f"{name}-links")
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
         """(node, label): the smallest node of each component, for nodes with links."""
@@ -396,7 +396,7 @@ class _Job:
         left = rows.where("label <> lead_label").select("bucket", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), *own)
         right = rows.select("bucket", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *own)
         blocks = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-        return blocks.mapInArrow(_compared, "a long, b long").distinct()
+        return blocks.mapInArrow(tidy(_compared), "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
         """(doc, mark, class_id, class_size) for each row."""

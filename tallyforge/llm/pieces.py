@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
@@ -119,11 +119,6 @@ class Vocabulary:
         return self.raw[at].tobytes()[1:]  # without the space put in front
 
 
-@lru_cache(1)
-def _store(vocab: Vocabulary) -> Store:
-    return Store()
-
-
 @lru_cache(4)
 def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -205,12 +200,12 @@ class Lattice:
 
 
 class Store:
-    """Lattices of the segments seen so far, one behind the other, so that a worker builds that of a common one once.
+    """Lattices of the segments seen so far, one behind the other, so that a task builds that of a common one once.
 
     Segments are kept until there are ``KEPT``; those of later texts are overwritten by the next run's.
     """
 
-    KEPT = 80_000
+    KEPT = 50_000
     _SLOTS, _ENTRIES = {"begin": np.int64, "n_steps": np.int32}, {"ids": np.int32, "size": np.int32, "logp": np.float64, "upto": np.float64}
 
     def __init__(self):
@@ -399,9 +394,9 @@ class Run:
 _ENCODED = "key long, sample int, ids array<int>, n_pieces long, log_prob double, inclusion double, round_trip boolean"
 
 
-def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED) -> Iterator[pa.RecordBatch]:
+def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED, store: Store | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches of ``_ENCODED``, k rows for a text if it has so many segmentations."""
-    row, store = 0, _store(vocab)
+    row, store = 0, store or Store()
     while row < len(texts):
         end, size = row, 0
         while end < len(texts) and (end == row or size + len(texts[end]) <= CHUNK):
@@ -456,15 +451,15 @@ def encoded(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA,
     """Up to k rows for each row of docs: key, sample, ids, n_pieces, log_prob, inclusion, and whether ids decode to the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, alpha)
+        vocab, store = vocabulary(path, alpha), Store()
         for batch in batches:
             # A few rows at a time become Python strings.
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                yield from encode([t or "" for t in part.column(1).to_pylist()], part.column(0).to_pylist(), vocab, k, seed)
+                yield from encode([t or "" for t in part.column(1).to_pylist()], part.column(0).to_pylist(), vocab, k, seed, store)
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(work, _ENCODED).withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(work), _ENCODED).withColumnRenamed("key", key)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -478,7 +473,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     kind = rows.select(*(f"`{c}`" for c in kept), F.lit("").alias("text")).schema
-    return rows.mapInArrow(work, kind)
+    return rows.mapInArrow(tidy(work), kind)
 
 
 def query(spark, sf_dir):
