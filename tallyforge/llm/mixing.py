@@ -85,9 +85,10 @@ def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """(domain, language, source, n_docs, tokens, share) from leaves (…, n_docs, tokens)."""
     d, l, s = _LEVELS
     leaves = leaves.withColumn("can", F.col("tokens") * plan.epochs)
-    total = leaves.agg((F.expr(f"(sum(tokens) * {plan.budget_percent}) div 100")).alias("all"))
-    domains = leaves.groupBy(d).agg(F.sum("can").alias("can")).crossJoin(F.broadcast(total))  # total has one row
-    domains = domains.withColumn("budget", F.least("all", F.sum("can").over(W.partitionBy(F.lit(0))))).withColumn("__root", F.lit(0))
+    domains = leaves.groupBy(d).agg(F.sum("can").alias("can"), F.sum("tokens").alias("tokens")).withColumn("__root", F.lit(0))
+    root = W.partitionBy("__root")
+    domains = domains.withColumns({"tokens": F.sum("tokens").over(root), "most": F.sum("can").over(root)})
+    domains = domains.withColumn("budget", F.least(F.expr(f"(tokens * {plan.budget_percent}) div 100"), "most"))
     domains = _shared(domains, ("__root",), d, _weight(d, plan.domains, plan.default)).select(d, F.col("share").alias("budget"))
     langs = leaves.groupBy(d, l).agg(F.sum("can").alias("can")).join(domains, d)
     langs = _shared(langs, (d,), l, _weight(l, plan.languages, plan.default)).select(d, l, F.col("share").alias("budget"))

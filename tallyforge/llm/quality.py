@@ -120,24 +120,16 @@ def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> D
 def ablation(rows: DataFrame) -> DataFrame:
     """From a ledger: for each policy and rule, the documents rejected, those the rule fails and those it alone rejects.
 
-    The ledger is first counted by its bits, of which there are at most 2^rules combinations.
+    The ledger is first counted by its bits, of which there are at most 2^rules combinations. An empty one gives no rows.
     """
-    spark = rows.sparkSession
     counts = rows.groupBy("failure_bits").agg(F.count(F.lit(1)).alias("n"))
-    cases = spark.createDataFrame(
-        [(p, mask_of(p), r.name, 1 << r.bit) for p in POLICIES for r in RULES if r.name in POLICIES[p]],
-        "policy string, mask long, rule string, bit long",
-    )
-    # The cases are a fixed list, at most |policies| x |rules| rows.
-    return (
-        cases.join(F.broadcast(counts), F.lit(True), "left")
-        .groupBy("policy", "rule")
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"),
-            F.coalesce(F.sum(F.expr("if(failure_bits & mask <> 0, n, 0)")), F.lit(0)).alias("n_rejected"),
-            F.coalesce(F.sum(F.expr("if(failure_bits & bit <> 0, n, 0)")), F.lit(0)).alias("n_failing"),
-            F.coalesce(F.sum(F.expr("if(failure_bits & mask = bit, n, 0)")), F.lit(0)).alias("n_only_this"),
-        )
+    cases = [F.struct(F.lit(p).alias("policy"), F.lit(mask_of(p)).alias("mask"), F.lit(r.name).alias("rule"), F.lit(1 << r.bit).alias("bit")) for p in POLICIES for r in RULES if r.name in POLICIES[p]]
+    each = counts.select("failure_bits", "n", F.inline(F.array(*cases)))
+    return each.groupBy("policy", "rule").agg(
+        F.sum("n").alias("n_docs"),
+        F.sum(F.expr("if(failure_bits & mask <> 0, n, 0)")).alias("n_rejected"),
+        F.sum(F.expr("if(failure_bits & bit <> 0, n, 0)")).alias("n_failing"),
+        F.sum(F.expr("if(failure_bits & mask = bit, n, 0)")).alias("n_only_this"),
     )
 
 
