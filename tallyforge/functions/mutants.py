@@ -15,13 +15,25 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as T
 
 Rule = Callable[[str], tuple[str, str, str] | None]
-CONSTANT, OPERATOR, CONDITION, STUCK, REMOVED = "constant_change", "operator_swap", "condition_negate", "signal_stuck", "assignment_remove"
+
+# Types and descriptions of mutants.
+CONSTANT = "constant_change"
+OPERATOR = "operator_swap"
+CONDITION = "condition_negate"
+STUCK = "signal_stuck"
+REMOVED = "assignment_remove"
+SAY_CHANGED = "Changed {} to {}"
+SAY_FLIPPED = "Flipped bit in {}"
+SAY_NEGATED = "Negated condition '{}'"
+SAY_UNNEGATED = "Removed negation from '!{}'"
+SAY_STUCK = "Stuck {} at {}"
+SAY_NO_ELSE = "Commented out else branch"
 
 
 def _swap(old: str, new: str, unless: str | None = None) -> Rule:
     def rule(line: str):
         if old in line and not (unless and unless in line):
-            return line.replace(old, new, 1), OPERATOR, f"Changed '{old.strip()}' to '{new.strip()}'"
+            return line.replace(old, new, 1), OPERATOR, SAY_CHANGED.format(f"'{old.strip()}'", f"'{new.strip()}'")
         return None
 
     return rule
@@ -36,7 +48,7 @@ def _condition(negated: bool, guarded: bool) -> Rule:
             return None
         out = line.replace(f"if ({bang}{m[1]})", f"if ({other}{m[1]})")
         # Other spacing than "if (x)" stays as it is; only the plain condition skips such a mutant.
-        return None if guarded and out == line else (out, CONDITION, f"Removed negation from '!{m[1]}'" if negated else f"Negated condition '{m[1]}'")
+        return None if guarded and out == line else (out, CONDITION, (SAY_UNNEGATED if negated else SAY_NEGATED).format(m[1]))
 
     return rule
 
@@ -45,13 +57,13 @@ def _sized_hex(line: str):
     if not (m := re.search(r"(\d+'h)([0-9A-Fa-f]+)", line)):
         return None
     new = f"{int(m[2], 16) ^ 0xFF:X}"  # 0xFF always changes the value
-    return line.replace(m[0], m[1] + new), CONSTANT, f"Changed {m[0]} to {m[1]}{new}"
+    return line.replace(m[0], m[1] + new), CONSTANT, SAY_CHANGED.format(m[0], m[1] + new)
 
 
 def _sized_binary(line: str):
     if not (m := re.search(r"(\d+'b)([01])([01]*)", line)):
         return None
-    return line.replace(m[0], m[1] + "10"[int(m[2])] + m[3]), CONSTANT, f"Flipped bit in {m[0]}"
+    return line.replace(m[0], m[1] + "10"[int(m[2])] + m[3]), CONSTANT, SAY_FLIPPED.format(m[0])
 
 
 def _stuck(value: str, label: str, idle: Callable[[str], bool]) -> Rule:
@@ -61,28 +73,28 @@ def _stuck(value: str, label: str, idle: Callable[[str], bool]) -> Rule:
         m = pattern.search(line)
         if not m or idle(line):
             return None
-        return pattern.sub(f"{m[1]} <= {value};", line), STUCK, f"Stuck {m[1]} at {label}"
+        return pattern.sub(f"{m[1]} <= {value};", line), STUCK, SAY_STUCK.format(m[1], label)
 
     return rule
 
 
 def _no_else(line: str):
     bare = line.strip()
-    return ("//" + line, REMOVED, "Commented out else branch") if bare.startswith("else") and "if" not in bare else None
+    return ("//" + line, REMOVED, SAY_NO_ELSE) if bare.startswith("else") and "if" not in bare else None
 
 
 def _decimal(line: str):
     m = re.search(r"(?<![0-9a-fA-FxX])(\d+)(?![0-9a-fA-FxX])", line)
     if not m or not (value := int(m[1])):
         return None
-    return f"{line[: m.start(1)]}{value ^ 0xFF}{line[m.end(1) :]}", CONSTANT, f"Changed {value} to {value ^ 0xFF}"
+    return f"{line[: m.start(1)]}{value ^ 0xFF}{line[m.end(1) :]}", CONSTANT, SAY_CHANGED.format(value, value ^ 0xFF)
 
 
 def _hex(line: str):
     if not (m := re.search(r"0x([0-9A-Fa-f]+)", line)):
         return None
     new = f"0x{int(m[1], 16) ^ 0xFF:x}"
-    return line.replace(m[0], new), CONSTANT, f"Changed {m[0]} to {new}"
+    return line.replace(m[0], new), CONSTANT, SAY_CHANGED.format(m[0], new)
 
 
 _LOGIC = (_swap("&&", "||"), _swap("||", "&&", unless="&&"))

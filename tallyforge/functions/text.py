@@ -11,6 +11,7 @@ _SPACE = r"(?U)[\s\x1c-\x1f]+"
 # Tags of model replies, and messages that results depend on.
 THINKING = ("think", "thinking", "reasoning", "reflection", "inner_thought")
 RETRYABLE = ("502", "503", "504", "timeout", "connection", "network", "rate limit", "too many requests", "service unavailable")
+C_TYPES = ("void", "int", "uint32_t", "uint16_t", "uint8_t", "char", "float", "double", "bool", "unsigned", "signed")
 COMPILE_FAILURES = ("Compilation failed:", "Compilation timeout", "Command failed:")
 
 
@@ -116,7 +117,7 @@ def code_block(reply: Column, language: str) -> Column:
     if language == "verilog":
         fences.append((r"(?is)(module\s+[\w_]+\s*\(.*?\)\s*;.*?endmodule)", 1))
     else:
-        fences.append((r"(?s)(\b(?:void|int|uint32_t|uint16_t|uint8_t|char|float|double|bool|unsigned|signed)\s+\w+\s*\(.*?\)\s*\{.*?\})", 1))
+        fences.append((rf"(?s)(\b(?:{'|'.join(C_TYPES)})\s+\w+\s*\(.*?\)\s*\{{.*?\}})", 1))
     out = text
     for pattern, group in reversed(fences):
         out = F.when(text.rlike(pattern), F.btrim(F.regexp_extract(text, pattern, group), F.lit(" \t\n\r\x0b\x0c"))).otherwise(out)
