@@ -58,6 +58,15 @@ def test_nested_secrets_are_found_and_mapped(layers):
     assert start - 1 <= found[0][1] <= start + 3 and end - quote <= found[0][2] <= end + 3
 
 
+def test_large_compressed_layers_are_scanned_in_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    inner = "filler words " * 300 + SECRET + " more words" * 300
+    blob = base64.b64encode(zlib.compress(inner.encode())).decode()
+    _, spans = secrets.scan(f"x {blob} y")
+    assert {k for k, _, _ in spans} == {"assign", "hex"} and {a for _, a, _ in spans} == {2}
+
+
 def test_secret_scan_ends_on_cycles_and_keeps_base_spans(spark):
     assert secrets.scan("%25" * 50 + "41")[1] == []
     assert secrets.scan(SECRET) == ([("assign", 0, 49), ("hex", 9, 49)],) * 2
