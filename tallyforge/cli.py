@@ -1,4 +1,4 @@
-"""Command line: python -m tallyforge.cli query | passk | cases | filter."""
+"""Command line: python -m tallyforge.cli query | passk | cases | filter | effectiveness | verify."""
 
 from __future__ import annotations
 
@@ -42,6 +42,13 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--coverage-threshold", type=float, default=0.8)
     one.add_argument("--suffix", default="")
     one.add_argument("--dry-run", action="store_true")
+    one = commands.add_parser("effectiveness", help="mutation report over (seed, mutant, tb, detected); status 1 below 0.5")
+    one.add_argument("runs", help="Parquet folder")
+    one.add_argument("output")
+    one = commands.add_parser("verify", help="claims (uuid, passed) against tests (uuid, passed); status 1 if any differ")
+    one.add_argument("claims", help="Parquet folder")
+    one.add_argument("tests", help="Parquet folder")
+    one.add_argument("output")
     return out
 
 
@@ -68,6 +75,17 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         cases = documents.test_cases(spark, args.folder, args.filter_report)
         cases = seeds.with_language(cases, args.language) if args.language else cases
         sinks.write_rows(seeds.prefix(cases, args.limit, "seed_uuid"), args.output)
+    elif args.command == "effectiveness":
+        rates = quality.per_seed(spark.read.parquet(args.runs))
+        report = quality.report(rates)
+        sinks.write_document(report, rates, args.output, "seed_results")
+        row = report.first()
+        return int(row.seeds == 0 or row.effective < 0.5 * row.seeds)
+    elif args.command == "verify":
+        checked = quality.verified(spark.read.parquet(args.claims), spark.read.parquet(args.tests))
+        summary = checked.agg(F.count(F.lit(1)).alias("seeds"), F.count_if("actual").alias("passed"), F.count_if(~F.col("consistent")).alias("inconsistent"))
+        sinks.write_document(summary, checked, args.output)
+        return int(summary.first().inconsistent > 0)
     else:
         reason = quality.gate(F.col("mutation_rate"), F.col("coverage"), args.mutation_threshold, args.coverage_threshold)
         gated = spark.read.parquet(args.rates).withColumn("reason", reason)

@@ -85,3 +85,14 @@ def suite_rates(seeds: DataFrame, results: DataFrame) -> DataFrame:
     """Per seed: pass rate (0 without tests) and whether all passed (true without tests)."""
     rates = results.groupBy("uuid").agg(F.avg(F.col("passed").cast("int")).alias("rate"), F.every("passed").alias("every"), F.count(F.lit(1)).alias("n"))
     return seeds.select("uuid").join(rates, "uuid", "left").select("uuid", F.coalesce("n", F.lit(0)).alias("n_tests"), F.coalesce("rate", F.lit(0.0)).alias("pass_rate"), F.coalesce("every", F.lit(True)).alias("all_passed"))
+
+
+def verified(claims: DataFrame, tests: DataFrame) -> DataFrame:
+    """Claimed (uuid, passed) against actual passing (uuid, passed of each test); without tests a seed passes.
+
+    A null claim is compared with nothing: it counts as consistent.
+    """
+    failed = tests.groupBy("uuid").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce("passed", F.lit(False))).alias("failed"))
+    rows = claims.select("uuid", F.col("passed").alias("claimed")).join(failed, "uuid", "left").fillna(0, ["total", "failed"])
+    rows = rows.withColumn("actual", F.col("failed") == 0)
+    return rows.withColumn("consistent", F.coalesce(F.col("claimed") == F.col("actual"), F.lit(True)))

@@ -7,11 +7,15 @@ import os
 import signal
 import subprocess
 import tempfile
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import RETRYABLE
+
 COMPILE_SECONDS, RUN_SECONDS = 30, 15
 
 
@@ -21,6 +25,39 @@ def replayed(prompts: DataFrame, replies: DataFrame) -> DataFrame:
     return prompts.withColumn("__h", by).join(replies.select(F.sha2("prompt", 256).alias("__h"), "reply").dropDuplicates(["__h"]), "__h", "left").drop("__h")
 
 
+def retried(call: Callable[[], object], attempts: int = 3, delay: Callable[[int], float] = lambda n: 5.0):
+    """The result of call, tried again while its error names a network fault; other errors are raised at once.
+
+    delay gives the seconds before the next try by the number of failed ones; ``lambda n: min(60, 4 * 2**n)`` backs off.
+    """
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception as error:
+            if n + 1 == attempts or not any(x in str(error).lower() for x in RETRYABLE):
+                raise
+            time.sleep(delay(n))
+
+
+def completed(prompts: DataFrame, engine: Callable[[], Callable[[str], str]], attempts: int = 3) -> DataFrame:
+    """prompts (key, prompt) with the reply of an engine, made once for each task, or the error; no row fails the task."""
+
+    def work(batches):
+        import pandas as pd
+
+        ask = engine()
+        for batch in batches:
+            rows = []
+            for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
+                try:
+                    rows.append((key, retried(lambda p=prompt: ask(p), attempts), None))
+                except Exception as error:
+                    rows.append((key, None, str(error)))
+            yield pd.DataFrame(rows, columns=["key", "reply", "error"])
+
+    return prompts.select("key", "prompt").mapInPandas(work, "key long, reply string, error string")
+
+
 def command(args: list[str], seconds: float, folder: str) -> tuple[int | None, str, str]:
     """(exit code, stdout, stderr) of a process group; the code is None after a timeout, when the group is killed."""
     run = subprocess.Popen(args, cwd=folder, stdout=subprocess.PIPE, stderr=subprocess.PIPE, stdin=subprocess.DEVNULL, start_new_session=True)

@@ -220,3 +220,34 @@ def test_cli_and_settings(spark, tmp_path, sf_dir):
     spark.createDataFrame([(1, 0.6, None), (2, 0.1, 0.9)], "uuid int, mutation_rate double, coverage double").write.parquet(f"{tmp_path}/rates")
     assert cli.main(["filter", f"{tmp_path}/rates", f"{tmp_path}/out"], spark) == 0
     assert [r.uuid for r in spark.read.json(f"{tmp_path}/out/result_filtered.json").collect()] == [1]
+
+
+def test_reports_set_the_exit_status(spark, tmp_path):
+    from tallyforge import cli
+
+    spark.createDataFrame([(1, 1, 0, True), (1, 2, 0, False), (2, 1, 0, False), (3, 1, 0, False)], "seed int, mutant int, tb int, detected boolean").write.parquet(f"{tmp_path}/runs")
+    assert cli.main(["effectiveness", f"{tmp_path}/runs", f"{tmp_path}/e"], spark) == 1
+    assert spark.read.json(f"{tmp_path}/e/summary").first().effective == 1
+    spark.createDataFrame([("a", True), ("b", False), ("c", None), ("d", True)], "uuid string, passed boolean").write.parquet(f"{tmp_path}/claims")
+    spark.createDataFrame([("a", True), ("b", False), ("c", False)], "uuid string, passed boolean").write.parquet(f"{tmp_path}/tests")
+    assert cli.main(["verify", f"{tmp_path}/claims", f"{tmp_path}/tests", f"{tmp_path}/v"], spark) == 0
+    spark.createDataFrame([("a", False)], "uuid string, passed boolean").write.mode("append").parquet(f"{tmp_path}/tests")
+    assert cli.main(["verify", f"{tmp_path}/claims", f"{tmp_path}/tests", f"{tmp_path}/v"], spark) == 1
+
+
+def test_retries_only_network_faults(spark):
+    calls = []
+
+    def flaky(text):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError(text)
+        return "ok"
+
+    assert connectors.retried(lambda: flaky("HTTP 503"), 3, lambda n: 0) == "ok" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError):
+        connectors.retried(lambda: flaky("bad json"), 3, lambda n: 0)
+    prompts = spark.createDataFrame([(1, "a"), (2, None)], "key long, prompt string")
+    got = sorted((r.key, r.reply, r.error) for r in connectors.completed(prompts, lambda: lambda p: p.upper(), 1).collect())
+    assert got[0] == (1, "A", None) and got[1][1] is None and got[1][2]
