@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -310,7 +311,7 @@ class Run:
         value = -np.log(-np.log(_uniform(self.seed + _U(77))))
         paths, there, logp = [path], np.ones((k, n), bool), np.zeros((k, n))
         # Sets still to split: for each path, by the character of the step that differs, their values and excluded steps.
-        values: list[tuple[np.ndarray, np.ndarray]] = []
+        values: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # characters, values, log-probabilities before
         excluded: list[dict[int, set[int]]] = []
         fresh, bound = np.zeros(n, np.int64), value  # from which character on the newest path splits off its own sets
         for j in range(k):
@@ -320,11 +321,11 @@ class Run:
             with np.errstate(divide="ignore"):
                 mass = before + np.log(-np.expm1(np.minimum(logs, 0.0)))
             mine = there[j][self.doc[at]] & (at >= fresh[self.doc[at]])
-            at, mass = at[mine], mass[mine]
-            values.append((at, _truncated(mass, bound[self.doc[at]], self._random(at, 1000 + j))))
+            at, mass, before = at[mine], mass[mine], before[mine]
+            values.append((at, _truncated(mass, bound[self.doc[at]], self._random(at, 1000 + j)), before))
             excluded.append({})
             best, origin, spot = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, (a, v) in enumerate(values):
+            for i, (a, v, _) in enumerate(values):
                 if len(a):
                     docs = self.doc[a]
                     top = np.full(n, -np.inf)
@@ -337,22 +338,22 @@ class Run:
             new = np.full(len(self.chars), -1, path.dtype)
             fresh, bound = self.bounds[1:].copy(), best
             left, u_pick = np.full(n, -np.inf), _uniform(self.seed + _U((2000 + j) * int(_GOLD) % (1 << 64)))
-            for doc in np.flatnonzero(there[j + 1]):
-                i, s = origin[doc], spot[doc]
-                a, v = values[i]
-                c = int(a[s])
-                begin, end = self.bounds[doc], self.bounds[doc + 1]
-                low = int(self.lattice.begin[self.slot[c]])
-                free = np.exp(self.lattice.logp[low : low + self.lattice.n_steps[self.slot[c]]])
+            for doc in np.flatnonzero(there[j + 1]).tolist():
+                i, s = int(origin[doc]), int(spot[doc])
+                c, begin = int(values[i][0][s]), int(self.bounds[doc])
+                low, n_steps = int(self.lattice.begin[self.slot[c]]), int(self.lattice.n_steps[self.slot[c]])
                 gone = excluded[i].setdefault(c, {int(paths[i][c])})
-                free[[x - low for x in gone]] = 0.0
-                upto = np.cumsum(free)
-                pick = min(int(np.searchsorted(upto, u_pick[doc] * upto[-1], "right")), int(np.flatnonzero(free)[-1]))
+                free = [0.0 if low + x in gone else exp(v) for x, v in enumerate(self.lattice.logp[low : low + n_steps].tolist())]
+                goal, pick = u_pick[doc] * sum(free), -1
+                for x, p in enumerate(free):
+                    if p > 0.0:
+                        goal, pick = goal - p, x
+                        if goal < 0.0:
+                            break
                 new[begin:c], new[c] = paths[i][begin:c], low + pick
                 gone.add(low + pick)
-                rest = free.sum() - free[pick]
-                rest = rest if len(gone) < len(free) and rest > 1e-300 else 0.0
-                left[doc] = self._prefix(paths[i], begin, c) + np.log(rest) if rest else -np.inf
+                rest = sum(free) - free[pick] if len(gone) < n_steps else 0.0
+                left[doc] = values[i][2][s] + log(rest) if rest > 1e-300 else -np.inf
                 fresh[doc] = c + self.lattice.size[low + pick]
             with np.errstate(divide="ignore"):
                 again = _truncated(left, best, _uniform(self.seed + _U((3000 + j) * int(_GOLD) % (1 << 64))))
@@ -368,10 +369,6 @@ class Run:
             paths.append(new)
         raise AssertionError
 
-    def _prefix(self, path: np.ndarray, begin: int, at: int) -> float:
-        steps = begin + np.flatnonzero(path[begin:at] >= 0)
-        return float(self.lattice.logp[path[steps]].sum())
-
     def pieces(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in order, and the bounds of each text's."""
         at = np.flatnonzero(path >= 0)
