@@ -9,7 +9,7 @@ largest perturbed value (a Gumbel truncated by that of its parent set); the set
 best path sampled step by step, and what remains of it split in the same way. ``inclusion`` is the probability that the
 segmentation is among the k given the (k+1)-th value; log_prob / inclusion give unbiased estimates.
 
-Work is vectorised: the lattice is cut where no piece can cross (before each word, around byte pieces), equal segments
+Work is vectorised: the lattice is cut where no piece can cross (at pairs of characters that no piece has), equal segments
 share one backward pass, and all segments of a run of texts are sampled together. Random numbers are hashes of the seed,
 the row's key, the sample and the place in the text, so a row gives the same samples wherever it is computed.
 
@@ -96,6 +96,11 @@ class Vocabulary:
             left, bits = rest, max(10, bits - 3)
         self.single = np.zeros(_LITERAL + 1, bool)
         self.single[[ord(p) for _, p, _ in normal if len(p) == 1]] = True
+        # Whether two characters may be neighbours inside of a piece; a collision only leaves out a cut.
+        self.together = np.zeros(1 << 20, bool)
+        for _, p, _ in normal:
+            codes = np.array([ord(c) for c in p], np.uint32)
+            self.together[_neighbours(codes)] = True
         raw = [b""] * len(pieces)
         for i, p, _ in normal:
             raw[i] = p.replace(chr(_SPACE), " ").encode()
@@ -120,6 +125,11 @@ class Vocabulary:
         return self.raw[at].tobytes()[1:]  # without the space put in front
 
 
+def _neighbours(codes: np.ndarray) -> np.ndarray:
+    """A hash of 20 bits for each pair of adjacent characters."""
+    return (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+
 @lru_cache(4)
 def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -265,10 +275,9 @@ class Run:
         self.chars, self.bounds = chars, np.concatenate(([0], np.cumsum(sizes)))
         self.doc = np.repeat(np.arange(self.n), sizes)
         self.seed = seeds
-        known = vocab.single[chars]
-        space = chars == _SPACE
-        cut = ~known
-        cut[1:] |= ~known[:-1] | (space[1:] & ~space[:-1])
+        # No piece crosses a cut: before each word, around byte pieces, between letters and most signs.
+        cut = np.ones(len(chars), bool)
+        cut[1:] = ~vocab.together[_neighbours(chars)]
         cut[self.bounds[:-1][sizes > 0]] = True
         self.starts = np.flatnonzero(cut)
         self.ends = np.concatenate((self.starts[1:], [len(chars)])) if len(chars) else self.starts
