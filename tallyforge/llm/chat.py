@@ -172,7 +172,7 @@ def query(spark, sf_dir):
 SQL = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-r AS (SELECT *, '<|' || role || '|>' || chr(10) || regexp_replace(text, '([<\\[])(\\\\*)(\\||/?s>|/?INST\\])', '\\1\\\\\\2\\3', 'g') || '</s>' || chr(10) AS rendered FROM c)
+r AS (SELECT *, '<|' || role || '|>' || chr(10) || regexp_replace(regexp_replace(text, '<(\\\\*)(\\||/?s>)', '<\\\\\\1\\2', 'g'), '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g') || '</s>' || chr(10) AS rendered FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, rendered)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, rendered) FILTER (role = 'assistant'), '')) AS loss_sha256,
