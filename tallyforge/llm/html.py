@@ -75,21 +75,22 @@ def _apart(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
 
 
 class Page:
-    """blocks: (text, path hash, main, apart, elements around) in order; tags: (path hash, depth) of opening tags."""
+    """blocks: (text, hash of path and text, main, apart, elements around) in order; tags: hashes of paths of opening tags."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, str, bool, tuple[int, ...]]] = []
         self.tags: list[int] = []
         self._stack: list[tuple[str, str, bool, str, int]] = []  # tag, path, apart, main, hash of path
         self._text: list[str] = []
+        self._aside: list[str] = []  # text of elements that are left out inside of the block
         at, n = 0, len(source)
         while at < n:
             m = _MARKUP.search(source, at)
             if not m:
-                self._text.append(source[at:])
+                self._add(source[at:])
                 break
             if m.start() > at:
-                self._text.append(source[at : m.start()])
+                self._add(source[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
@@ -104,13 +105,20 @@ class Page:
                 self._close(tag)
         self._flush()
 
+    def _add(self, text: str) -> None:
+        (self._aside if self._stack and self._stack[-1][2] else self._text).append(text)
+
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join(entities.unescape("".join(self._text)).split())
-            self._text = []
+        if not (self._text or self._aside):
+            return
+        shown = next((k for k in range(len(self._stack), 0, -1) if not self._stack[k - 1][2]), 0)
+        for parts, apart, depth in ((self._text, False, shown), (self._aside, True, len(self._stack))):
+            text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                _, path, apart, main, _ = self._stack[-1] if self._stack else ("", "", False, "", 0)
-                self.blocks.append((text, _hash(f"{path}|{text}"), main, apart, tuple(x[4] for x in self._stack)))
+                around = self._stack[:depth]
+                _, path, _, main, _ = around[-1] if around else ("", "", False, "", 0)
+                self.blocks.append((text, _hash(f"{path}|{text}"), main, apart, tuple(x[4] for x in around)))
+        self._text, self._aside = [], []
 
     def _pop_to(self, k: int) -> None:
         if any(x[0] in _BLOCK for x in self._stack[k:]):
@@ -141,9 +149,6 @@ class Page:
         names = " ".join(sorted(attributes.get("class", "").split()))
         path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
         out = apart or _apart(tag, attributes, bool(main))
-        # Separate edges of a region that is left out, so that its text never joins that of a block around it.
-        if out and not apart and tag not in _BLOCK:
-            self._flush()
         main = main or ("article" if tag == "article" else "main" if tag == "main" or attributes.get("role") == "main" else "") if not out else main
         if tag == "article" and main == "main" and not out:
             main = "article"
@@ -157,8 +162,6 @@ class Page:
             self._flush()
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == tag:
-                if self._stack[k][2] and not (k and self._stack[k - 1][2]):
-                    self._flush()
                 self._pop_to(k)
                 return
 

@@ -136,6 +136,7 @@ PAGE = (
 
 def test_main_text_of_a_page():
     assert html.main_text(PAGE) == "T & U\none two three\nfour\nfive six"
+    assert html.main_text('<p>one <span class="ad">buy</span>two <button>go</button><i>three</i></p><aside>x<p>y</aside>z') == "one two three\nz"
     assert html.main_text("") == "" and html.main_text("plain") == "plain" and html.main_text("<p>a<p>b<!-- c") == "a\nb"
 
 
