@@ -90,6 +90,36 @@ def test_secrets_match_a_plain_scan_on_documents(spark, sf_dir):
         assert got[d].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
+def _wrapped(raw: bytes, width: int, end: str = "\n") -> str:
+    blob = base64.b64encode(raw).decode()
+    return end.join(blob[i : i + width] for i in range(0, len(blob), width))
+
+
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (76, "\n  "), (61, "\n")])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress, gzip.compress])
+def test_wrapped_base64_is_one_region(width, end, pack):
+    random.seed(3)
+    for n in (30, 40, 51, 52, 53):
+        words = [" ".join("".join(random.choices("abcdefghij", k=7)) for _ in range(30)) for _ in range(2)]
+        blob = _wrapped(pack(f"{words[0][:n]} {SECRET} {words[1]}".encode()), width, end)
+        text = f"see\nthis:\n{blob}\nplain words behind"
+        _, spans = secrets.scan(text)
+        assert [k for k, _, _ in spans] == ["assign", "hex"]
+        if pack is bytes:
+            at = lambda i: 10 + i + len(end) * (i // width)
+            a, b = (n + 1) * 4 // 3, -(-(n + len(SECRET)) * 4 // 3)
+            assert spans[0] == ("assign", at(a), at(b - 1) + 1)
+
+
+@pytest.mark.parametrize("glue", ["a/", "path/to/", "n+", "xyz_", "-", "word\n", "it\n"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+def test_base64_behind_letters_of_the_alphabet_is_found(glue, pack):
+    for pad in ("", " ", "  "):
+        blob = base64.b64encode(pack((SECRET + pad).encode())).decode()
+        _, spans = secrets.scan(f"{glue}{blob} and more")
+        assert [k for k, _, _ in spans] == ["assign", "hex"] and spans[0][1] >= len(glue)
+
+
 def test_feistel_shift_is_a_bijection_without_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         f = pii.Feistel(b"key", "t", n)
