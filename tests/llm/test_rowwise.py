@@ -120,6 +120,25 @@ def test_base64_behind_letters_of_the_alphabet_is_found(glue, pack):
         assert [k for k, _, _ in spans] == ["assign", "hex"] and spans[0][1] >= len(glue)
 
 
+@pytest.mark.parametrize("char", ["\u00a0", "\u3000", "\ufeff", "\u200b", "\f", "\x1b[31m", "\0", "\xe9"])
+@pytest.mark.parametrize("coding", ["utf-8", "latin-1", "utf-16-le", "utf-16-be", "utf-16"])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress, gzip.compress])
+def test_decoded_layers_are_scanned_whatever_their_characters(char, coding, pack):
+    for filler in ("some words ", "some other words here "):
+        raw = f"{filler}{char} and {SECRET} rest {char}".encode(coding, "replace")
+        _, spans = secrets.scan(f"x {base64.b64encode(pack(raw)).decode()} y")
+        assert [k for k, _, _ in spans] == ["assign", "hex"] and spans[0][1] >= 2
+
+
+def test_all_members_of_compressed_data_are_scanned():
+    key = "AKIA" + "Q" * 16
+    members = [gzip.compress(x.encode()) for x in ("first words", f"x {SECRET[:20]}", f"{SECRET[20:]} y", f"last {key} words")]
+    for raw in (b"".join(members), b"\0\0".join(members), zlib.compress(b"first words") + zlib.compress(f"{SECRET} {key}".encode()), gzip.compress(b"a") + b"junk" + gzip.compress(f"{SECRET} {key}".encode())):
+        _, spans = secrets.scan(f"x {base64.b64encode(raw).decode()} y")
+        assert {k for k, _, _ in spans} == {"assign", "hex", "access"}
+    assert len(secrets.scan(base64.b64encode(zlib.compress(SECRET.encode(), 0)).decode())[1]) == 2
+
+
 def test_feistel_shift_is_a_bijection_without_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         f = pii.Feistel(b"key", "t", n)
