@@ -4,11 +4,17 @@ A page is a sequence of tokens: opening tags with their path of elements, and te
 host are equivalent if their occurrence vectors over the host's pages (how often in which page) are equal; vectors are
 compared by sums of hashes, so a token costs one aggregation. The class of tokens that occur exactly once in every page
 is the host's template; other classes are valid below it if they occur in at least ``MIN_SHARE`` of ``MIN_PAGES`` pages
-or more, hold a tag and are nested in one element of the template. What is not template are slots. Of the slots, those
-inside of the main element count, without elements that are named as menus, headers, footers, sidebars, notices,
-adverts, forms or comments. Text that belongs to the template is no slot and is left out, unless that would leave the
-page without any text. The main element is <article>, else <main>, else the deepest template element that holds most of
-the host's slot text, else the body.
+or more and hold a tag, and then for those of their texts that are inside of an element of the class. Of a page, only
+texts that follow each other as they do on average in the class count as template. What is not template are slots. Of
+the slots, those inside of the main element count, without elements that are named as menus, headers, footers,
+sidebars, notices, adverts, forms or comments. The main element is <article>, else <main>, else the deepest template
+element that holds most of the host's slot text, else the body.
+
+Pages may repeat text because they are copies of one article, so repeating alone makes no template: text inside of
+<article> or <main> is never left out; a class whose texts are more than ``COPIES`` of the text of its pages is none of
+the template, and a host whose classes are so together has none. Below a deduced main element, or the body, a repeated
+text between slots stays if its element is of a path that holds slots too. Other text that belongs to the template is
+left out, unless that would leave the page without any text.
 
 White space in a block becomes one space, blocks are joined in order by a line end, a <br> ends a block.
 
@@ -20,6 +26,7 @@ shuffle and no group of pages is ever gathered.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table, tidy, work_dir, written
 
-MIN_PAGES, MIN_SHARE, MAIN_SHARE = 8, 0.5, 0.7
+MIN_PAGES, MIN_SHARE, MAIN_SHARE, COPIES = 8, 0.5, 0.7, 0.5
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/]+)")
@@ -175,23 +182,23 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-_TOKENS = "key long, host string, token long, is_text boolean, n long, chars long, inside long"
+_TOKENS = "key long, host string, token long, is_text boolean, n long, chars long, total long, place long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, html, key -> for each distinct token of a page its count, the slot characters below it and the element around."""
+    """host, html, key -> for each distinct token of a page its count, the slot characters below or in it and of the page, and its place."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for host, source, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = Page(source or "")
             texts, chars = Counter(b[1] for b in page.blocks), Counter()
-            around = {}
+            places: dict[int, int] = {}
             total = 0
-            for text, code, _, apart, elements in page.blocks:
-                around[code] = elements[-1] if elements else 0
+            for k, (text, code, _, apart, elements) in enumerate(page.blocks):
+                places.setdefault(code, k)
                 if not apart:
                     total += len(text)
-                    for e in set(elements):
+                    for e in {code, *elements}:
                         chars[e] += len(text)
             for rows, is_text in ((Counter(page.tags), False), (texts, True), ({0: 1}, False)):
                 out[0] += [key] * len(rows)
@@ -200,14 +207,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[3] += [is_text] * len(rows)
                 out[4] += rows.values()
                 out[5] += [total if not (t or is_text) else chars.get(t, 0) for t in rows]
-                out[6] += [around.get(t, 0) for t in rows]
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+                out[6] += [total] * len(rows)
+                out[7] += [places.get(t, 0) for t in rows]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in _TOKENS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed, main) of pages (host, key, html): hashes of the template's text blocks, and of its main element."""
+    """(host, fixed, main) of pages (host, key, html): classes of the template, and the hash of its main element.
+
+    A class has the hashes of its texts in order and, unless it is the host's, those of the elements they must be in.
+    """
     mark = F.xxhash64("key", "n")
     tokens = pages.select("host", "html", "key").mapInArrow(tidy(_tokens), _TOKENS).groupBy("host", "token", "is_text").agg(
         F.count(F.lit(1)).alias("pages"),
@@ -216,41 +227,75 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("v1"),
         F.sum(F.shiftrightunsigned(mark, 32)).alias("v2"),
         F.sum("chars").alias("chars"),
-        F.min("inside").alias("inside"),
-        F.max("inside").alias("inside_too"),
+        F.sum("total").alias("total"),
+        F.sum("place").alias("place"),
     )
     # Tokens of a page or two are of no template; they are most of all tokens.
     tokens = tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("least") == F.col("most")))
     tokens = written(tokens, work_dir(pages.sparkSession), "tokens")
-    roots = tokens.where("token = 0 and not is_text").select("host", F.col("pages").alias("all"), F.col("v1").alias("r1"), F.col("v2").alias("r2"), F.col("chars").alias("total"))
+    roots = tokens.where("token = 0 and not is_text").select("host", F.col("pages").alias("all"), F.col("v1").alias("r1"), F.col("v2").alias("r2"), F.col("chars").alias("host_total"))
     own = tokens.where("token <> 0").join(roots, "host")
-    kinds = own.groupBy("host", "v1", "v2", "all", "r1", "r2").agg(
+    full = (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2"))
+    # Tokens of a class are in the same pages, so that sums of their places are in the order of the averages.
+    kinds = own.groupBy("host", "v1", "v2", "all", "r1", "r2", "host_total").agg(
         F.max("pages").alias("pages"),
-        F.count_if(~F.col("is_text")).alias("n_tags"),
-        F.count(F.lit(1)).alias("size"),
+        F.max("total").alias("total"),
+        F.sum(F.when(F.col("is_text"), F.col("chars")).otherwise(0)).alias("chars"),
+        F.sort_array(F.collect_list(F.when(F.col("is_text"), F.struct("place", "token")))).alias("texts"),
+        F.collect_list(F.when(~F.col("is_text") & ~full, F.col("token"))).alias("inside"),
     )
-    full = (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2"))
-    valid = kinds.where(full | ((F.col("pages") >= MIN_SHARE * F.col("all")) & (F.col("n_tags") > 0) & (F.col("size") > 1))).select("host", "v1", "v2")
-    fixed = own.where("is_text and inside = inside_too").join(valid, ["host", "v1", "v2"], "left_semi").groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    valid = kinds.where((F.size("texts") > 0) & (full | (F.col("pages") >= MIN_SHARE * F.col("all")) & (F.size("inside") > 0)) & (F.col("chars") <= COPIES * F.col("total")))
+    one = F.struct(F.transform("texts", lambda t: t["token"]).alias("texts"), F.when(~full, F.col("inside")).alias("inside"))
+    fixed = valid.groupBy("host", "host_total").agg(F.collect_list(one).alias("fixed"), F.sum("chars").alias("chars")).where(F.col("chars") <= COPIES * F.col("host_total")).select("host", "fixed")
     # Of nested elements that hold most of the slot text, the deepest holds least of them.
-    holds = own.where(full & ~F.col("is_text") & (F.col("most") == 1) & (F.col("chars") >= MAIN_SHARE * F.col("total")))
+    holds = own.where(full & ~F.col("is_text") & (F.col("most") == 1) & (F.col("chars") >= MAIN_SHARE * F.col("host_total")))
     main = holds.groupBy("host").agg(F.min_by("token", F.struct("chars", "token")).alias("main"))
     return main.join(fixed, "host", "full").select("host", "fixed", "main")
 
 
-def main_text(source: str, fixed: frozenset[int] = frozenset(), main: int | None = None) -> str:
+def _in_order(ranks: list[int]) -> set[int]:
+    """Members of a longest rising subsequence of distinct numbers."""
+    tops: list[int] = []
+    before: dict[int, int | None] = {}
+    for r in ranks:
+        k = bisect.bisect_left(tops, r)
+        before[r] = tops[k - 1] if k else None
+        tops[k : k + 1] = [r]
+    out, r = set(), tops[-1] if tops else None
+    while r is not None:
+        out.add(r)
+        r = before[r]
+    return out
+
+
+def _template(blocks: list[tuple], fixed: list[dict]) -> set[int]:
+    """Places of the blocks that belong to the host's template."""
+    out: set[int] = set()
+    for one in fixed:
+        ranks = {t: k for k, t in enumerate(one["texts"])}
+        inside = None if one["inside"] is None else set(one["inside"])
+        nested = [i for i, b in enumerate(blocks) if b[1] in ranks and (inside is None or not inside.isdisjoint(b[4]))]
+        ordered = _in_order(list(dict.fromkeys(ranks[blocks[i][1]] for i in nested)))
+        out |= {i for i in nested if ranks[blocks[i][1]] in ordered}
+    slots = [i for i in range(len(blocks)) if i not in out]
+    if slots:
+        paths = {blocks[i][4] for i in slots}
+        out -= {i for i in out if slots[0] < i < slots[-1] and blocks[i][4] in paths}
+    return out
+
+
+def main_text(source: str, fixed: list[dict] | None = None, main: int | None = None) -> str:
     """The main text of one page under its host's template."""
     page = Page(source)
     blocks = [b for b in page.blocks if not b[3]]
     for region in ("article", "main"):
         if any(b[2] == region for b in blocks):
-            blocks = [b for b in blocks if b[2] == region]
-            break
-    else:
-        if main is not None and any(main in b[4] for b in blocks):
-            blocks = [b for b in blocks if main in b[4]]
-    slots = [b for b in blocks if b[1] not in fixed] or blocks
-    return "\n".join(b[0] for b in slots)
+            return "\n".join(b[0] for b in blocks if b[2] == region)
+    left_out = _template(blocks, fixed or [])
+    shown = [i for i, b in enumerate(blocks) if main in b[4]] if main is not None else []
+    shown = shown or range(len(blocks))
+    slots = [i for i in shown if i not in left_out] or shown
+    return "\n".join(blocks[i][0] for i in slots)
 
 
 _EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -259,7 +304,7 @@ _EXTRACTED = "page_id long, url string, text string, n_chars long"
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, _, sources, fixed, mains = (c.to_pylist() for c in batch.columns)
-        texts = [main_text(s or "", frozenset(f or ()), m) for s, f, m in zip(sources, fixed, mains, strict=True)]
+        texts = [main_text(s or "", f, m) for s, f, m in zip(sources, fixed, mains, strict=True)]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
