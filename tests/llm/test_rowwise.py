@@ -139,6 +139,27 @@ def test_all_members_of_compressed_data_are_scanned():
     assert len(secrets.scan(base64.b64encode(zlib.compress(SECRET.encode(), 0)).decode())[1]) == 2
 
 
+def test_layers_of_any_depth_are_unwrapped():
+    deep = "".join("%" + "25" * 150 + f"{ord(c):02X}" for c in SECRET)
+    assert [(a >= 2, b <= 2 + len(deep)) for k, a, b in secrets.scan(f"x {deep} y")[1] if k == "assign"] == [(True, True)]
+    assert len(secrets.scan("AKIA" + "B" * 11 + "%" + "25" * 1000 + "43")[1]) > 1
+
+
+@pytest.mark.parametrize("packs", [(bytes,), (bytes, bytes), (zlib.compress,), (gzip.compress, zlib.compress)])
+def test_regions_over_the_border_of_a_piece_are_whole(monkeypatch, packs):
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    random.seed(5)
+    word = lambda: "".join(random.choices("ghijklmnop", k=7))
+    for inner in (SECRET, f'token{" " * 1500}=  "{"q" * 40}'):
+        raw = " ".join([*(word() for _ in range(600)), inner, *(word() for _ in range(600))]).encode()
+        for pack in packs:
+            raw = _wrapped(pack(raw), 76).encode()
+        text = " ".join([*(word() for _ in range(200)), raw.decode(), *(word() for _ in range(200))])
+        spans = secrets.scan(f"x {base64.b64encode(zlib.compress(text.encode())).decode()} y")[1]
+        assert {k for k, _, _ in spans} >= {"assign"} and {a for _, a, _ in spans} == {2}
+
+
 def test_feistel_shift_is_a_bijection_without_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         f = pii.Feistel(b"key", "t", n)
