@@ -160,6 +160,12 @@ def test_regions_over_the_border_of_a_piece_are_whole(monkeypatch, packs):
         assert {k for k, _, _ in spans} >= {"assign"} and {a for _, a, _ in spans} == {2}
 
 
+def test_hits_inside_of_base_spans_are_kept():
+    text = f"secret={base64.b64encode(b'password=hunter2222').decode()} y"
+    base, spans = secrets.scan(text)
+    assert base == [("assign", 0, 35)] and len(spans) == 2 and spans[0] == base[0] and spans[1][:2] == ("assign", 7)
+
+
 def test_feistel_shift_is_a_bijection_without_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         f = pii.Feistel(b"key", "t", n)
