@@ -760,8 +760,8 @@ def _(spark, d):
 
 # Mutants and static coverage
 
-_CODE = """CASE doc_id % 3 WHEN 0 THEN concat('int f(int x) {\n  if (x) return ', doc_id, ' + 0x1f;\n  // skip 5\n  return x == 3 && x > 1;\n}')
-  WHEN 1 THEN concat('module m(input a);\n  reg [7:0] r;\n  if (!a) r <= 8\\'hA5;\n  else r <= 8\\'b0101;\n  assign y = a && r;\nendmodule // ', doc_id) ELSE text END"""
+_CODE = """concat_ws('\n', text, CASE doc_id % 3 WHEN 0 THEN concat('int f(int x) {\n  if (x) return ', doc_id, ' + 0x1f;\n  // skip 5\n  return x == 3 && x > 1;\n}')
+  WHEN 1 THEN concat('module m(input a);\n  reg [7:0] r;\n  if (!a) r <= 8\\'hA5;\n  else r <= 8\\'b0101;\n  assign y = a && r;\nendmodule // ', doc_id) END)"""
 
 
 @query("mutants")

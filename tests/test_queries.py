@@ -48,3 +48,13 @@ def test_plans_prune_columns_and_stay_native(spark, sf_dir):
         assert "Python" not in plan and "CartesianProduct" not in plan, name
     plan = registry.QUERIES["pass1_per_seed"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" not in plan
+
+
+def test_mutants_are_of_whole_documents(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = registry.QUERIES["mutants"](spark, sf_dir).collect()
+    assert {r.key % 3 for r in rows} >= {0, 1}
+    for r in rows:
+        # One line differs, and the snippet follows.
+        old, new = [] if texts[r.key] is None else texts[r.key].split("\n"), r.mutant.split("\n")
+        assert len(new) == len(old) + (5, 6, 0)[r.key % 3] and sum(a != b for a, b in zip(old, new, strict=False)) <= 1
