@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyforge.llm import chat, html, pii, secrets
+from tallyforge.llm import chat, pii, secrets
 
 TEXTS = st.lists(st.sampled_from([*"ab<>|/\\[]INSTs%\n ", "</s>", "<s>", "<|", "[INST]", "[/INST]", "é", "🎉"]), max_size=40).map("".join)
 
@@ -202,58 +202,3 @@ def test_clean_texts_and_edges_stay(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "x 8.8.8.8"), (2, "x 8.8.8.8")], "doc_id long, text string")
     got = [(r.doc_id, r.n_values, r.text) for r in pii.masked(df, "k").collect()]
     assert (1, 0, None) in got and (None, 0, "") in got and len({t for d, n, t in got if d == 2}) == 1 and pii.masked(df.limit(0), "k").count() == 0
-
-
-PAGE = (
-    '<html><head><title>T</title><script>var a="</p>"</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>'
-    '<article><h1>T &amp; U</h1><p>one <b>two</b>\n three<br>four<aside>side</aside><p>five&nbsp;six<form><input>q</form></article><div id="comments"><p>nice</p></div><footer>&copy;</footer>'
-)
-
-
-def test_main_text_of_a_page():
-    assert html.main_text(PAGE) == "T & U\none two three\nfour\nfive six"
-    assert html.main_text('<p>one <span class="ad">buy</span>two <button>go</button><i>three</i></p><aside>x<p>y</aside>z') == "one two three\nz"
-    assert html.main_text("") == "" and html.main_text("plain") == "plain" and html.main_text("<p>a<p>b<!-- c") == "a\nb"
-
-
-def test_template_text_goes_and_main_element_is_found(spark):
-    random.seed(1)
-    word = lambda: "".join(random.choices("abcdefgh", k=6))
-    body = [" ".join(word() for _ in range(30)) for _ in range(12)]
-    page = lambda i: f'<body><div class="top"><p>Welcome to us</p></div><div class="story"><p>{body[i]}</p><p>Follow our feed</p></div><p>all rights</p></body>'
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(50, None, None), (51, "x", ""), (52, "http://other.example/", page(3)), (52, "http://other.example/", page(3))]
-    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    texts = {r.page_id: r.text for r in got}
-    assert len(got) == len(rows) and all(texts[i] == body[i] for i in range(12)) and texts[50] == texts[51] == ""
-    assert texts[52].split("\n") == ["Welcome to us", body[3], "Follow our feed", "all rights"] and all(r.n_chars == len(r.text) for r in got)
-
-
-def test_near_copies_on_a_host_keep_their_text(spark):
-    random.seed(2)
-    line = lambda n: " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(n))
-    shared, edits, news = [line(25) for _ in range(5)], [line(25) for _ in range(12)], [line(60) for _ in range(24)]
-    copy = lambda i, k: [*shared[:k], edits[i], *shared[k:]]
-    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
-    shapes = {
-        "article": lambda i: (f"<body><p>Welcome to us</p><article>{p(copy(i, 2))}</article></body>", copy(i, 2)),
-        "plain": lambda i: (f'<body><p>Welcome to us</p><div class="story">{p(copy(i, 2))}</div></body>', copy(i, 2)),
-        "last": lambda i: (f'<body><p>Welcome to us</p><div class="story">{p(copy(i, 5))}</div></body>', copy(i, 5)),
-        "heading": lambda i: (f'<body><p>Welcome to us</p><div class="story">{p([news[i], "Background", news[i + 12]])}<p>Follow our feed</p></div></body>', [news[i], "Background", news[i + 12]]),
-        "titled": lambda i: (f"<body><main><h1>Daily letter</h1>{p([news[i]])}</main></body>", ["Daily letter", news[i]]),
-        "half": lambda i: (f'<body><div class="{"copy" if i % 2 else "own"}">{p(copy(i, 2) if i % 2 else [news[i]])}</div></body>', copy(i, 2) if i % 2 else [news[i]]),
-    }
-    rows = [(100 * k + i, f"http://{name}.example/{i}", page(i)[0]) for k, (name, page) in enumerate(shapes.items()) for i in range(12)]
-    rows += [(1000 + i, f"http://half.example/more/{i}", shapes["half"](i)[0]) for i in range(12)]
-    got = {r.page_id: r.text.split("\n") for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for k, page in enumerate(shapes.values()):
-        assert [got[100 * k + i] for i in range(12)] == [page(i)[1] for i in range(12)]
-
-
-def test_template_texts_are_tested_for_order_and_nesting():
-    source = '<body><div class="a"><p>one</p><p>two</p></div><div class="b"><p>three</p></div><p>own words</p></body>'
-    codes = {b[0]: b[1] for b in html.Page(source).blocks}
-    box = html.Page(source).blocks[0][4][1]
-    text = lambda names, inside=None: html.main_text(source, [{"texts": [codes[n] for n in names], "inside": inside}]).split("\n")
-    assert text(["one", "two", "three"]) == ["own words"]
-    assert text(["three", "one", "two"]) == ["three", "own words"]
-    assert text(["one", "two", "three"], [box]) == ["three", "own words"]
