@@ -7,17 +7,23 @@ uniform component of the signature and a uniform weight inside the block, and co
 A component holds the earliest time that reaches it; two texts agree in a component with the probability of their
 weighted Jaccard similarity. Times of a process only grow, so a process stops at the largest component so far.
 
-Texts of one multiset collapse to a node first. Nodes that agree in all rows of a band share a bucket. Each bucket
-pairs its members with its smallest node; pairs are verified exactly on the shingles. The rest, members of buckets that
-still hold several components, meet in blocks of bounded size: members outside of the component of the smallest node
-against all members, nearest signature first, verified exactly inside of the block, where pairs that a link has connected
-meanwhile are skipped. So every link between two texts in a bucket is found or joins nodes that are connected already;
-no bucket, however large, meets in one task, and what is emitted are links of a spanning forest, never all pairs. Components come from label
-propagation with pointer jumping; every step is an aggregation or a join on tables in the shared folder.
+Texts of one multiset collapse to a node first, by a 128-bit digest; a node's number is given when nodes are written.
+Nodes that agree in all rows of a band share a bucket. Each bucket pairs its members with its smallest node; pairs are
+verified exactly on the shingles. The rest are members of buckets that still hold several components. Buckets of up to
+``BLOCK`` members meet in one block: members outside of the component of the smallest node against all, nearest signature
+first, verified exactly, where pairs that a link has connected meanwhile are skipped, as are those whose signatures
+agree in less than ``LEAST_BYTES`` bytes (a pair of 0.8 does with a probability below 3e-7). Larger buckets are never
+paired: their members are joined by an exact prefix filter. Of the units of each text, ordered by how rare they are among
+these texts, two texts of 0.8 must share one of the rarest fifth, so that only texts of different components that share
+such a unit become pairs, and are verified. What a bucket shuffles is in proportion to the text of its members. So every
+link between two texts in a bucket is found or joins nodes that are connected already; what is emitted are links of a
+spanning forest and pairs that share rare shingles, never all pairs. Components come from label propagation with pointer
+jumping; links found later join the components found before. Every step is an aggregation or a join on tables in the
+shared folder.
 
 Nulls and edge cases: a text without words (null too) has no shingles and is a class of its own; of each class the
-document of smallest id stays (null ids count only where there is no other); rows that repeat an id and its text are one
-document; an empty table gives no rows; other columns stay as they are. Nodes are told apart by a 64-bit digest.
+document with the smallest id stays; rows that repeat an id and its text share its verdict; null ids count as the largest
+document; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -188,20 +194,21 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         row = end
 
 
-_SIGNED = "doc long, mark long, node long, bands array<long>, bytes binary"
+_SIGNED = "doc long, mark long, n1 long, n2 long, bands array<long>, bytes binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, mark, text -> the node (null without shingles), the hash of each band and a byte of each component."""
+    """doc, mark, text -> the digest (null without shingles), the hash of each band and a byte of each component."""
     for batch in batches:
         for row, end, words, bounds in _chunks(batch.column(2)):
             n = end - row
             docs, items, counts = bags(*shingles(words, bounds))
             sig = signatures(n, docs, items, counts)
-            unit = mix(items * _U(3) + mix(counts.astype(np.uint64)))
-            node = np.zeros(n, np.uint64)
-            np.add.at(node, docs, unit)
-            node = mix(node)
+            halves = []
+            for odd in (3, 0x9FB21C651E98DF25):
+                half = np.zeros(n, np.uint64)
+                np.add.at(half, docs, mix(mix(items * _U(odd)) + counts.astype(np.uint64)))
+                halves.append(mix(half).view(np.int64))
             bits = sig.view(np.uint64)
             keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
             for k in range(ROWS):
@@ -212,11 +219,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).slice(row, n),
                     batch.column(1).slice(row, n),
-                    pa.array(node.view(np.int64), pa.int64(), mask=empty),
+                    *(pa.array(x, pa.int64(), mask=empty) for x in halves),
                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), keys.view(np.int64).ravel()),
                     pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
-                names=["doc", "mark", "node", "bands", "bytes"],
+                names=["doc", "mark", "n1", "n2", "bands", "bytes"],
             )
 
 
@@ -235,6 +242,17 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, units -> a row for each unit, with the number of the node's."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            units = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            for at in range(0, len(units), CHUNK >> 4):
+                part = units[at : at + (CHUNK >> 4)]
+                same = lambda x, kind: pa.array(np.full(len(part), x), kind)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py(), pa.int64()), same(len(units), pa.int64()), pa.array(part)], names=["node", "size", "unit"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, units of a, units of b -> the pairs that are similar enough."""
     percent = round(SIMILARITY * 100)
@@ -305,23 +323,22 @@ def _block_links(bucket: int, left: _Side, right: _Side) -> Iterator[tuple[int,
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of blocks (bucket, i, j, side, then those of _Side), a block's together -> links.
-
-    A block has about BLOCK rows of either side.
-    """
-    now, sides = None, ([], [])
+    """Rows of buckets (bucket, outside, then those of _Side), a bucket's together -> links of those outside with all."""
+    now, rows, left = None, [], []
 
     def packed():
-        found = list(_block_links(now[0], *map(_Side, sides))) if all(sides) else []
+        found = list(_block_links(now, _Side(left), _Side(rows))) if left else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for bucket, i, j, side, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != (bucket, i, j):
+        for bucket, outside, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != bucket:
                 if now is not None:
                     yield packed()
-                now, sides = (bucket, i, j), ([], [])
-            sides[side].append(rest)
+                now, rows, left = bucket, [], []
+            rows.append(rest)
+            if outside:
+                left.append(rest)
     if now is not None:
         yield packed()
 
@@ -337,10 +354,10 @@ class _Job:
         return written(self.rows.mapInArrow(tidy(_signed), _SIGNED), self.folder, "signed")
 
     def nodes(self, signed: DataFrame) -> DataFrame:
-        """One row for each node: the document that stands for it, its bands and bytes."""
+        """One row for each digest: its number, the document that stands for it, its bands and bytes."""
         one = F.min_by(F.struct("doc", "mark", "bands", "bytes"), F.struct(F.col("doc").isNull(), "doc", "mark"))
-        rows = signed.where("node is not null").groupBy("node").agg(one.alias("x"), F.count(F.lit(1)).alias("size"))
-        return written(rows.select("node", "size", "x.*"), self.folder, "nodes")
+        rows = signed.where("n1 is not null").groupBy("n1", "n2").agg(one.alias("x"), F.count(F.lit(1)).alias("size"))
+        return written(rows.select("n1", "n2", F.monotonically_increasing_id().alias("node"), "size", "x.*"), self.folder, "nodes")
 
     def members(self, nodes: DataFrame) -> DataFrame:
         """(bucket, node, lead) of buckets with several nodes."""
@@ -387,16 +404,41 @@ class _Job:
         heads = whole.where("node = lead").select("bucket", F.col("label").alias("lead_label"))
         open_ = whole.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
         # A bucket of two was compared when its members were paired with the lead.
-        open_ = open_.where("n > 2").join(heads, "bucket").select("bucket", "lead_label", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-        rows = written(whole.join(open_, "bucket").select("bucket", "node", "label", "lead_label", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("own")), self.folder, "open")
+        open_ = open_.where("n > 2").join(heads, "bucket").select("bucket", "lead_label", "n")
+        rows = written(whole.join(open_, "bucket").select("bucket", "node", "label", (F.col("label") != F.col("lead_label")).alias("outside"), "n"), self.folder, "open")
         if not rows.limit(1).count():
             return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        rows = rows.join(nodes.select("node", "bytes", "bands"), "node").join(self.units(rows.select("node").distinct(), nodes, "open"), "node")
-        every, own = F.sequence(F.lit(0), F.col("blocks") - 1), ["node", "label", "bytes", "bands", "units"]
-        left = rows.where("label <> lead_label").select("bucket", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), *own)
-        right = rows.select("bucket", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *own)
-        blocks = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-        return blocks.mapInArrow(tidy(_compared), "a long, b long").distinct()
+        units = self.units(rows.select("node").distinct(), nodes, "open")
+        small = rows.where(f"n <= {BLOCK}").join(nodes.select("node", "bytes", "bands"), "node").join(units, "node")
+        blocks = small.select("bucket", "outside", "node", "label", "bytes", "bands", "units").repartition("bucket").sortWithinPartitions("bucket")
+        found = blocks.mapInArrow(tidy(_compared), "a long, b long")
+        large = written(rows.where(f"n > {BLOCK}").select("node", "label").distinct(), self.folder, "large")
+        if large.limit(1).count():
+            found = found.unionByName(self.links(self.sharing_rare_units(large, units), nodes, "large"))
+        return found.distinct()
+
+    def sharing_rare_units(self, large: DataFrame, units: DataFrame) -> DataFrame:
+        """Pairs (a, b) of large (node, label) of different labels that may be similar, by an exact prefix filter."""
+        percent = round(SIMILARITY * 100)
+        single = written(units.join(large.select("node"), "node", "left_semi").mapInArrow(tidy(_single), "node long, size long, unit long"), self.folder, "single")
+        shared = single.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+        own = single.join(shared.hint("merge"), "unit").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "unit"))).alias("own"))
+        # Units that no other text has come first in the order and can't be shared.
+        first = F.expr(f"size(own) - cast(ceil(size * {percent} / 100) as int) + 1")
+        spots = own.withColumn("first", first).where("first > 0").select("node", "size", F.explode(F.slice("own", F.lit(1), F.least("first", F.size("own")))).alias("x"))
+        spots = written(spots.select("node", "size", F.col("x.unit").alias("unit")).join(large, "node"), self.folder, "rare")
+        one, two = (spots.select(F.col("unit"), F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+        near = f"a < b and la <> lb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)"
+        return one.join(two.hint("merge"), "unit").where(near).select("a", "b").distinct()
+
+    def joined(self, labels: DataFrame, more: DataFrame) -> DataFrame:
+        """labels with the links of more between them: these are few, so labels are propagated between components only."""
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        ends = ends.where("a <> b").distinct()
+        outer = self.labels(ends, "all").withColumnsRenamed({"node": "label", "label": "least"})
+        single = outer.select(F.col("label").alias("node"), F.col("least").alias("label")).join(labels, "node", "left_anti")
+        return labels.join(outer, "label", "left").select("node", F.coalesce("least", "label").alias("label")).unionByName(single)
 
     def classes(self) -> DataFrame:
         """(doc, mark, class_id, class_size) for each row."""
@@ -404,17 +446,16 @@ class _Job:
         nodes = self.nodes(signed)
         members = self.members(nodes)
         stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        links = self.links(stars, nodes, "star")
-        labels = self.labels(links, "star")
+        labels = self.labels(self.links(stars, nodes, "star"), "star")
         more = written(self.rest(members, labels, nodes), self.folder, "rest")
         if more.limit(1).count():
-            labels = self.labels(links.unionByName(more), "all")
-        roots = nodes.select("node", "doc", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            labels = self.joined(labels, more)
+        roots = nodes.select("node", "n1", "n2", "doc", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         groups = roots.groupBy("label").agg(F.min("doc").alias("class_id"), F.sum("size").alias("class_size"))
-        found = roots.select("node", "label").join(groups, "label").select("node", "class_id", "class_size")
-        rows = signed.select("doc", "mark", "node")
-        joined = rows.where("node is not null").join(found.hint("merge"), "node").select("doc", "mark", "class_id", "class_size")
-        return joined.unionByName(rows.where("node is null").select("doc", "mark", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+        found = roots.select("n1", "n2", "label").join(groups, "label").select("n1", "n2", "class_id", "class_size")
+        rows = signed.select("doc", "mark", "n1", "n2")
+        joined = rows.where("n1 is not null").join(found.hint("merge"), ["n1", "n2"]).select("doc", "mark", "class_id", "class_size")
+        return joined.unionByName(rows.where("n1 is null").select("doc", "mark", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

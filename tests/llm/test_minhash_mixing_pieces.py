@@ -80,7 +80,9 @@ def check_classes(spark, rows, df=None):
         assert got[k] == min((d for d, _ in group if d is not None), default=None), k[0]
 
 
-def test_classes_match_brute_force(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_classes_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # 3: nearly all open buckets are large ones
     rng = random.Random(3)
     rows = []
     for g in range(12):
@@ -99,6 +101,32 @@ def test_classes_match_brute_force(spark):
     check_classes(spark, rows)
 
 
+def test_a_large_bucket_of_different_texts_makes_no_pairs(spark):
+    """20,000 texts that share a passage and so may share a bucket: work is in proportion to their number."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{passage} ', array_join(transform(sequence(1, 20), x -> concat('d', id, 'w', x)), ' ')) AS text")
+    job = minhash._Job(docs, "doc_id", "text")
+    nodes = job.nodes(job.signed())
+    large = nodes.selectExpr("node", "node AS label").where("doc < 20000")
+    assert job.sharing_rare_units(large, job.units(large.select("node"), nodes, "open")).count() == 0
+    assert spark.read.parquet(f"{job.folder}/rare").count() == 0 and spark.read.parquet(f"{job.folder}/single").count() == 20_000 * 56
+
+
+def test_pairs_by_rare_units_are_all_similar_ones(spark):
+    rng = random.Random(8)
+    pool = [[f"s{k}w{i}" for i in range(30)] for k in range(6)]
+    texts = [" ".join(w for k in rng.sample(range(6), rng.choice((3, 4, 5))) for w in pool[k][: rng.choice((26, 28, 30))]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    job = minhash._Job(docs, "doc_id", "text")
+    nodes = job.nodes(job.signed())
+    large = nodes.selectExpr("node", "node AS label")
+    of = {r.node: r.doc for r in nodes.collect()}
+    got = {tuple(sorted((of[r.a], of[r.b]))) for r in job.links(job.sharing_rare_units(large, job.units(large.select("node"), nodes, "open")), nodes, "x").collect()}
+    bags = {i: bag(texts[i]) for i in of.values()}
+    similar = lambda x, y: 100 * (x & y).total() >= 80 * (x | y).total()
+    assert got == {(i, j) for i in bags for j in bags if i < j and similar(bags[i], bags[j])} and got
+
+
 def test_classes_of_edge_cases(spark, nasty, empty):
     rows = [(r.doc_id, r.text) for r in nasty.collect()]
     check_classes(spark, rows, nasty)
