@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import lines, minhash, mixing, pieces, quality
-from tallyforge.llm.common import work_dir, written
+from tallyforge.llm.common import deleted, scratch, work_dir, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return minhash.representatives(docs)
+    """One document of each near-duplicate class.
+
+    Documents are compared by their texts here and by those of the documents table: line dedup has cut from later copies
+    what they share with the first one, and what is left of them resembles nothing. Without a folder of tables only the
+    texts here count.
+    """
+    return minhash.representatives(docs, before=spark.read.parquet(f"{sf_dir}/documents.parquet") if sf_dir else None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each is written as Parquet and read again."""
+    """All stages on documents; each is written as Parquet and read again, and what only led to it is deleted."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), folder, f"stage-{k}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), folder, f"stage-{k}")
+        deleted(spark, f"{folder}/stage-{k - 1}")
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -21,24 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the session.
+    """A new folder below the shared checkpoint folder of the session, or below that of ``scratch``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and the context has none (a
-    local session, as in tests) is a temporary one made.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and the context has none, and
+    driver and executors are one process (master local or local[...], as in tests), is a temporary one made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _scratch[-1] if _scratch else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         base = context.getCheckpointDir()
         if not base:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tallyforge-")
             context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that nothing reads any more; one that isn't there is no fault."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Inside, all work folders lie in one, which is deleted at the end: what is wanted must be written before.
+
+    Operators that write tables between their steps read them lazily, so only their caller knows when they may go.
+    """
+    folder = work_dir(spark)
+    _scratch.append(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.remove(folder)
+        deleted(spark, folder)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in a shared folder; survives the loss of executors."""
     path = f"{folder}/{name}"

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, tidy, work_dir, written
+from tallyforge.llm.common import deleted, table, tidy, work_dir, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a pair misses all bands with a probability of 5e-5.
@@ -344,11 +344,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Job:
-    """One run over docs; tables between its steps lie in one shared folder."""
+    """One run over docs; tables between its steps lie in one shared folder.
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
-        self.spark, self.folder = docs.sparkSession, work_dir(docs.sparkSession)
-        self.rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.lit(11), f"`{text}`").alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+    ``before`` has other texts of the same documents: what these are near to, the document is.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str, before: DataFrame | None = None):
+        self.spark, self.folder, self.versions = docs.sparkSession, work_dir(docs.sparkSession), before is not None
+        self.rows = self._rows(docs, key, text)
+        if before is not None:
+            old, now = self._rows(before, key, text), self.rows.select("doc", "mark")
+            # Only texts that are others than now; these are few, and read again when pairs are verified.
+            changed = old.select("doc", "mark").join(now.where("doc is not null").select("doc", F.col("mark").alias("now")), "doc").where("mark <> now").select("doc", "mark").distinct()
+            old = old.join(written(changed, self.folder, "changed"), ["doc", "mark"], "left_semi")
+            self.rows = self.rows.unionByName(written(old, self.folder, "before"))
+
+    @staticmethod
+    def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+        return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.lit(11), f"`{text}`").alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads."""
+        for name in names:
+            deleted(self.spark, f"{self.folder}/{name}")
 
     def signed(self) -> DataFrame:
         return written(self.rows.mapInArrow(tidy(_signed), _SIGNED), self.folder, "signed")
@@ -379,7 +397,15 @@ class _Job:
         pairs = written(pairs, self.folder, f"{name}-pairs")
         units = self.units(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, name)
         both = pairs.join(units.withColumnsRenamed({"node": "b", "units": "ub"}), "b").join(units.withColumnsRenamed({"node": "a", "units": "ua"}), "a")
-        return written(both.select("a", "b", "ua", "ub").mapInArrow(tidy(_linked), "a long, b long").distinct(), self.folder, f"{name}-links")
+        links = written(both.select("a", "b", "ua", "ub").mapInArrow(tidy(_linked), "a long, b long").distinct(), self.folder, f"{name}-links")
+        self.drop(f"{name}-pairs", f"{name}-units")
+        return links
+
+    def same(self, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links between the texts of one document."""
+        of = signed.where("doc is not null and n1 is not null").select("doc", "n1", "n2").join(nodes.select("n1", "n2", "node"), ["n1", "n2"])
+        least = of.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+        return of.join(least, "doc").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
         """(node, label): the smallest node of each component, for nodes with links."""
@@ -394,7 +420,9 @@ class _Job:
             ahead = now.select(F.col("node").alias("least"), F.col("label").alias("ahead"))
             new = new.join(ahead, "least").select("node", F.least("least", "ahead").alias("label"), (F.least("least", "ahead") < F.col("label")).alias("changed"))
             new = written(new, self.folder, f"{name}-labels-{step}")
+            self.drop(f"{name}-labels-{step - 1}")
             if new.where("changed").limit(1).count() == 0:
+                self.drop(f"{name}-ends")
                 return new.drop("changed")
             now = new.drop("changed")
 
@@ -446,8 +474,10 @@ class _Job:
         nodes = self.nodes(signed)
         members = self.members(nodes)
         stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        labels = self.labels(self.links(stars, nodes, "star"), "star")
+        links = self.links(stars, nodes, "star")
+        labels = self.labels(links.unionByName(self.same(signed, nodes)) if self.versions else links, "star")
         more = written(self.rest(members, labels, nodes), self.folder, "rest")
+        self.drop("members", "open", "open-units", "large", "single", "rare", "large-links", "star-links")
         if more.limit(1).count():
             labels = self.joined(labels, more)
         roots = nodes.select("node", "n1", "n2", "doc", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -464,12 +494,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return found.select(F.col("doc").alias(key), "class_id", "class_size", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", before: DataFrame | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose document stays for its class.
 
-    Of a class only rows that repeat the id and the text of the one that stays are kept beside it.
+    Of a class only rows that repeat the id and the text of the one that stays are kept beside it. ``before`` has the
+    texts as an earlier step found them (key, text): documents that were near-duplicates then are so still, also where
+    that step has cut from one of them what they share. Rows of it whose id isn't in docs don't matter.
     """
-    job = _Job(docs, key, text)
+    job = _Job(docs, key, text, before)
     dropped = job.classes().where("class_id is not null and (doc is null or doc <> class_id)").select("doc", "mark").distinct()
     dropped = written(dropped.withColumnsRenamed({"doc": "__n_doc", "mark": "__n_mark"}), job.folder, "dropped")
     rows = docs.withColumn("__n_mark", F.xxhash64(F.lit(11), f"`{text}`"))
