@@ -1,21 +1,27 @@
 """Exact deduplication over a cuckoo-filter index.
 
-An index shard holds 16-bit fingerprints of live digests in buckets of four slots. A lookup that hits is verified
-against the content kept for the bucket (whole digest and length), so a false hit never joins two texts. Digests can be
-inserted and deleted; an insertion that finds no slot within ``MAX_KICKS`` moves resizes the shard to twice the buckets
-and refills it from the stored keys.
-
-Work is spread in two levels so that no digest, however common, meets in one task: each map task first folds its own
-rows in a shard of its own and hands on one row for each digest, then the digests are hashed to partitions and folded
-again. A shard holds the digests of one partition; more partitions make smaller shards.
+A shard of the index has buckets of four slots. A slot holds the 16-bit fingerprint of a live digest and, as its content,
+the digest itself, the length and what is known of the text. A lookup reads the two buckets that a digest may be in;
+a fingerprint that hits is verified against the content of its slot, so a false hit never joins two texts. Digests can be
+inserted and deleted; a slot's content moves with its fingerprint. An insertion that finds no slot within ``MAX_KICKS``
+moves resizes the shard to twice the buckets and refills it from the stored digests. Texts are told apart by SHA-256 and
+length, not read again.
+
+Work is spread in two levels so that no digest, however common, meets in one task, and memory is bounded in both. Each
+map task folds its rows in a shard of ``LIVE`` digests at most; when it is full the oldest digest is deleted and handed on
+(it may come again). Then rows are hashed to partitions by digest and ordered by the digest's first two bytes, and a
+partition's 65,536 shards are folded one after the other, each whole.
 
 Nulls and edge cases: a null text counts as empty. Of equal texts the row with the largest id stays; null ids count as
-smallest. Rows that repeat an id and its text are one document and share its verdict. Other columns are ignored.
+smallest. Rows that repeat an id and its text are one document and share its verdict. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,24 +30,25 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
 
-SLOTS, MAX_KICKS = 4, 200
+SLOTS, MAX_KICKS, LIVE = 4, 200, 1 << 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class CuckooIndex:
-    """A cuckoo filter over digests (bytes, 16 at least) with the live keys and their values kept by bucket."""
+    """A cuckoo filter over digests (bytes, 16 at least) whose slots hold fingerprint, digest and value."""
 
     def __init__(self, buckets: int = 1 << 8):
-        self._resize(buckets, {})
+        self.live = 0
+        self._refill(buckets, [])
 
     def __len__(self) -> int:
-        return len(self.content)
+        return self.live
 
-    def _resize(self, buckets: int, content: dict) -> None:
+    def _refill(self, buckets: int, kept: list[tuple[int, bytes, list]]) -> None:
         while True:
-            self.mask, self.content = buckets - 1, content
-            self.slots: list[list[int]] = [[] for _ in range(buckets)]
-            if all(self._place(*self._seat(key)) for key in content):
+            self.mask = buckets - 1
+            self.slots: list[list[tuple[int, bytes, list]]] = [[] for _ in range(buckets)]
+            if all(self._place(slot, self._seat(slot[1])[1]) is None for slot in kept):
                 return
             buckets *= 2
 
@@ -52,69 +59,113 @@ class CuckooIndex:
     def _other(self, mark: int, bucket: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995 >> 3)) & self.mask
 
-    def _place(self, mark: int, bucket: int) -> bool:
-        for at in (bucket, self._other(mark, bucket)):
+    def _place(self, slot: tuple[int, bytes, list], bucket: int) -> tuple[int, bytes, list] | None:
+        """Puts a slot in one of its buckets, moving others on; gives the one left over where there is no room."""
+        for at in (bucket, self._other(slot[0], bucket)):
             if len(self.slots[at]) < SLOTS:
-                self.slots[at].append(mark)
-                return True
+                self.slots[at].append(slot)
+                return None
         for kick in range(MAX_KICKS):
             here = self.slots[at]
-            mark, here[kick % SLOTS] = here[kick % SLOTS], mark
-            at = self._other(mark, at)
+            slot, here[kick % SLOTS] = here[kick % SLOTS], slot
+            at = self._other(slot[0], at)
             if len(self.slots[at]) < SLOTS:
-                self.slots[at].append(mark)
-                return True
-        return False
+                self.slots[at].append(slot)
+                return None
+        return slot
+
+    def _find(self, digest: bytes) -> tuple[int, int] | None:
+        """Bucket and place of a live digest: a fingerprint that hits is verified against the content."""
+        mark, first = self._seat(digest)
+        for at in (first, self._other(mark, first)):
+            for k, slot in enumerate(self.slots[at]):
+                if slot[0] == mark and slot[1] == digest:
+                    return at, k
+        return None
 
     def may_hold(self, digest: bytes) -> bool:
-        """What the filter alone says; false positives are possible."""
-        mark, at = self._seat(digest)
-        return mark in self.slots[at] or mark in self.slots[self._other(mark, at)]
+        """What the fingerprints alone say; false positives are possible."""
+        mark, first = self._seat(digest)
+        return any(slot[0] == mark for at in (first, self._other(mark, first)) for slot in self.slots[at])
 
-    def get(self, digest: bytes):
-        """The value of a live digest or None; a hit of the filter is verified against the content."""
-        return self.content.get(digest) if self.may_hold(digest) else None
+    def get(self, digest: bytes) -> list | None:
+        """The value of a live digest or None."""
+        spot = self._find(digest)
+        return None if spot is None else self.slots[spot[0]][spot[1]][2]
 
-    def insert(self, digest: bytes, value) -> None:
+    def insert(self, digest: bytes, value: list) -> None:
         """Adds a digest that isn't live."""
-        self.content[digest] = value
-        if not self._place(*self._seat(digest)):
-            self._resize(2 * len(self.slots), self.content)
-
-    def delete(self, digest: bytes) -> bool:
-        """Removes a live digest; False if it isn't live."""
-        if self.get(digest) is None:
-            return False
         mark, at = self._seat(digest)
-        for bucket in (at, self._other(mark, at)):
-            if mark in self.slots[bucket]:
-                self.slots[bucket].remove(mark)
-                break
-        del self.content[digest]
-        return True
-
-    def fold(self, digest: bytes, length: int, keep, size: int) -> None:
-        """A text takes its place in the index: a new one is inserted, an equal one is merged with the live entry."""
+        left = self._place((mark, digest, value), at)
+        if left is not None:
+            self._refill(2 * len(self.slots), [*(slot for bucket in self.slots for slot in bucket), left])
+        self.live += 1
+
+    def delete(self, digest: bytes) -> list | None:
+        """Removes a live digest and gives its value; None if it isn't live."""
+        spot = self._find(digest)
+        if spot is None:
+            return None
+        self.live -= 1
+        return self.slots[spot[0]].pop(spot[1])[2]
+
+    def items(self) -> Iterator[tuple[bytes, list]]:
+        return ((slot[1], slot[2]) for bucket in self.slots for slot in bucket)
+
+    def fold(self, digest: bytes, length: int, keep, size: int) -> bool:
+        """A text takes its place in the index: a new one is inserted (True), an equal one is merged with the live entry."""
         live = self.get(digest)
         if live is None:
             self.insert(digest, [length, keep, size])
-        elif live[0] != length:
+            return True
+        if live[0] != length:
             raise ValueError("two texts of different length share a SHA-256 digest")
-        else:
-            live[1] = keep if live[1] is None else live[1] if keep is None else max(live[1], keep)
-            live[2] += size
+        live[1] = keep if live[1] is None else live[1] if keep is None else max(live[1], keep)
+        live[2] += size
+        return False
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, schema = CuckooIndex(), None
+def _packed(rows: Iterator[tuple[bytes, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := [x for x, _ in zip(rows, range(10_000))]:
+        columns = [[k for k, _ in part], *([v[i] for _, v in part] for i in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], names=["digest", "length", "keep_id", "group_size"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _with_schema(work):
+    """work gets the rows of batches and gives (digest, value) pairs, which become batches of the same columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches := iter(batches), None)
+        if first is not None:
+            yield from _packed(work(_rows(itertools.chain([first], batches))), first.schema)
+
+    return run
+
+
+def _folded_locally(rows: Iterator[tuple]) -> Iterator[tuple[bytes, list]]:
+    """One row for each digest, or more if LIVE others came in between."""
+    index, age = CuckooIndex(), deque()
+    for digest, *rest in rows:
+        if index.fold(digest, *rest):
+            age.append(digest)
+            if len(index) > LIVE:
+                oldest = age.popleft()
+                yield oldest, index.delete(oldest)
+    yield from index.items()
+
+
+def _folded(rows: Iterator[tuple]) -> Iterator[tuple[bytes, list]]:
+    """One row for each digest of rows that are ordered by shard (their last column)."""
+    for _, shard in itertools.groupby(rows, key=lambda r: r[-1]):
+        index = CuckooIndex()
+        for *row, _ in shard:
             index.fold(*row)
-    items = iter(index.content.items())
-    while schema is not None and (part := [x for x, _ in zip(items, range(10_000))]):
-        columns = [[k for k, _ in part], *([v[i] for _, v in part] for i in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        yield from index.items()
 
 
 def normalised(text: Column) -> Column:
@@ -125,8 +176,9 @@ def normalised(text: Column) -> Column:
 def groups(rows: DataFrame) -> DataFrame:
     """(digest, length, keep_id, group_size), one row for each digest of rows (digest, length, keep_id, group_size)."""
     kind = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    local = rows.mapInArrow(_folded, kind)
-    return local.repartition("digest").mapInArrow(_folded, kind)
+    local = rows.mapInArrow(_with_schema(_folded_locally), kind)
+    dealt = local.withColumn("shard", F.substring("digest", 1, 2)).repartition("digest").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_with_schema(_folded), kind)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

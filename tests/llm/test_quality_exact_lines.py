@@ -70,7 +70,22 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
     assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
     assert all(index.get(k) is None for k in keys[::2]) and all(index.get(k) for k in keys[1::2])
     index.fold(keys[1], 1, 9, 2)
-    assert index.get(keys[1]) == [1, 9, 3]
+    assert index.get(keys[1]) == [1, 9, 3] and len(index) == 2500 and dict(index.items()).keys() == set(keys[1::2])
+    # A digest that shares fingerprint and bucket with a live one isn't taken for it.
+    index, twin = exact.CuckooIndex(4), keys[0][:12] + keys[1][12:]
+    index.fold(keys[0], 1, 1, 1)
+    assert index.may_hold(twin) and index.get(twin) is None and index.delete(twin) is None
+    index.fold(twin, 2, 2, 1)
+    assert index.delete(keys[0]) == [1, 1, 1] and index.get(twin) == [2, 2, 1]
+
+
+def test_full_shards_hand_on_their_oldest_digests(spark, monkeypatch):
+    monkeypatch.setattr(exact, "LIVE", 7)
+    keys = [hashlib.sha256(str(i % 40).encode()).digest() for i in range(400)]
+    out = list(exact._folded_locally((k, 1, i, 1) for i, k in enumerate(keys)))
+    assert len(out) > 40 and sum(v[2] for _, v in out) == 400 and len({k for k, _ in out}) == 40
+    rows = sorted(((k, *v, k[:2]) for k, v in out), key=lambda r: r[-1])
+    assert sorted((k, *v) for k, v in exact._folded(iter(rows))) == sorted((k, 1, 360 + i, 10) for i, k in enumerate(keys[:40]))
 
 
 def brute_clean(rows):
