@@ -1,6 +1,7 @@
 """Removes passages that repeat across documents, by overlapping windows of three lines.
 
-Lines with a word are trimmed and hashed; each three consecutive ones make a window with a 128-bit hash. A window that
+Lines with a word are trimmed and hashed with two seeds; each three consecutive ones make a window with a 64-bit hash of
+either. A window that
 occurs more than once anywhere keeps its first occurrence (smallest doc_id, then position); the lines under all later
 ones are removed, overlapping windows merging into one covered set. Blank lines stay.
 
@@ -36,9 +37,11 @@ def _with_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.xxhash64(F.lit(3), t).alias("__l_mark"),
         F.filter(F.transform(F.split(F.coalesce(t, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "").alias("__l_lines"),
     )
-    rows = rows.select("*", F.transform("__l_lines", lambda x: F.xxhash64(x)).alias("__l_hashes")).drop("__l_lines")
+    # Each line has two hashes of different seeds, so that lines which collide in one differ in the other.
+    rows = rows.select("*", F.transform("__l_lines", lambda x: F.xxhash64(x)).alias("__l_hashes"), F.transform("__l_lines", lambda x: F.xxhash64(F.lit(7), x)).alias("__l_others")).drop("__l_lines")
     at = lambda i, k: F.get(F.col("__l_hashes"), i + k)
-    window = lambda x, i: F.struct(F.xxhash64(x, at(i, 1), at(i, 2)).alias("h1"), F.xxhash64(F.lit(7), at(i, 2), x, at(i, 1)).alias("h2"), i.alias("at"))
+    too = lambda i, k: F.get(F.col("__l_others"), i + k)
+    window = lambda x, i: F.struct(F.xxhash64(x, at(i, 1), at(i, 2)).alias("h1"), F.xxhash64(too(i, 0), too(i, 1), too(i, 2)).alias("h2"), i.alias("at"))
     starts = F.slice("__l_hashes", F.lit(1), F.greatest(F.size("__l_hashes") - (LINES - 1), F.lit(0)))
     rows = rows.select("*", F.transform(starts, window).alias("__l_all"))
     # Distinct longs are counted by hash, distinct structs would be compared in pairs.
