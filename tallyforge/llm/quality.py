@@ -174,3 +174,21 @@ SQL = (
     + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits FROM ledger"""
 )
+
+
+def ablation_query(spark, sf_dir):
+    """What each rule of each policy costs, from the ledger of all documents."""
+    from tallyforge.llm.common import table
+
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
+ABLATION_SQL = (
+    "WITH "
+    + LEDGER_SQL.replace("{docs}", "documents")
+    + ", cases(policy, mask, rule, bit) AS (VALUES "
+    + ", ".join(f"('{p}', {mask_of(p)}, '{r.name}', {1 << r.bit})" for p in POLICIES for r in RULES if r.name in POLICIES[p])
+    + """)
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (failure_bits & mask <> 0) AS n_rejected, count(*) FILTER (failure_bits & bit <> 0) AS n_failing,
+       count(*) FILTER (failure_bits & mask = bit) AS n_only_this FROM ledger, cases GROUP BY policy, rule"""
+)

@@ -15,6 +15,7 @@ QUERIES = {
     "op1_chat_round_trip": chat.query,
     "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
+    "quality_ablation": quality.ablation_query,
 }
 ORACLE_SQL = {
     "op8_hierarchical_mix": mixing.SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op1_chat_round_trip": chat.SQL,
     "op5_cuckoo_exact_dedup": exact.SQL,
     "op7_quality_ledger": quality.SQL,
+    "quality_ablation": quality.ABLATION_SQL,
 }
