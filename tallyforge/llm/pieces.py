@@ -6,12 +6,16 @@ Characters without a piece of their own are byte pieces. Gumbel top-k: every seg
 Gumbel noise; the k with the largest sums are emitted, largest first. They are found by A* over the lattice: exact
 backward log-sums give each set of paths "as a path found so far up to a step, different there" its mass, hence its
 largest perturbed value (a Gumbel truncated by that of its parent set); the set with the largest value is popped, its
-best path sampled step by step, and what remains of it split in the same way. ``inclusion`` is the probability that the
-segmentation is among the k given the (k+1)-th value; log_prob / inclusion give unbiased estimates.
+best path sampled step by step, and what remains of it split in the same way. ``log_inclusion`` is the logarithm of the
+probability that the segmentation is among the k given the (k+1)-th value; exp(log_prob - log_inclusion) weighs it for
+unbiased estimates. ``inclusion`` is that probability, 0 where it is too small for a double.
 
 Work is vectorised: the lattice is cut where no piece can cross (at pairs of characters that no piece has), equal segments
 share one backward pass, and all segments of a run of texts are sampled together. Random numbers are hashes of the seed,
-the row's key, the sample and the place in the text, so a row gives the same samples wherever it is computed.
+the row's key, the sample and the place in the text. Sums over steps are of whole numbers, log-probabilities in units of
+1 / ``UNIT`` and probabilities in those of 1 / ``PART``, so that they don't depend on what else is in the run: a row gives
+the same bytes wherever it is computed. Every output is decoded; a text that doesn't come back (two segments of one hash)
+is encoded again by itself.
 
 Nulls and edge cases: a null text counts as empty; an empty text has one segmentation, without pieces; a text with fewer
 than k segmentations gives all it has; a null key is a key of its own; rows of one key and text give the same samples;
@@ -21,9 +25,9 @@ follows the longest text, at some 100 bytes a character.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from tallyforge.llm.common import table, tidy
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
 CHUNK = 1 << 19
+UNIT, PART = 1 << 34, 1 << 50
 _U = np.uint64
 _SPACE, _LITERAL = 0x2581, 0x110000
 _BASE = 0xD1342543DE82EF95
@@ -204,10 +209,14 @@ class Lattice:
             steps = self.n_steps[slots]
             back[slots] = top + np.log(np.add.reduceat(np.exp(sums_ - np.repeat(top, steps)), heads))
             self.logp[low:high] = sums_ - np.repeat(back[slots], steps)
-        sums_ = np.cumsum(np.exp(self.logp))
-        self.upto = sums_ - np.repeat(np.concatenate(([0.0], sums_))[self.begin[order]], self.n_steps[order])
+        with np.errstate(divide="ignore"):
+            self.others = np.log(-np.expm1(np.minimum(self.logp, 0.0)))  # log-probability of the slot's other steps
+        self.logp = np.rint(np.minimum(self.logp, 0.0) * UNIT).astype(np.int64)
+        self.part = np.rint(np.exp(self.logp / UNIT) * PART).astype(np.int64)
+        sums_ = np.cumsum(self.part.view(np.uint64))  # modulo 2^64, as are the differences
+        self.upto = (sums_ - np.repeat(np.concatenate((np.zeros(1, np.uint64), sums_))[self.begin[order]], self.n_steps[order])).view(np.int64)
         some = self.n_steps > 0
-        self.upto[self.begin[some] + self.n_steps[some] - 1] = 2.0
+        self.upto[self.begin[some] + self.n_steps[some] - 1] = 2 * PART
 
 
 class Store:
@@ -217,7 +226,7 @@ class Store:
     """
 
     KEPT = 50_000
-    _SLOTS, _ENTRIES = {"begin": np.int64, "n_steps": np.int32}, {"ids": np.int32, "size": np.int32, "logp": np.float64, "upto": np.float64}
+    _SLOTS, _ENTRIES = {"begin": np.int64, "n_steps": np.int32}, {"ids": np.int32, "size": np.int32, "logp": np.int64, "others": np.float64, "part": np.int64, "upto": np.int64}
 
     def __init__(self):
         self.keys, self.first, self.n_slots, self.n_entries = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
@@ -255,7 +264,7 @@ class Store:
 
     def choose(self, slots: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The entry taken at each slot."""
-        at = self.begin[slots]
+        at, u = self.begin[slots], (u * PART).astype(np.int64)
         miss = np.flatnonzero(self.upto[at] < u)
         while len(miss):
             at[miss] += 1
@@ -303,14 +312,20 @@ class Run:
             at, until = at[going], until[going]
 
     def logs(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Characters at which steps begin, and the log-probability of each step."""
+        """Characters at which steps begin, and the log-probability of each step in units."""
         at = np.flatnonzero(path >= 0)
         return at, self.lattice.logp[path[at]]
 
     def _before(self, at: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """For each step the log-probability of the steps of its text before it."""
-        sums = np.concatenate(([0.0], np.cumsum(logs)))
-        return sums[:-1] - sums[np.searchsorted(at, self.bounds[self.doc[at]])]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(logs.view(np.uint64))))
+        firsts = np.searchsorted(at, self.bounds[:-1])
+        return (sums[:-1] - sums[firsts][self.doc[at]]).view(np.int64) / UNIT
+
+    def _total(self, at: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The log-probability of the path of each text."""
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(logs.view(np.uint64))))
+        return np.diff(sums[np.searchsorted(at, self.bounds)]).view(np.int64) / UNIT
 
     def samples(self, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Paths of k samples (of all texts), whether each exists (k x n), log-probabilities, and the (k+1)-th value."""
@@ -321,24 +336,24 @@ class Run:
         paths, there, logp = [path], np.ones((k, n), bool), np.zeros((k, n))
         # Sets still to split: for each path, by the character of the step that differs, their values and excluded steps.
         values: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # characters, values, log-probabilities before
-        excluded: list[dict[int, set[int]]] = []
+        excluded: list[np.ndarray] = []  # per path, character and entry of the steps taken instead, in one number
         fresh, bound = np.zeros(n, np.int64), value  # from which character on the newest path splits off its own sets
         for j in range(k):
             at, logs = self.logs(paths[j])
-            logp[j] = np.bincount(self.doc[at], logs, n)
+            logp[j] = self._total(at, logs)
             before = self._before(at, logs)
-            with np.errstate(divide="ignore"):
-                mass = before + np.log(-np.expm1(np.minimum(logs, 0.0)))
+            mass = before + self.lattice.others[paths[j][at]]
             mine = there[j][self.doc[at]] & (at >= fresh[self.doc[at]])
             at, mass, before = at[mine], mass[mine], before[mine]
             values.append((at, _truncated(mass, bound[self.doc[at]], self._random(at, 1000 + j)), before))
-            excluded.append({})
+            excluded.append(np.zeros(0, np.int64))
             best, origin, spot = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for i, (a, v, _) in enumerate(values):
                 if len(a):
                     docs = self.doc[a]
+                    heads = np.flatnonzero(np.diff(docs, prepend=-1))
                     top = np.full(n, -np.inf)
-                    np.maximum.at(top, docs, v)
+                    top[docs[heads]] = np.maximum.reduceat(v, heads)
                     won = (v == top[docs]) & (v > best[docs])
                     origin[docs[won]], spot[docs[won]], best[docs[won]] = i, np.flatnonzero(won), v[won]
             if j == k - 1:
@@ -346,28 +361,12 @@ class Run:
             there[j + 1] = there[j] & (best > -np.inf)
             new = np.full(len(self.chars), -1, path.dtype)
             fresh, bound = self.bounds[1:].copy(), best
-            left, u_pick = np.full(n, -np.inf), _uniform(self.seed + _U((2000 + j) * int(_GOLD) % (1 << 64)))
-            for doc in np.flatnonzero(there[j + 1]).tolist():
-                i, s = int(origin[doc]), int(spot[doc])
-                c, begin = int(values[i][0][s]), int(self.bounds[doc])
-                low, n_steps = int(self.lattice.begin[self.slot[c]]), int(self.lattice.n_steps[self.slot[c]])
-                gone = excluded[i].setdefault(c, {int(paths[i][c])})
-                free = [0.0 if low + x in gone else exp(v) for x, v in enumerate(self.lattice.logp[low : low + n_steps].tolist())]
-                goal, pick = u_pick[doc] * sum(free), -1
-                for x, p in enumerate(free):
-                    if p > 0.0:
-                        goal, pick = goal - p, x
-                        if goal < 0.0:
-                            break
-                new[begin:c], new[c] = paths[i][begin:c], low + pick
-                gone.add(low + pick)
-                rest = sum(free) - free[pick] if len(gone) < n_steps else 0.0
-                left[doc] = values[i][2][s] + log(rest) if rest > 1e-300 else -np.inf
-                fresh[doc] = c + self.lattice.size[low + pick]
-            with np.errstate(divide="ignore"):
-                again = _truncated(left, best, _uniform(self.seed + _U((3000 + j) * int(_GOLD) % (1 << 64))))
-            for doc in np.flatnonzero(there[j + 1]):
-                values[origin[doc]][1][spot[doc]] = again[doc]
+            u_pick = _uniform(self.seed + _U((2000 + j) * int(_GOLD) % (1 << 64)))
+            u_left = _uniform(self.seed + _U((3000 + j) * int(_GOLD) % (1 << 64)))
+            for i in range(j + 1):
+                docs = np.flatnonzero(there[j + 1] & (origin == i))
+                if len(docs):
+                    fresh[docs] = self._part(docs, spot[docs], paths[i], values[i], excluded, i, new, u_pick[docs], u_left[docs], best[docs])
             # The rest of the segments in which the paths part, then all segments behind.
             segment = np.searchsorted(self.starts, fresh, "right") - 1
             parted = there[j + 1] & (fresh < self.bounds[1:])
@@ -378,6 +377,38 @@ class Run:
             paths.append(new)
         raise AssertionError
 
+    def _part(self, docs, spots, path, values, excluded, i, new, u_pick, u_left, best) -> np.ndarray:
+        """Lets new paths of texts part from path i at the spots; gives the characters behind the steps taken there.
+
+        The step is another than those taken from there before; the value of what is left of the set becomes smaller.
+        """
+        at, value, before = values
+        c = at[spots]
+        slot = self.slot[c]
+        n_steps = self.lattice.n_steps[slot].astype(np.int64)
+        heads = np.cumsum(n_steps) - n_steps
+        row = np.repeat(np.arange(len(docs)), n_steps)
+        entry = np.arange(len(row)) - heads[row] + self.lattice.begin[slot][row]
+        gone = (entry == path[c][row]) | np.isin(c[row] << 32 | entry, excluded[i])
+        free = np.where(gone, 0, np.maximum(self.lattice.part[entry], 1))
+        sums = np.cumsum(free)
+        sums -= (sums[heads] - free[heads])[row]
+        total = sums[heads + n_steps - 1]
+        goal = np.minimum((u_pick * total).astype(np.int64), total - 1)
+        taken = heads + np.add.reduceat((sums <= goal[row]).astype(np.int64), heads)
+        step = entry[taken]
+        # The path so far, then the step.
+        begins = self.bounds[docs]
+        ahead = np.repeat(begins - (np.cumsum(c - begins) - (c - begins)), c - begins) + np.arange((c - begins).sum())
+        new[ahead] = path[ahead]
+        new[c] = step
+        excluded[i] = np.concatenate((excluded[i], c << 32 | step))
+        left, open_ = total - free[taken], n_steps - np.add.reduceat(gone.astype(np.int64), heads) > 1
+        with np.errstate(divide="ignore"):
+            mass = np.where(open_, before[spots] + np.log(left / PART), -np.inf)
+        value[spots] = _truncated(mass, best, u_left)
+        return c + self.lattice.size[step]
+
     def pieces(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in order, and the bounds of each text's."""
         at = np.flatnonzero(path >= 0)
@@ -397,10 +428,10 @@ class Run:
         return out, begins[np.searchsorted(at, self.bounds)]
 
 
-_ENCODED = "key long, sample int, ids array<int>, n_pieces long, log_prob double, inclusion double, round_trip boolean"
+_ENCODED = "key long, sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, inclusion double, round_trip boolean"
 
 
-def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED, store: Store | None = None) -> Iterator[pa.RecordBatch]:
+def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED, store: Store | None = None, again: bool = False) -> Iterator[pa.RecordBatch]:
     """Record batches of ``_ENCODED``, k rows for a text if it has so many segmentations."""
     row, store = 0, store or Store()
     while row < len(texts):
@@ -416,7 +447,7 @@ def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int =
             there[0] = True
         else:
             paths, there, logp, after = run.samples(k)
-        raw = [t.encode("utf-8", "surrogatepass") for t in own]
+        raw, done = [t.encode("utf-8", "surrogatepass") for t in own], set()
         for j in range(len(paths)):
             pieces, bounds = run.pieces(paths[j])
             rows = np.flatnonzero(there[j])
@@ -425,8 +456,16 @@ def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int =
             text_at = np.concatenate(([0], np.cumsum(plain)))[sizes]
             whole = b" " + run.vocab.decode(pieces) if len(pieces) else b""
             same = [whole[text_at[i] + 1 : text_at[i + 1]] == raw[i] for i in rows]
-            with np.errstate(over="ignore"):
-                inclusion = -np.expm1(-np.exp(np.minimum(logp[j] - after, 700.0)))
+            if not all(same) and not again:
+                odd = {i for i, ok in zip(rows, same, strict=True) if not ok}
+                yield from (b for i in sorted(odd - done) for b in encode([own[i]], [ids[i]], vocab, k, seed, None, True))
+                done |= odd
+            over = np.minimum(logp[j] - after, 700.0)
+            log_inclusion = np.where(over < -30.0, over, np.log(-np.expm1(-np.exp(np.maximum(over, -40.0)))))
+            if done:
+                rows = np.array([i for i in rows if i not in done], np.int64)
+                same = [True] * len(rows)
+                pieces = np.concatenate([pieces[bounds[i] : bounds[i + 1]] for i in rows] or [pieces[:0]])
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.diff(bounds)[rows]))).astype(np.int32), pieces)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -435,7 +474,8 @@ def encode(texts: list[str], keys: list[int | None], vocab: Vocabulary, k: int =
                     lists,
                     pa.array(np.diff(bounds)[rows], pa.int64()),
                     pa.array(logp[j][rows]),
-                    pa.array(inclusion[rows]),
+                    pa.array(log_inclusion[rows]),
+                    pa.array(np.exp(log_inclusion[rows])),
                     pa.array(same, pa.bool_()),
                 ],
                 names=[x.split()[0] for x in _ENCODED.split(", ")],
@@ -453,11 +493,28 @@ def model_path(spark) -> str:
     return public_tokenizers.path(MODEL)
 
 
+def _shipped(spark, path: str):
+    """Gives, in a task, the path of a file that the driver has: it is sent to all executors."""
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def local() -> str:
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(name)
+
+    return local
+
+
 def encoded(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Up to k rows for each row of docs: key, sample, ids, n_pieces, log_prob, inclusion, and whether ids decode to the text."""
+    """Up to k rows for each row of docs: key, sample, ids, n_pieces, log_prob, its inclusion, and whether ids decode to the text.
+
+    The model file at path is one of the driver's.
+    """
+    model = _shipped(docs.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, store = vocabulary(path, alpha), Store()
+        vocab, store = vocabulary(model(), alpha), Store()
         for batch in batches:
             # A few rows at a time become Python strings.
             for row in range(0, batch.num_rows, 256):
@@ -470,10 +527,10 @@ def encoded(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA,
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """rows with ``text``, decoded from the column of piece ids (null ids: null), in place of the ids."""
-    kept = [c for c in rows.columns if c != ids]
+    kept, model = [c for c in rows.columns if c != ids], _shipped(rows.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, ALPHA)
+        vocab = vocabulary(model(), ALPHA)
         for batch in batches:
             texts = [None if x is None else vocab.decode(np.array(x, np.int64)).decode("utf-8", "surrogatepass") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])

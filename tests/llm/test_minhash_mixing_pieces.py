@@ -269,3 +269,34 @@ def test_a_row_gives_the_same_samples_anywhere(model):
     texts = ["the onhe tion", "and thored ntly", "é ouvi"]
     one, other = encode(texts, [1, 2, 3], model, 2), encode(texts[::-1] + ["more"], [3, 2, 1, 4], model, 2)
     assert all([r["ids"] for r in one[k]] == [r["ids"] for r in other[k]] for k in (1, 2, 3))
+
+
+def test_real_texts_give_the_same_bytes_alone_and_together(spark, sf_dir, model):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()][:1000]
+    every = encode([t for _, t in rows], [d for d, _ in rows], model, 2)
+    assert len(every) == 1000 and all(encode([t], [d], model, 2)[d] == every[d] for d, t in rows)
+    back = encode([t for _, t in rows[::-3]], [d for d, _ in rows[::-3]], model, 2)
+    assert all(back[d] == every[d] for d in back)
+    assert all(r["log_inclusion"] > -math.inf and (r["inclusion"] > 0) == (r["log_inclusion"] > -745.2) for found in every.values() for r in found)
+    alone = pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), model, alpha=1.0).collect()
+    assert len(alone) == sum(map(len, every.values()))
+    assert all(r.asDict() | {"key": r.doc_id} == next(x for x in every[r.doc_id] if x["sample"] == r.sample) | {"doc_id": r.doc_id} for r in alone)
+
+
+def test_texts_that_do_not_come_back_are_encoded_again(model, monkeypatch):
+    """Segments that share a hash are taken for each other in a run; such texts are encoded by themselves."""
+    right = pieces.Store.slots
+
+    def slots(self, vocab, chars, keys, starts, ends):
+        first, sizes = right(self, vocab, chars, keys, starts, ends), ends - starts
+        if len(keys) > 6:
+            a, b = next((i, j) for i in range(len(keys)) for j in range(i) if sizes[i] == sizes[j])
+            first[a] = first[b]
+        return first
+
+    texts = ["the onhe tion", "and thored ntly", "é ouvi", "plain words"]
+    want = encode(texts, [1, 2, 3, 4], model, 2)
+    monkeypatch.setattr(pieces.Store, "slots", slots)
+    got = encode(texts, [1, 2, 3, 4], model, 2)
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for found in got.values() for r in found)
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
