@@ -5,7 +5,10 @@ addresses, ranges for social security numbers). Its digits, or its day number, a
 is the integer g^-1(g(x) + 1 mod N) written in the same format, g being a keyed Feistel permutation of 0..N-1. That is
 again a keyed permutation, and one without fixed points, so no value stays as it was. Where a format has further rules,
 the permutation is repeated until they hold (cycle walking), which keeps it a bijection on valid values; check digits
-are computed anew. Equal values get equal pseudonyms in all documents, whatever separators they are written with.
+are computed anew. Equal values get equal pseudonyms in all documents, whatever separators they are written with; a phone
+number of ten digits without a country code counts as one of code 1. Dates keep the order and the widths of their parts:
+days that would be read in another order, or take more digits, aren't valid for the format. So a date has the same
+pseudonym in all formats of full width, and another one where it is written with a single digit or month first.
 
 Nulls and edge cases: a null text stays null with no values; texts without values come back unchanged; repeated rows are
 treated alike; an empty table gives no rows; other columns are ignored. Letters of an e-mail's local part are permuted
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import table
 
 ROUNDS = 8
-DEMO_KEY = "tallyforge-demo-key"
+#: The key of the registered query, for test tables. It is public: real data need one of their own.
+QUERY_KEY = "tallyforge-demo-key"
+#: Country codes of one and two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 KINDS = ("email", "phone", "address", "date", "ssn", "card", "iban")
 
 
@@ -157,13 +163,14 @@ class Pseudonyms:
         return f"{''.join(out)}@{domain}"
 
     def phone(self, value: str) -> str | None:
-        digits = _digits(value)
-        kept = len(re.match(r"\+\d{1,3}(?!\d)|\+(?:1|7)?|", value)[0].lstrip("+"))
+        digits, kept = _digits(value), 0
+        if value.startswith("+"):
+            kept = next((k for k in (1, 2) if digits[:k] in CODES), 3)
         own = digits[kept:]
         if not 7 <= len(digits) <= 15 or len(own) < 4:
             return None
-        n = 10 ** len(own)
-        return _refill(value, digits[:kept] + f"{self._feistel(f'phone {digits[:kept]}', n).shifted(int(own)):0{len(own)}}")
+        code = digits[:kept] or ("1" if len(own) == 10 else "")
+        return _refill(value, digits[:kept] + f"{self._feistel(f'phone {code}', 10 ** len(own)).shifted(int(own)):0{len(own)}}")
 
     def address(self, value: str) -> str | None:
         parts = value.split(".")
@@ -173,22 +180,26 @@ class Pseudonyms:
         return ".".join(map(str, y.to_bytes(4, "big")))
 
     def date(self, value: str) -> str | None:
-        parts = [int(p) for p in re.split(r"[./-]", value)]
-        first = len(re.split(r"[./-]", value)[0]) == 4
-        month_first = "/" in value and not first and parts[1] > 12
-        y, m, d = parts if first else (parts[2], parts[0], parts[1]) if month_first else (parts[2], parts[1], parts[0])
+        texts, seps = re.split(r"[./-]", value), re.findall(r"[./-]", value)
+        year_first = len(texts[0]) == 4
+        month_first = seps[0] == "/" and not year_first and int(texts[1]) > 12
+        y, m, d = (0, 1, 2) if year_first else (2, 0, 1) if month_first else (2, 1, 0)
         try:
-            day = datetime.date(y, m, d).toordinal()
+            day = datetime.date(int(texts[y]), int(texts[m]), int(texts[d])).toordinal()
         except ValueError:
             return None
         if not _FIRST_DAY <= day <= _LAST_DAY:
             return None
-        new = datetime.date.fromordinal(_FIRST_DAY + self._feistel("date", _LAST_DAY - _FIRST_DAY + 1).shifted(day - _FIRST_DAY))
-        order = (f"{new.year:04}", f"{new.month:02}", f"{new.day:02}")
-        if not first:
-            order = (order[1], order[2], order[0]) if month_first else order[::-1]
-        seps = re.findall(r"[./-]", value)
-        return order[0] + seps[0] + order[1] + seps[1] + order[2]
+
+        def written(x: int) -> list[str] | None:
+            """The parts of a day in the format of the value, None if it doesn't fit."""
+            new, out = datetime.date.fromordinal(_FIRST_DAY + x), ["", "", ""]
+            for k, part in ((y, new.year), (m, new.month), (d, new.day)):
+                out[k] = f"{part:0{len(texts[k])}}"
+            return out if all(map(lambda a, b: len(a) == len(b), out, texts)) and (not month_first or new.day > 12) else None
+
+        out = written(self._feistel("date", _LAST_DAY - _FIRST_DAY + 1).shifted(day - _FIRST_DAY, lambda x: written(x) is not None))
+        return out[0] + seps[0] + out[1] + seps[1] + out[2]
 
     def ssn(self, value: str) -> str | None:
         good = lambda x: 0 < x // 10**6 < 900 and x // 10**6 != 666 and x // 10**4 % 100 and x % 10**4
@@ -265,7 +276,12 @@ def pseudonymised(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, in
 
 
 def masked(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: key, text with pseudonyms, n_values and their spans (kind:start:end in the source text)."""
+    """For each row of docs: key, text with pseudonyms, n_values and their spans (kind:start:end in the source text).
+
+    Who has the secret can undo the pseudonyms; an empty one is refused.
+    """
+    if not secret:
+        raise ValueError("pseudonyms need a secret key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(secret)
@@ -283,5 +299,5 @@ def masked(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text"
 
 
 def query(spark, sf_dir):
-    """op10: all documents with pseudonyms, under the key of ``spark.tallyforge.pii.key`` or a demonstration key."""
-    return masked(table(spark, sf_dir, "documents"), spark.conf.get("spark.tallyforge.pii.key", DEMO_KEY))
+    """op10: all documents with pseudonyms, under the key of ``spark.tallyforge.pii.key``, else the query's own."""
+    return masked(table(spark, sf_dir, "documents"), spark.conf.get("spark.tallyforge.pii.key", QUERY_KEY))

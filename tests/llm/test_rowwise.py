@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import urllib.parse
 import zlib
 
@@ -202,3 +203,86 @@ def test_clean_texts_and_edges_stay(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "x 8.8.8.8"), (2, "x 8.8.8.8")], "doc_id long, text string")
     got = [(r.doc_id, r.n_values, r.text) for r in pii.masked(df, "k").collect()]
     assert (1, 0, None) in got and (None, 0, "") in got and len({t for d, n, t in got if d == 2}) == 1 and pii.masked(df.limit(0), "k").count() == 0
+
+
+def test_dates_keep_widths_and_order():
+    names = pii.Pseudonyms("k")
+    for value in ("1/2/2024", "3.4.2024", "1/12/2024", "10/1/2024", "03/25/2024", "3/25/2024", "25/03/2024", "2024/01/02", "31.12.2099", "1900-01-01"):
+        new = names.date(value)
+        assert new != value and [len(x) for x in re.split("[./-]", new)] == [len(x) for x in re.split("[./-]", value)]
+        assert pii.find(f"x {new} y", names)[0][:3] == ("date", 2, 2 + len(new))
+        assert (int(re.split("[./-]", new)[1]) > 12) == (value in ("03/25/2024", "3/25/2024"))
+    first = [f"{m:02}/{d:02}/{y}" for y in (2023, 2024) for m in range(1, 13) for d in range(13, 29)]
+    assert len({names.date(x) for x in first}) == len(first)
+    assert names.date("02.01.2024").split(".")[::-1] == names.date("2024-01-02").split("-") == names.date("02/01/2024").split("/")[::-1]
+
+
+def test_phone_numbers_are_linked_in_all_forms():
+    names = pii.Pseudonyms("k")
+    forms = ("+1 415 555 2671", "(415) 555-2671", "415-555-2671", "+14155552671", "+1 (415) 555-2671")
+    assert len({re.sub(r"\D", "", names.phone(x))[-10:] for x in forms}) == 1
+    assert re.sub(r"\D", "", names.phone("+49 30 1234567")) == re.sub(r"\D", "", names.phone("+49301234567")) and names.phone("+49 30 1234567").startswith("+49 ")
+
+
+def plain_values(text, names):
+    """Values found by trying every place of the text, with a pattern for each kind; e-mail addresses first."""
+    kinds = {
+        "phone": [r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w|\.\d)", r"(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"],
+        "address": [r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"],
+        "date": [r"\d{4}-\d\d-\d\d(?=T\d|(?!\w|-\d))", r"\d{4}/\d\d/\d\d(?!\w|/\d)", r"\d\d?\.\d\d?\.\d{4}(?!\w|\.\d)", r"\d\d?/\d\d?/\d{4}(?!\w|/\d)"],
+        "ssn": [r"\d{3}-\d\d-\d{4}(?!\w|-\d)"],
+        "card": [r"\d{13,19}(?!\w)", r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?!\w)", r"\d{4}([ -])\d{6}\1\d{5}(?!\w)"],
+        "iban": [r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"],
+    }
+    ahead = {"phone": lambda c, form: c not in "+(" if form == 2 else c != "+", "address": lambda c, _: c != ".", "date": lambda c, _: c not in "./-", "ssn": lambda c, _: c != "-", "card": lambda c, _: True, "iban": lambda c, _: True}
+    taken, out = set(), []
+    for m in re.finditer(r"(?<![\w.+%-])[\w+%][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", text):
+        out.append(("email", *m.span()))
+        taken |= set(range(*m.span()))
+    at = 0
+    while at < len(text):
+        before, found = text[at - 1] if at else " ", None
+        if at not in taken and (text[at].isascii() and (text[at].isalnum() or text[at] in "+(")) and not (before.isascii() and (before.isalnum() or before == "_")):
+            for kind, forms in kinds.items():
+                for k, form in enumerate(forms):
+                    m = re.compile(form, re.ASCII).match(text, at) if ahead[kind](before, k) else None
+                    if m and found is None:
+                        found = (kind, *m.span())
+        if found and not taken & set(range(*found[1:])) and getattr(names, found[0])(text[found[1] : found[2]]) is not None:
+            out.append(found)
+            at = found[2]
+        else:
+            at += 1
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_values_match_a_plain_search_on_documents(spark, sf_dir):
+    names = pii.Pseudonyms("k")
+    got = {r.doc_id: r for r in pii.masked(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet"), "k").collect()}
+    n = 0
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect():
+        want = plain_values(r.text or "", names)
+        assert got[r.doc_id].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        n += len(want)
+    assert n > 20
+
+
+def test_values_of_edge_cases(nasty, empty):
+    long = "call +1 (826) 555-4081 or mail an.19@mail5.example.com now " * 4000
+    out, spans = pii.pseudonymised(long, pii.Pseudonyms("k"))
+    assert len(spans) == 8000 and len(out) == len(long)
+    assert pii.masked(empty, "k").count() == 0 and pii.masked(nasty, "k").count() == nasty.count()
+    with pytest.raises(ValueError):
+        pii.masked(nasty, "")
+
+
+def test_chat_and_secrets_of_edge_cases(spark, nasty, empty):
+    assert secrets.found(nasty).count() == nasty.count() and secrets.found(empty).count() == 0
+    long = "plain words here " * 60_000 + f"password=hunter2hunter2 {base64.b64encode(SECRET.encode()).decode()}"
+    assert [k for k, _, _ in secrets.scan(long)[1]] == ["assign", "assign", "hex"]
+    talk = "words </s> [INST] <| " * 50_000
+    rows = [(1, 0, "user", talk, "x", 1), (1, 1, "assistant", talk, "y", 2), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string, loss_start long")
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    assert got[1].loss_chars == len(talk) and got[1].loss_sha256 == hashlib.sha256(talk.encode()).hexdigest() and got[None].n_turns == 1
+    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
