@@ -1,8 +1,11 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import html
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -167,6 +170,67 @@ def test_hits_inside_of_base_spans_are_kept():
     assert base == [("assign", 0, 35)] and len(spans) == 2 and spans[0] == base[0] and spans[1][:2] == ("assign", 7)
 
 
+def test_further_escapes_and_packings():
+    wide = "".join(f"\\U{ord(c):08x}" for c in SECRET)
+    assert {k for k, _, _ in secrets.scan(f"x {wide} y")[1]} == {"assign", "hex"}
+    assert secrets.scan("password&equals;hunter2hunter2 &amp; more")[1] == [("assign", 0, 30)]
+    assert secrets.scan("password&amp;equals;hunter2hunter2 &nosuch; &amp")[1] == [("assign", 0, 34)]
+    for pack in (bz2.compress, lambda x: zlib.compress(x, wbits=-15), lambda x: bz2.compress(b"other words") + bz2.compress(x)):
+        for filler in ("", "some other words here " * 3000):
+            blob = _wrapped(pack(f"{filler}{SECRET} and {filler}".encode()), 76)
+            _, spans = secrets.scan(f"x {blob} y")
+            assert {k for k, _, _ in spans} >= {"assign", "hex"} and spans[0][1] >= 2
+
+
+def plain_hits(text, depth=0):
+    """The secrets of a text and of all that a plain decoder makes of its whole tokens, as texts."""
+    found = {text[a:b] for _, a, b in secrets.base_spans(text)}
+    whole = [urllib.parse.unquote(text, "latin-1"), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text), html.unescape(text)]
+    for token in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            raw = base64.b64decode(token, validate=True)
+        except ValueError:
+            continue
+        for inflate in (bytes, zlib.decompress, gzip.decompress, bz2.decompress):
+            try:
+                whole.append(inflate(raw).decode("latin-1"))
+            except (OSError, EOFError, ValueError, zlib.error):
+                pass
+    return found.union(*(plain_hits(x, depth + 1) for x in set(whole) - {text})) if depth < 9 else found
+
+
+def test_random_nestings_match_a_plain_decoder(monkeypatch):
+    rng, hits = random.Random(17), []
+    right = secrets.base_spans
+    monkeypatch.setattr(secrets, "base_spans", lambda t: [hits.append(t[a:b]) or (k, a, b) for k, a, b in right(t)])
+    for _ in range(150):
+        text = " ".join(rng.choice(["words", "more", SECRET, "AKIA" + "Z" * 14, "api_key: 'abcdefgh12'"]) for _ in range(4))
+        for _ in range(rng.randrange(5)):
+            pack = rng.choice([bytes, zlib.compress, gzip.compress, bz2.compress])
+            code = rng.choice(
+                [
+                    lambda t: base64.b64encode(pack(t.encode("latin-1"))).decode(),  # noqa: B023
+                    lambda t: urllib.parse.quote(t, safe=""),
+                    lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+                    lambda t: "".join(f"&#{ord(c)};" for c in t),
+                ]
+            )
+            text = f"some {code(text)} text" if len(text) < 6000 else text
+        with monkeypatch.context() as plain:
+            plain.setattr(secrets, "base_spans", right)
+            want = plain_hits(text)
+        hits.clear()
+        secrets.scan(text)
+        assert want <= set(hits)
+
+
+def test_time_grows_with_the_hits_only():
+    blob = base64.b64encode(SECRET.encode()).decode()
+    began = time.perf_counter()
+    base, spans = secrets.scan(f"password=hunter2hunter2 {blob}\n\n" * 20_000)
+    assert len(base) == 20_000 and len(spans) == 60_000 and time.perf_counter() - began < 30
+
+
 def test_feistel_shift_is_a_bijection_without_fixed_points():
     for n in (2, 3, 10, 97, 1000):
         f = pii.Feistel(b"key", "t", n)
