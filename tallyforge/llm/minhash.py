@@ -464,7 +464,7 @@ class _Job:
         of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
         ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         ends = ends.where("a <> b").distinct()
-        outer = self.labels(ends, "all").withColumnsRenamed({"node": "label", "label": "least"})
+        outer = self.labels(ends, "all").select(F.col("node").alias("label"), F.col("label").alias("least"))
         single = outer.select(F.col("label").alias("node"), F.col("least").alias("label")).join(labels, "node", "left_anti")
         return labels.join(outer, "label", "left").select("node", F.coalesce("least", "label").alias("label")).unionByName(single)
 

@@ -112,6 +112,15 @@ def test_a_large_bucket_of_different_texts_makes_no_pairs(spark):
     assert spark.read.parquet(f"{job.folder}/rare").count() == 0 and spark.read.parquet(f"{job.folder}/single").count() == 20_000 * 56
 
 
+def test_links_found_later_join_components(spark):
+    job = minhash._Job(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7)], "node long, label long")
+    more = spark.createDataFrame([(2, 4), (5, 8), (5, 6), (1, 2)], "a long, b long")
+    got = {r.node: r.label for r in job.joined(labels, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5}
+    assert {r.node: r.label for r in job.joined(labels, more.where("a = 1")).collect()} == {r.node: r.label for r in labels.collect()}
+
+
 def test_pairs_by_rare_units_are_all_similar_ones(spark):
     rng = random.Random(8)
     pool = [[f"s{k}w{i}" for i in range(30)] for k in range(6)]
