@@ -168,6 +168,51 @@ def test_stream_upserts_late_and_repeated_deliveries(spark, tmp_path):
     assert done == ["a"]
 
 
+def test_stream_goes_on_after_a_kill_between_batches(spark, tmp_path):
+    """Every batch is handled by a new process; one is handled twice, one dies before its announcement is made."""
+    log = [("a", 0, 0.5, 0.5, 1, 1, "t", False, 1), ("b", 0, 0.5, 0.5, 1, 1, "t", False, 2), ("a", 1, 1.0, 1.0, 1, 1, "t", True, 3), ("a", 0, 0.75, 0.5, 1, 1, "t", False, 4), ("b", 1, 1.0, 1.0, 1, 1, "t", True, 5)]
+    done = []
+    for compact in (2, 16):
+        announced = []
+        for n, row in enumerate(log):
+            batch = spark.createDataFrame([row], RUNS)
+            LatestRuns(spark, f"{tmp_path}/state-{compact}", compact=compact).update(batch, n)  # dies here
+            state = LatestRuns(spark, f"{tmp_path}/state-{compact}", compact=compact)
+            for _ in range(1 + (n == 2)):
+                state.update(batch, n)
+                new = runs.passk_per_seed(state.completed(batch, n, 2), 2)
+                found = [(n, r.uuid, r.actual_k) for r in new.collect()]
+            announced += found
+        want = runs.upsert_latest(spark.createDataFrame(log, RUNS))
+        got = LatestRuns(spark, f"{tmp_path}/state-{compact}").current()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        assert announced == [(2, "a", 2), (4, "b", 2)]
+        done.append(len([x for x in (tmp_path / f"state-{compact}").iterdir() if x.name.startswith("delta")]))
+    assert done[0] <= 2 and done[1] == 5  # what a base covers is deleted
+
+
+def test_stream_is_started_again_on_its_folder(spark, tmp_path):
+    row = lambda *x: spark.createDataFrame([x], RUNS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    mapping = spark.createDataFrame([("a", 0, "a", 0), ("a", 2, "a", 0)], "uuid string, run_index int, rep_uuid string, rep_run_index int")
+    done, rates = [], []
+    for k, x in enumerate([("a", 1, 1.0, 1.0, 1, 1, "t", True, 1), ("a", 0, 0.5, 0.5, 1, 1, "t", False, 2), ("b", 0, 0.5, 0.5, 1, 1, "t", False, 3)]):
+        row(*x)
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        state = LatestRuns(spark, f"{tmp_path}/state")
+        follow(stream, state, 3, lambda df, i: done.extend((r.uuid, r.actual_k) for r in df.collect()), mapping, lambda df, i: rates.append(df.first().total_seeds)).awaitTermination()
+    assert done == [("a", 3)] and rates == [0, 1, 2]  # the copy of run 0 completes the seed
+    assert {(r.uuid, r.run_index): r.copied_from for r in state.current().collect()} == {("a", 0): None, ("a", 1): None, ("a", 2): "a_run_0", ("b", 0): None}
+
+
+def test_upper_median_with_outliers(spark):
+    from tallyforge.operators import quality
+
+    for values in ([1e12, *range(1001)], [0.0] * 5000 + [1.0, -1e9, 1e300], [float(i * i) for i in range(10_000)], [3.0]):
+        row = quality.upper_median(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").first()
+        assert row.median == sorted(map(float, values))[len(values) // 2]
+    assert tuple(quality.upper_median(spark.createDataFrame([], "v double"), "v").first()) == (0.0, 0.0, 0.0, 0.0)
+
+
 def test_connectors(spark):
     prompts = spark.createDataFrame([("p",), ("q",)], "prompt string")
     replies = spark.createDataFrame([("p", "r")], "prompt string, reply string")
