@@ -93,9 +93,10 @@ def tagged_outputs(output: Column) -> Column:
     """map of test id to its line, the last one of an id wins."""
     pattern = r"\[([A-Z]+-TEST-\d+)\]\s+OUTPUT\s+(.+)"
     hits = F.filter(F.split(F.coalesce(output, F.lit("")), "\n"), lambda x: x.rlike(pattern))
-    pairs = F.transform(hits, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), F.regexp_extract(x, pattern, 2).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i, F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    pairs = F.transform(hits, lambda x, i: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), i.alias("i"), F.regexp_extract(x, pattern, 2).alias("v")))
+    # Ordered by id and place, the last of an id is the one before another id; an array of one binds the ordered pairs.
+    last = F.transform(F.array(F.sort_array(pairs)), lambda s: F.filter(s, lambda x, j: ~x["k"].eqNullSafe(F.get(s, j + 1)["k"])))
+    return F.map_from_entries(F.transform(F.get(last, F.lit(0)), lambda x: F.struct(x["k"], x["v"])))
 
 
 def without_thinking(reply: Column) -> Column:
@@ -143,12 +144,80 @@ def preview(text: Column, n: int = 200) -> Column:
     return F.substring(text, 1, n)
 
 
+# Where the JSON of a reply is looked for, words that tell a verdict, and what is said without guidance.
+_FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+_DECISION_JSON = r'(?s)\{\s*"verdict"\s*:\s*"[^"]+"\s*,\s*"guidance"\s*:\s*"[^"]*(?:\\.[^"]*)*"\s*\}'
+_FEEDBACK_JSON = r'(?s)\{[^{}]*"verdict"[^{}]*\}'
+_GUIDANCE = r"(?i)(?:guidance|fix|solution)[:\s]*(.{20,200})"
+_TB_WORDS, _PROBLEM_WORDS = "tb_issue|testbench has|tb has bug", "problem_issue|requirement unclear"
+NO_GUIDANCE = "Review implementation based on test output."
+_WHITE = " \t\n\r\x0b\x0c"
+
+
+def _json_of(reply: Column, second: str) -> Column:
+    """The fenced object, else what the second pattern finds, else the reply without a fence around it."""
+    bare = F.regexp_replace(F.btrim(reply, F.lit(_WHITE)), r"^```\w*\s*", "")
+    bare = F.btrim(F.regexp_replace(bare, r"```$", ""), F.lit(_WHITE))
+    return F.when(reply.rlike(_FENCED_JSON), F.regexp_extract(reply, _FENCED_JSON, 1)).when(reply.rlike(second), F.regexp_extract(reply, second, 0)).otherwise(bare)
+
+
+def arbiter(reply: Column) -> Column:
+    """struct<verdict, guidance, by> of an arbiter's reply: by its JSON (json), else by words in it (words).
+
+    An unknown verdict of the JSON is a code_issue, as is one that no word tells.
+    """
+    text = F.coalesce(reply, F.lit(""))
+    read = F.from_json(_json_of(text, _DECISION_JSON), "verdict string, guidance string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    good, low = read["_bad"].isNull() & read.isNotNull(), F.lower(text)
+    known = F.lower(read["verdict"])
+    verdict = F.when(known.isin("code_issue", "tb_issue", "problem_issue", "unclear"), known).otherwise("code_issue")
+    said = F.when(low.rlike(_TB_WORDS), "tb_issue").when(low.rlike(_PROBLEM_WORDS), "problem_issue").otherwise("code_issue")
+    hint = F.when(text.rlike(_GUIDANCE), F.btrim(F.regexp_extract(text, _GUIDANCE, 1), F.lit(_WHITE))).otherwise(NO_GUIDANCE)
+    of_json = F.struct(verdict.alias("verdict"), F.coalesce(read["guidance"], F.lit("")).alias("guidance"), F.lit("json").alias("by"))
+    return F.when(good, of_json).otherwise(F.struct(said.alias("verdict"), hint.alias("guidance"), F.lit("words").alias("by")))
+
+
 def decision(reply: Column) -> Column:
-    """The verdict of an arbiter's reply: by its JSON, else by words in it, else code_issue."""
-    known = F.lower(parsed(reply, "verdict string, guidance string")["verdict"])
-    low = F.lower(F.coalesce(reply, F.lit("")))
-    said = F.when(low.rlike("tb_issue|testbench has|tb has bug"), "tb_issue").when(low.rlike("problem_issue|requirement unclear"), "problem_issue")
-    return F.coalesce(F.when(known.isin("code_issue", "tb_issue", "problem_issue", "unclear"), known), said, F.lit("code_issue"))
+    """The verdict of an arbiter's reply."""
+    return arbiter(reply)["verdict"]
+
+
+def checked_requirements(reply: Column, kind: str = "contradictions") -> Column:
+    """struct<found, items, suggestions, failed> of a reply about contradictions or leakages; none found if it can't be read."""
+    flag = "has_contradictions" if kind == "contradictions" else "has_leakage"
+    text = F.coalesce(reply, F.lit(""))
+    read = F.from_json(_json_of(text, rf'(?s)\{{.*"{flag}".*\}}'), f"{flag} boolean, {kind} array<map<string, string>>, suggestions array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    good = F.coalesce(read["_bad"].isNull() & read.isNotNull(), F.lit(False))
+    none = lambda c, kind: F.when(good, c).otherwise(F.array().cast(kind))
+    return F.struct(
+        (good & F.coalesce(read[flag], F.lit(False))).alias("found"),
+        none(read[kind], "array<map<string, string>>").alias("items"),
+        none(read["suggestions"], "array<string>").alias("suggestions"),
+        (~good).alias("failed"),
+    )
+
+
+def red_team_feedback(reply: Column) -> Column:
+    """struct<verdict, feedback_type, reasoning, confidence, evidence> of a reply; null if it can't be read.
+
+    Without a verdict it is TB_ERROR. A reply that isn't JSON but says CODE_BUG disagrees, in the older form.
+    """
+    text = F.coalesce(reply, F.lit(""))
+    fence = r"(?s)```json\s*\n(.*?)\n```"
+    source = F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).when(text.rlike(_FEEDBACK_JSON), F.regexp_extract(text, _FEEDBACK_JSON, 0))
+    kind = "verdict string, feedback_type string, reasoning string, confidence double, evidence string"
+    read = F.from_json(source, kind + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    field = lambda name: read[name].alias(name)
+    new = F.struct(F.coalesce(read["verdict"], F.lit("TB_ERROR")).alias("verdict"), *(field(n) for n in ("feedback_type", "reasoning", "confidence", "evidence")))
+    note = F.when(source.isNull(), "RedTeam believes this is a code issue (legacy format)").otherwise("RedTeam believes this is a code issue")
+    old = F.struct(F.lit("CODE_BUG").alias("verdict"), F.lit("disagree").alias("feedback_type"), note.alias("reasoning"), F.lit(0.7).alias("confidence"), F.lit(None).cast("string").alias("evidence"))
+    return F.when(read.isNotNull() & read["_bad"].isNull(), new).when(text.contains("CODE_BUG"), old)
+
+
+def generated_code(reply: Column) -> Column:
+    """The first fence that begins and ends on lines of its own, else the whole reply; trimmed."""
+    text, fence = F.coalesce(reply, F.lit("")), r"(?s)```(?:verilog|c|systemverilog)?\s*\n(.*?)\n```"
+    return F.btrim(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text), F.lit(_WHITE))
 
 
 def responsible(verdict: Column) -> Column:
@@ -178,7 +247,20 @@ def compile_failed(message: Column) -> Column:
 
 def has_module(code: Column, name: Column) -> Column:
     """Whether the Verilog code declares the module."""
-    return F.array_contains(F.regexp_extract_all(code, F.lit(r"\bmodule\s+(\w+)"), F.lit(1)), name)
+    return F.array_contains(F.regexp_extract_all(code, F.lit(r"\bmodule\s+(\w+)\s*[#(;]"), F.lit(1)), name)
+
+
+def has_function(code: Column, name: Column) -> Column:
+    """Whether the C code has a type or word, the function's name and an opening bracket."""
+    return F.regexp(code, F.concat(F.lit(r"\b\w+\s+\Q"), name, F.lit(r"\E\s*\(")))
+
+
+def name_error(code: Column, name: Column, language: Column) -> Column:
+    """What is wrong with the declared names, null if nothing is."""
+    found = F.regexp_extract_all(code, F.lit(r"\bmodule\s+(\w+)\s*[#(;]"), F.lit(1))
+    other = F.concat(F.lit("Module name mismatch: expected '"), name, F.lit("', but found '"), F.array_join(found, ", "), F.lit("'"))
+    verilog = F.when(F.size(found) == 0, "No module declaration found in code").when(~F.array_contains(found, name), other)
+    return F.when(language == "verilog", verilog).when(~has_function(code, name), F.concat(F.lit("Function '"), name, F.lit("' not found in code")))
 
 
 def title(question: Column) -> Column:
@@ -314,7 +396,9 @@ def relevant_code(code: Column, most: int = 20) -> Column:
         ends = inside & line.contains("end")
         depth = up - F.when(ends, 1).otherwise(0)
         reasons = F.array(F.when(inside, line), F.when(F.ltrim(line).startswith("assign"), line), F.when(line.rlike("if|else|return"), line))
-        return F.struct(F.concat(state["kept"], F.array_compact(reasons)).alias("kept"), (inside & ~(ends & (depth <= 0))).alias("inside"), depth.alias("depth"))
+        # One more than are shown tells that some are left out.
+        kept = F.when(F.size(state["kept"]) > most, state["kept"]).otherwise(F.concat(state["kept"], F.array_compact(reasons)))
+        return F.struct(kept.alias("kept"), (inside & ~(ends & (depth <= 0))).alias("inside"), depth.alias("depth"))
 
     kept = F.aggregate(F.split(code, "\n"), start, step, lambda s: s["kept"])
     cut = F.concat(F.array_join(F.slice(kept, 1, most), "\n"), F.lit("\n... (truncated)"))

@@ -90,14 +90,16 @@ def passk_summary(seeds: DataFrame, k: int) -> DataFrame:
 
 
 def run_summary(valid: DataFrame) -> DataFrame:
-    """Means of rates, shares of full rates and mean iterations over valid runs; zeros for none."""
+    """Means of the rates of the first and the final iteration, shares of runs with a full rate of each, and mean iterations.
+
+    valid has first_f, first_s, f_rate and s_rate; a null rate counts as 0; all zeros without runs.
+    """
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    rates = {"first_functional": "first_f", "first_security": "first_s", "final_functional": "f_rate", "final_security": "s_rate"}
     return valid.agg(
         F.count(F.lit(1)).alias("n_runs"),
-        mean("f_rate").alias("avg_functional"),
-        mean("s_rate").alias("avg_security"),
-        mean((F.col("f_rate") == 1.0).cast("int")).alias("full_functional"),
-        mean((F.col("s_rate") == 1.0).cast("int")).alias("full_security"),
+        *(mean(F.coalesce(c, F.lit(0.0))).alias(f"avg_{name}") for name, c in rates.items()),
+        *(mean((F.coalesce(c, F.lit(0.0)) == 1.0).cast("int")).alias(f"full_{name}") for name, c in rates.items()),
         mean("total_iterations").alias("avg_iterations"),
     )
 

@@ -44,10 +44,13 @@ def _valid(spark, d):
     return runs.valid_runs(_runs(spark, d))
 
 
-@query("passk_summary", _VALID, f"""SELECT count(*) AS total_seeds, count(*) FILTER (actual_k = 3) AS seeds_with_full_k, count(*) FILTER (actual_k > 0 AND actual_k < 3) AS seeds_degraded,
+_PASSK_SUMMARY = f"""SELECT count(*) AS total_seeds, count(*) FILTER (actual_k = 3) AS seeds_with_full_k, count(*) FILTER (actual_k > 0 AND actual_k < 3) AS seeds_degraded,
   coalesce(avg(actual_k), 0.0::DOUBLE) AS avg_actual_k, coalesce(avg(first_success::INT), 0.0::DOUBLE) AS pass1_functional, coalesce(avg(functional_pass::INT), 0.0::DOUBLE) AS passk_functional,
   coalesce(sum(first_s * n_req) / nullif(sum(n_req), 0)::DOUBLE, 0.0::DOUBLE) AS pass1_security, coalesce(sum(best_s * n_req) / nullif(sum(n_req), 0)::DOUBLE, 0.0::DOUBLE) AS passk_security,
-  coalesce(avg(first_iterations), 0.0::DOUBLE) AS avg_iterations FROM ({_PER_SEED})""")
+  coalesce(avg(first_iterations), 0.0::DOUBLE) AS avg_iterations FROM ({_PER_SEED})"""
+
+
+@query("passk_summary", _VALID, _PASSK_SUMMARY)
 def _(spark, d):
     return runs.passk_summary(runs.passk_per_seed(_valid(spark, d), K), K)
 
@@ -71,10 +74,27 @@ def _(spark, d):
     return _valid(spark, d).where(runs.is_first()).select("uuid", "success", "f_rate", "s_rate", "total_iterations")
 
 
-@query("run_summary", _VALID, """SELECT count(*) AS n_runs, coalesce(avg(f_rate), 0.0::DOUBLE) AS avg_functional, coalesce(avg(s_rate), 0.0::DOUBLE) AS avg_security,
-  coalesce(avg((f_rate = 1.0)::INT), 0.0::DOUBLE) AS full_functional, coalesce(avg((s_rate = 1.0)::INT), 0.0::DOUBLE) AS full_security, coalesce(avg(total_iterations), 0.0::DOUBLE) AS avg_iterations FROM valid""")
+#: Rates of a run's first iteration: each iteration after it added a quarter.
+_FIRST = "greatest({0}_rate - 0.25 * (total_iterations - 1), 0.0)"
+_RUN_SUMMARY = """SELECT count(*) AS n_runs, coalesce(avg(first_f), 0.0::DOUBLE) AS avg_first_functional, coalesce(avg(first_s), 0.0::DOUBLE) AS avg_first_security,
+  coalesce(avg(f_rate), 0.0::DOUBLE) AS avg_final_functional, coalesce(avg(s_rate), 0.0::DOUBLE) AS avg_final_security, coalesce(avg((first_f = 1.0)::INT), 0.0::DOUBLE) AS full_first_functional,
+  coalesce(avg((first_s = 1.0)::INT), 0.0::DOUBLE) AS full_first_security, coalesce(avg((f_rate = 1.0)::INT), 0.0::DOUBLE) AS full_final_functional,
+  coalesce(avg((s_rate = 1.0)::INT), 0.0::DOUBLE) AS full_final_security, coalesce(avg(total_iterations), 0.0::DOUBLE) AS avg_iterations"""
+_WITH_FIRST = f"(SELECT *, CAST({_FIRST.format('f')} AS DOUBLE) AS first_f, CAST({_FIRST.format('s')} AS DOUBLE) AS first_s FROM valid)"
+
+
+def with_first_rates(valid: DataFrame) -> DataFrame:
+    return valid.withColumns({f"first_{x}": F.expr(_FIRST.format(x)).cast("double") for x in "fs"})
+
+
+@query("run_summary", _VALID, f"{_RUN_SUMMARY} FROM {_WITH_FIRST}")
 def _(spark, d):
-    return runs.run_summary(_valid(spark, d))
+    return runs.run_summary(with_first_rates(_valid(spark, d)))
+
+
+@query("initial_summary", _VALID, f"{_RUN_SUMMARY} FROM {_WITH_FIRST} WHERE false")
+def _(spark, d):
+    return runs.run_summary(with_first_rates(_valid(spark, d)).where(F.lit(False)))
 
 
 @query("run_upsert", "run_log runs", "SELECT uuid, run_index, f_rate, s_rate, n_req, total_iterations, end_time, success FROM runs")
@@ -329,13 +349,6 @@ def _(spark, d):
 # Scores, gates and reports
 
 
-@query("pass_rate_by_suite", "seeds", """SELECT uuid, 'suite' || (uuid % 2) AS suite, count(l_orderkey) AS n_tests, coalesce(avg((l_linestatus = 'F')::INT), 0.0::DOUBLE) AS pass_rate FROM seeds LEFT JOIN lineitem ON l_orderkey = uuid GROUP BY uuid""")
-def _(spark, d):
-    results = B.table(spark, d, "lineitem").selectExpr("l_orderkey AS uuid", "l_linestatus = 'F' AS passed")
-    suite = F.concat(F.lit("suite"), (F.col("uuid") % 2).cast("string")).alias("suite")
-    return quality.suite_rates(B.seeds(spark, d), results).select("uuid", suite, "n_tests", "pass_rate")
-
-
 @query("all_passed_empty_true", "seeds", """SELECT uuid, count(l_orderkey) AS n_tests, coalesce(avg((l_linestatus = 'F')::INT), 0.0::DOUBLE) AS pass_rate, coalesce(bool_and(l_linestatus = 'F'), true) AS all_passed FROM seeds LEFT JOIN lineitem ON l_orderkey = uuid GROUP BY uuid""")
 def _(spark, d):
     results = B.table(spark, d, "lineitem").selectExpr("l_orderkey AS uuid", "l_linestatus = 'F' AS passed")
@@ -778,8 +791,11 @@ def _(spark, d):
     return M.static_coverage(golden, benches)
 
 
-@query("realtime_summary")
+@query("realtime_summary", _VALID, _PASSK_SUMMARY)
 def _(spark, d):
     from tallyforge.streaming import incremental
 
     return incremental.realtime_summary(spark, f"{d}/lineitem.parquet", K)
+
+
+from tallyforge.plans import reports  # noqa: E402, F401  registers its queries
