@@ -9,15 +9,15 @@ weighted Jaccard similarity. Times of a process only grow, so a process stops at
 
 Texts of one multiset collapse to a node first, by a 128-bit digest; a node's number is given when nodes are written.
 Nodes that agree in all rows of a band share a bucket. Each bucket pairs its members with its smallest node; pairs are
-verified exactly on the shingles. The rest are members of buckets that still hold several components. Buckets of up to
-``BLOCK`` members meet in one block: members outside of the component of the smallest node against all, nearest signature
-first, verified exactly, where pairs that a link has connected meanwhile are skipped, as are those whose signatures
-agree in less than ``LEAST_BYTES`` bytes (a pair of 0.8 does with a probability below 3e-7). Larger buckets are never
-paired: their members are joined by an exact prefix filter. Of the units of each text, ordered by how rare they are among
-these texts, two texts of 0.8 must share one of the rarest fifth, so that only texts of different components that share
-such a unit become pairs, and are verified. What a bucket shuffles is in proportion to the text of its members. So every
-link between two texts in a bucket is found or joins nodes that are connected already; what is emitted are links of a
-spanning forest and pairs that share rare shingles, never all pairs. Components come from label propagation with pointer
+verified exactly on the shingles. The rest, members of buckets that still hold several components, meet in blocks of
+bounded size: members outside of the component of the smallest node against all members, nearest signature first, verified
+exactly inside of the block, where pairs that a link has connected meanwhile are skipped, as are those whose signatures
+agree in less than ``LEAST_BYTES`` bytes (a pair of 0.8 does with a probability below 3e-7). Before a bucket of more than
+``BLOCK`` members is cut in several blocks, an exact prefix filter takes out who can't have a link: of the units of each
+text, ordered by how rare they are among these texts, two texts of 0.8 must share one of the rarest fifth. Only members
+that share such a unit with another component are replicated to blocks; for the others the work is in proportion to their
+text. So every link between two texts in a bucket is found or joins nodes that are connected already; what is emitted are
+links of a spanning forest, never all pairs. Components come from label propagation with pointer
 jumping; links found later join the components found before. Every step is an aggregation or a join on tables in the
 shared folder.
 
@@ -323,22 +323,23 @@ def _block_links(bucket: int, left: _Side, right: _Side) -> Iterator[tuple[int,
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets (bucket, outside, then those of _Side), a bucket's together -> links of those outside with all."""
-    now, rows, left = None, [], []
+    """Rows of blocks (bucket, i, j, side, then those of _Side), a block's together -> links.
+
+    A block has about BLOCK rows of either side.
+    """
+    now, sides = None, ([], [])
 
     def packed():
-        found = list(_block_links(now, _Side(left), _Side(rows))) if left else []
+        found = list(_block_links(now[0], *map(_Side, sides))) if all(sides) else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for bucket, outside, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != bucket:
+        for bucket, i, j, side, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != (bucket, i, j):
                 if now is not None:
                     yield packed()
-                now, rows, left = bucket, [], []
-            rows.append(rest)
-            if outside:
-                left.append(rest)
+                now, sides = (bucket, i, j), ([], [])
+            sides[side].append(rest)
     if now is not None:
         yield packed()
 
@@ -437,27 +438,31 @@ class _Job:
         if not rows.limit(1).count():
             return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
         units = self.units(rows.select("node").distinct(), nodes, "open")
-        small = rows.where(f"n <= {BLOCK}").join(nodes.select("node", "bytes", "bands"), "node").join(units, "node")
-        blocks = small.select("bucket", "outside", "node", "label", "bytes", "bands", "units").repartition("bucket").sortWithinPartitions("bucket")
-        found = blocks.mapInArrow(tidy(_compared), "a long, b long")
-        large = written(rows.where(f"n > {BLOCK}").select("node", "label").distinct(), self.folder, "large")
-        if large.limit(1).count():
-            found = found.unionByName(self.links(self.sharing_rare_units(large, units), nodes, "large"))
-        return found.distinct()
+        small, large = rows.where(f"n <= {BLOCK}").drop("n"), rows.where(f"n > {BLOCK}").drop("n")
+        own = written(large.select("node", "label").distinct(), self.folder, "large")
+        if own.limit(1).count():
+            small = small.unionByName(large.join(self.sharing_rare_units(own, units), "node", "left_semi"))
+        blocks = small.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
+        rows = small.join(blocks, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        rows = rows.join(nodes.select("node", "bytes", "bands"), "node").join(units, "node")
+        every, kept = F.sequence(F.lit(0), F.col("blocks") - 1), ["node", "label", "bytes", "bands", "units"]
+        left = rows.where("outside").select("bucket", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), *kept)
+        right = rows.select("bucket", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *kept)
+        dealt = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+        return dealt.mapInArrow(tidy(_compared), "a long, b long").distinct()
 
     def sharing_rare_units(self, large: DataFrame, units: DataFrame) -> DataFrame:
-        """Pairs (a, b) of large (node, label) of different labels that may be similar, by an exact prefix filter."""
+        """The nodes of large (node, label) that may be similar to one of another label, by an exact prefix filter."""
         percent = round(SIMILARITY * 100)
         single = written(units.join(large.select("node"), "node", "left_semi").mapInArrow(tidy(_single), "node long, size long, unit long"), self.folder, "single")
         shared = single.groupBy("unit").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
         own = single.join(shared.hint("merge"), "unit").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "unit"))).alias("own"))
         # Units that no other text has come first in the order and can't be shared.
         first = F.expr(f"size(own) - cast(ceil(size * {percent} / 100) as int) + 1")
-        spots = own.withColumn("first", first).where("first > 0").select("node", "size", F.explode(F.slice("own", F.lit(1), F.least("first", F.size("own")))).alias("x"))
-        spots = written(spots.select("node", "size", F.col("x.unit").alias("unit")).join(large, "node"), self.folder, "rare")
-        one, two = (spots.select(F.col("unit"), F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-        near = f"a < b and la <> lb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)"
-        return one.join(two.hint("merge"), "unit").where(near).select("a", "b").distinct()
+        spots = own.withColumn("first", first).where("first > 0").select("node", F.explode(F.slice("own", F.lit(1), F.least("first", F.size("own")))).alias("x"))
+        spots = written(spots.select("node", F.col("x.unit").alias("unit")).join(large, "node"), self.folder, "rare")
+        between = spots.groupBy("unit").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("unit")
+        return written(spots.join(between.hint("merge"), "unit").select("node").distinct(), self.folder, "sharing")
 
     def joined(self, labels: DataFrame, more: DataFrame) -> DataFrame:
         """labels with the links of more between them: these are few, so labels are propagated between components only."""
@@ -477,7 +482,7 @@ class _Job:
         links = self.links(stars, nodes, "star")
         labels = self.labels(links.unionByName(self.same(signed, nodes)) if self.versions else links, "star")
         more = written(self.rest(members, labels, nodes), self.folder, "rest")
-        self.drop("members", "open", "open-units", "large", "single", "rare", "large-links", "star-links")
+        self.drop("members", "open", "open-units", "large", "single", "rare", "sharing", "star-links")
         if more.limit(1).count():
             labels = self.joined(labels, more)
         roots = nodes.select("node", "n1", "n2", "doc", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
