@@ -459,8 +459,9 @@ class _Job:
         own = single.join(shared.hint("merge"), "unit").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "unit"))).alias("own"))
         # Units that no other text has come first in the order and can't be shared.
         first = F.expr(f"size(own) - cast(ceil(size * {percent} / 100) as int) + 1")
-        spots = own.withColumn("first", first).where("first > 0").select("node", F.explode(F.slice("own", F.lit(1), F.least("first", F.size("own")))).alias("x"))
-        spots = written(spots.select("node", F.col("x.unit").alias("unit")).join(large, "node"), self.folder, "rare")
+        own = own.join(large, "node").withColumn("first", first).where("first > 0")
+        spots = own.select("node", "label", F.explode(F.slice("own", F.lit(1), F.least("first", F.size("own")))).alias("x"))
+        spots = written(spots.select("node", "label", F.col("x.unit").alias("unit")), self.folder, "rare")
         between = spots.groupBy("unit").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("unit")
         return written(spots.join(between.hint("merge"), "unit").select("node").distinct(), self.folder, "sharing")
 
