@@ -38,7 +38,7 @@ from tallyforge.llm.common import table, tidy
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 0.5, 1
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 UNIT, PART = 1 << 34, 1 << 50
 _U = np.uint64
 _SPACE, _LITERAL = 0x2581, 0x110000
