@@ -556,11 +556,6 @@ def _(spark, d):
     return _outputs(spark, d).select("event_id", T.verdict_substring(F.col("output")).alias("substring_rule"), T.verdict_exit(F.col("output"), F.col("event_id") % 3).alias("exit_rule"))
 
 
-@query("verdict_deterministic", "", f"""SELECT event_id, (NOT contains(upper(output), 'FAIL') AND contains(upper(output), 'PASS')) = (contains(upper('  PASS  ' || language), 'PASS')) AS same FROM {_OUTPUTS}""")
-def _(spark, d):
-    return _outputs(spark, d).select("event_id", T.same_outcome(F.concat(F.lit("  PASS  "), "language"), F.col("output")).alias("same"))
-
-
 _NAMES = """CASE p_partkey % 5 WHEN 0 THEN 'tb_functional_req_' || p_partkey || '_module.c' WHEN 1 THEN 'SEC-TEST-' || p_partkey WHEN 2 THEN 'functional-REQ-' || p_size WHEN 3 THEN 'Security-REQ-' || p_size || ': x' ELSE p_name END"""
 
 
@@ -607,25 +602,11 @@ def _(spark, d):
     return B.chat(spark, d).select("conv_id", "turn", T.without_thinking(F.expr(_REPLY)).alias("reply"))
 
 
-_JSON = """'<think>{}</think>Sure ```json {"k": ' || event_id || ', /* note */ "v": "' || event_type || '",} ``` bye'"""
-
-
-@query("llm_json_clean", "", f"""SELECT event_id, '{{"k": ' || event_id || ',  "v": "' || event_type || '"}}' AS json FROM events""")
-def _(spark, d):
-    return B.table(spark, d, "events").select("event_id", T.clean_json(F.expr(_JSON)).alias("json"))
-
-
 @query("json_parse", "", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, d):
     return B.table(spark, d, "events").select("event_id", T.parsed(F.col("props"), "k bigint")["k"].alias("k"))
 
 
-@query("arbiter_decision", "", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tb_issue' WHEN 1 THEN 'tb_issue' WHEN 2 THEN 'problem_issue' ELSE 'code_issue' END AS verdict FROM events""")
-def _(spark, d):
-    reply = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"verdict": "tb_issue", "guidance": "g"}' WHEN 1 THEN 'I think the testbench has a flaw' WHEN 2 THEN 'Requirement unclear here' ELSE props END""")
-    return B.table(spark, d, "events").select("event_id", T.decision(reply).alias("verdict"))
-
-
 @query("error_predicates", "", """SELECT event_id, regexp_matches(lower(m), '502|503|504|timeout|connection|network|rate limit|too many requests|service unavailable') AS retryable, contains(m, 'Compilation failed:') OR contains(m, 'Compilation timeout') OR contains(m, 'Command failed:') AS compile_failed
   FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'Compilation failed: x' WHEN 2 THEN 'Rate Limit hit' ELSE event_type END AS m FROM events)""")
 def _(spark, d):
@@ -640,31 +621,6 @@ def _(spark, d):
     return B.table(spark, d, "events").select("event_id", T.exit_message(c, e).alias("message"))
 
 
-@query("gcov_lines", "", """SELECT event_id, CASE WHEN event_id % 4 IN (1, 2) THEN CAST(user_id AS INT) END AS line, CASE event_id % 4 WHEN 1 THEN false WHEN 2 THEN true END AS covered FROM events""")
-def _(spark, d):
-    line = F.expr("concat(CASE event_id % 4 WHEN 0 THEN '    -' WHEN 1 THEN '#####' WHEN 2 THEN '   12' ELSE '  12*' END, ':  ', user_id, ': int x = 1:2;')")
-    rows = B.table(spark, d, "events").select("event_id", T.gcov_line(line).alias("g"))
-    return rows.select("event_id", F.col("g.line").alias("line"), F.col("g.covered").alias("covered"))
-
-
-@query("module_check", "", "SELECT p_partkey, p_partkey % 3 = 0 AS declared FROM part")
-def _(spark, d):
-    code = F.expr("concat('// top\nmodule ', if(p_partkey % 3 = 0, concat('m', p_partkey), 'other'), ' (input a); endmodule')")
-    return B.table(spark, d, "part").select("p_partkey", T.has_module(code, F.concat(F.lit("m"), F.col("p_partkey").cast("string"))).alias("declared"))
-
-
-@query("requirement_prefixes", "", "SELECT p_partkey, p_name AS requirement FROM part")
-def _(spark, d):
-    reqs = F.array(F.concat(F.expr("if(p_partkey % 2 = 0, 'FUNC-REQ-', 'SECURITY-REQ-')"), F.col("p_size").cast("string"), F.lit(": "), "p_name"))
-    return B.table(spark, d, "part").select("p_partkey", F.get(T.stripped_requirements(reqs), F.lit(0)).alias("requirement"))
-
-
-@query("warning_lines", "", "SELECT event_id, if(event_id % 2 = 0, 'a.c:1: Warning: ' || event_type, '') AS warnings FROM events")
-def _(spark, d):
-    stderr = F.expr("concat('note: x\n', if(event_id % 2 = 0, concat('a.c:1: Warning: ', event_type), 'error: y'), '\nend')")
-    return B.table(spark, d, "events").select("event_id", T.warnings(stderr).alias("warnings"))
-
-
 @query("prompt_hints", "", """SELECT c_custkey, concat_ws(chr(10), c_name, if(c_custkey % 3 >= 1, 'Weakness: ' || n_name, null), if(c_custkey % 3 >= 2, 'Description: ' || c_mktsegment, null)) AS prompt FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def _(spark, d):
     nation = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -672,19 +628,6 @@ def _(spark, d):
     return rows.select("c_custkey", T.prompt(F.col("n_name"), F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey") % 3).alias("prompt"))
 
 
-@query("alias_fallback", "", "SELECT p_partkey, if(p_partkey % 2 = 0, p_name, p_brand) AS first_item FROM part")
-def _(spark, d):
-    full, empty = F.array("p_name"), F.array().cast("array<string>")
-    chosen = T.first_filled(F.when(F.col("p_partkey") % 2 == 0, full).otherwise(empty), F.lit(None).cast("array<string>"), F.array("p_brand"))
-    return B.table(spark, d, "part").select("p_partkey", F.get(chosen, F.lit(0)).alias("first_item"))
-
-
-@query("tagged_outputs", "", "SELECT event_id, 'last ' || event_type AS output FROM events")
-def _(spark, d):
-    text = F.expr("concat('[FUNC-TEST-1] OUTPUT first\nnoise\n[FUNC-TEST-1] OUTPUT last ', event_type)")
-    return B.table(spark, d, "events").select("event_id", T.tagged_outputs(text)["FUNC-TEST-1"].alias("output"))
-
-
 # Loops over logs
 
 _TESTS = """SELECT if(event_id % 2 = 0, 'functional', 'security') AS suite, CAST(user_id AS INT) AS requirement_index, event_id AS seq, if(value > 30, '[TEST] PASS ', '[TEST] FAIL ') || event_type AS output, value > 30 AS passed FROM events"""
@@ -798,4 +741,4 @@ def _(spark, d):
     return incremental.realtime_summary(spark, f"{d}/lineitem.parquet", K)
 
 
-from tallyforge.plans import reports  # noqa: E402, F401  registers its queries
+from tallyforge.plans import reports, texts  # noqa: E402, F401  register their queries
