@@ -674,12 +674,6 @@ def _(spark, d):
     return loop.scored_iterations(tests)
 
 
-@query("seeds_from_replies", "", """SELECT n_nationkey AS cwe_id, CAST(0 AS INT) AS nth, n_name AS question, 'c' AS language FROM nation WHERE n_nationkey % 2 = 0""")
-def _(spark, d):
-    reply = F.expr("""if(n_nationkey % 2 = 0, concat('```json {"seeds": [{"question": "', n_name, '", "language": "C"}, {"question": "x", "language": "rust"}, {"language": "c"}], "reasoning": "r"} ```'), 'sorry')""")
-    return loop.seeds_of(B.table(spark, d, "nation").select(F.col("n_nationkey").alias("cwe_id"), reply.alias("reply")))
-
-
 @query("history_without_suite", "attempts", "SELECT req, seq FROM attempts WHERE NOT starts_with(verdict, 'tb')")
 def _(spark, d):
     return loop.without_prefix(B.attempts(spark, d), "verdict", "tb").select("req", "seq")
@@ -690,30 +684,11 @@ def _(spark, d):
     return _runs(spark, d).select("uuid", F.to_json(F.struct("run_index", "success", "total_iterations")).alias("json"))
 
 
-@query("explanations", "", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a ' || event_type || '. b. c.' WHEN 1 THEN 'first ' || event_type || ' second' ELSE 'No explanation provided' END AS explanation FROM events""")
-def _(spark, d):
-    reply = F.expr("CASE event_id % 3 WHEN 0 THEN concat('x Test explanation: a ', event_type, '. b. c. d. e ``` code') WHEN 1 THEN concat('# title\n first ', event_type, ' \n\nsecond\n```c\nthird') ELSE '```c\nx```' END")
-    return B.table(spark, d, "events").select("event_id", F.regexp_replace(T.explanation(reply), r"\.\s+", ". ").alias("explanation"))
-
-
-@query("reply_texts", "", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || chr(10) || event_type WHEN 1 THEN event_type || chr(10) || 'z' WHEN 2 THEN event_type ELSE 'plain' END AS text FROM events""")
-def _(spark, d):
-    reply = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('["a", "', event_type, '"]') WHEN 1 THEN concat('[{"type": "text", "text": "', event_type, '"}, {"content": "z"}]') WHEN 2 THEN concat('{"content": "', event_type, '"}') ELSE 'plain' END""")
-    return B.table(spark, d, "events").select("event_id", T.reply_text(reply).alias("text"))
-
-
 @query("hex_flips", "", "SELECT p_partkey, lower(to_hex(xor(p_partkey, 255))) AS flipped FROM part")
 def _(spark, d):
     return B.table(spark, d, "part").select("p_partkey", T.flipped_hex(F.hex("p_partkey")).alias("flipped"))
 
 
-@query("knowledge_sections", "", """SELECT event_id, if(event_id % 2 = 0, '', CASE event_type WHEN 'error' THEN 'verilog_syntax' WHEN 'view' THEN 'verilog_timing,testbench_patterns' ELSE '' END) AS sections FROM events""")
-def _(spark, d):
-    message = F.expr("if(event_type = 'view', 'tb delay', event_type)")
-    rows = B.table(spark, d, "events")
-    return rows.select("event_id", F.array_join(T.knowledge(F.expr("if(event_id % 2 = 0, 'c', 'Verilog')"), F.lit("r"), F.lit("q"), F.lit(""), message), ",").alias("sections"))
-
-
 # Mutants and static coverage
 
 _CODE = """concat_ws('\n', text, CASE doc_id % 3 WHEN 0 THEN concat('int f(int x) {\n  if (x) return ', doc_id, ' + 0x1f;\n  // skip 5\n  return x == 3 && x > 1;\n}')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators import loop
 from tallyforge.plans import bindings as B
 from tallyforge.plans.registry import query
 
@@ -121,3 +122,82 @@ _PASSES = "(NOT contains(upper({0}), 'FAIL') AND contains(upper({0}), 'PASS'))"
 @query("verdict_deterministic", "", f"SELECT event_id, {_PASSES.format('e')} = {_PASSES.format('a')} AS same FROM (SELECT event_id, {_EXPECTED} AS e, {_ACTUAL} AS a FROM events)")
 def _(spark, d):
     return B.table(spark, d, "events").select("event_id", T.same_outcome(F.expr(_EXPECTED), F.expr(_ACTUAL)).alias("same"))
+
+
+_HELD = f"{_TEXT} || CASE doc_id % 7 WHEN 0 THEN ' Non-Blocking' WHEN 1 THEN ' syntax' WHEN 2 THEN ' impossible' ELSE '' END"
+_BENCH = "if(doc_id % 3 = 0, 'a TestBench', '')"
+_TOLD = "if(doc_id % 5 = 0, 'TB: delay', 'failed')"
+_ALL_LOW = f"lower(concat_ws(' ', 'r', {_HELD}, {_BENCH}, {_TOLD}))"
+
+
+@query(
+    "knowledge_sections",
+    "",
+    f"""SELECT doc_id, if(doc_id % 2 = 0, '', concat_ws(',', if(regexp_matches(w, 'non-blocking|blocking|<=|timing|delay|cycle'), 'verilog_timing', null), if(regexp_matches(w, 'function|syntax|error|declaration'), 'verilog_syntax', null),
+  if(regexp_matches(w, 'contradict|conflict|impossible|mutually'), 'common_contradictions', null), if(contains(b, 'testbench') OR contains(m, 'tb'), 'testbench_patterns', null))) AS sections
+  FROM (SELECT doc_id, {_ALL_LOW} AS w, lower({_BENCH}) AS b, lower({_TOLD}) AS m FROM documents)""",
+)
+def _(spark, d):
+    rows = _docs(spark, d, f"{_HELD} AS code", f"{_BENCH} AS bench", f"{_TOLD} AS message", "if(doc_id % 2 = 0, 'c', 'Verilog') AS language")
+    return rows.select("doc_id", F.array_join(T.knowledge(F.col("language"), F.lit("r"), F.col("code"), F.col("bench"), F.col("message")), ",").alias("sections"))
+
+
+_SEEDS_REPLY = """CASE doc_id % 3 WHEN 0 THEN 'so ```json {"seeds": [{"question": "' || t || '", "language": "C"}, {"question": "x", "language": "rust"}, {"language": "c"}, {"question": "' || t || ' 2", "language": "verilog"}], "reasoning": "' || t || '"} ```'
+  WHEN 1 THEN t || ' {"seeds": []} ' || t ELSE 'sorry ' || t END"""
+
+
+@query(
+    "seeds_from_replies",
+    "",
+    rf"""WITH r AS (SELECT doc_id AS cwe_id, regexp_extract({_SEEDS_REPLY}, '(?s)(\{{.*\}}|\[.*\])', 1) AS s FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g') AS t FROM documents)),
+j AS (SELECT cwe_id, if(json_valid(s), s, '{{}}') AS s FROM r)
+SELECT * FROM (SELECT cwe_id, i::INT AS nth, s ->> ('$.seeds[' || i || '].question') AS question, lower(s ->> ('$.seeds[' || i || '].language')) AS language FROM j, unnest(range(coalesce(json_array_length(s, '$.seeds'), 0)::BIGINT)) u(i))
+  WHERE question IS NOT NULL AND language IN ('c', 'verilog')""",
+)
+def _(spark, d):
+    rows = _docs(spark, d, "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ') AS t")
+    return loop.seeds_of(rows.select(F.col("doc_id").alias("cwe_id"), F.expr(_SEEDS_REPLY).alias("reply")))
+
+
+_MESSAGE = """CASE (conv_id + turn) % 5 WHEN 0 THEN '["a", "' || t || '", ""]' WHEN 1 THEN ' [{"type": "text", "text": "' || t || '"}, {"content": "z"}, {"type": "image"}]' WHEN 2 THEN '{"content": "' || t || '"}' WHEN 3 THEN '{"text": "' || t || '"}' ELSE t END"""
+
+
+@query(
+    "reply_texts",
+    "",
+    rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(m, '^\s*\["') THEN array_to_string(list_filter(from_json(j, '["VARCHAR"]'), lambda x: x <> ''), chr(10))
+  WHEN regexp_matches(m, '^\s*\[\s*\{{') THEN array_to_string(list_filter(list_transform(from_json(j, '["JSON"]'), lambda x: coalesce(if(x ->> 'type' = 'text', x ->> 'text', null), x ->> 'content')), lambda x: x IS NOT NULL), chr(10))
+  WHEN regexp_matches(m, '^\s*\{{') THEN coalesce(j ->> '$.content', j ->> '$.text') ELSE m END AS text FROM (SELECT *, if(json_valid(m), m, '[]') AS j FROM (SELECT conv_id, turn, {_MESSAGE} AS m FROM {_SAFE.format(", 'g'", "conversations")}))""",
+)
+def _(spark, d):
+    talks = B.table(spark, d, "conversations").selectExpr("conv_id", "turn", "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ') AS t")
+    return talks.select("conv_id", "turn", T.reply_text(F.expr(_MESSAGE)).alias("text"))
+
+
+_EXPLAINED = "CASE (conv_id + turn) % 3 WHEN 0 THEN 'x Test explanation: ' || coalesce(text, '') || '. b. c. d. ``` code' WHEN 1 THEN '# title' || chr(10) || ' first ' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || '```c' || chr(10) || 'third' ELSE coalesce(text, '') END"
+
+
+@query(
+    "explanations",
+    "",
+    rf"""WITH r AS (SELECT conv_id, turn, {_EXPLAINED} AS r FROM conversations), s AS (SELECT *, trim(regexp_extract(r, '(?is)Test Explanation:(.*?)(?:```|\z)', 1), {_WHITE_SQL}) AS s,
+  list_filter(list_transform(string_split(regexp_replace(r, '(?s)(?m:^)[^\n]*(?:```|module ).*\z', ''), chr(10)), lambda x: trim(x, {_WHITE_SQL})), lambda x: x <> '' AND NOT starts_with(x, '#')) AS p FROM r)
+SELECT conv_id, turn, CASE WHEN regexp_matches(r, '(?i)Test Explanation:') THEN if(len(string_split(s, '.')) > 3, array_to_string(string_split(s, '.')[1:3], '. ') || '.', s) WHEN len(p) > 0 THEN array_to_string(p[1:3], ' ') ELSE 'No explanation provided' END AS explanation FROM s""",
+)
+def _(spark, d):
+    return B.table(spark, d, "conversations").select("conv_id", "turn", T.explanation(F.expr(_EXPLAINED)).alias("explanation"))
+
+
+_SECTION = f"{_TEXT} || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'a = 1; b=0x1; @(posedge clk) c  =  b01; @(posedge clk) Expected y should hold ' || doc_id || '. end' WHEN 1 THEN '#5 q = 2; expect: it must be low' ELSE 'none' END"
+
+
+@query(
+    "test_intents",
+    "",
+    rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(s, '(\w+\s*=\s*[01xb\d]+)', 1)[1:5], lambda x: regexp_replace(x, '\s+', '', 'g')), ',') AS signals,
+  CASE WHEN len(regexp_extract_all(s, '@\(posedge clk\)')) > 0 THEN len(regexp_extract_all(s, '@\(posedge clk\)')) || ' clock cycles' WHEN contains(s, '#') THEN 'time delays present' ELSE '' END AS timing,
+  trim(regexp_extract(s, '[Ee]xpect.*?(?:should|must|will).*?([^\n.]+)', 1)) AS expected FROM (SELECT doc_id, {_SECTION} AS s FROM documents)""",
+)
+def _(spark, d):
+    rows = _docs(spark, d, f"{_SECTION} AS s").select("doc_id", T.intent(F.col("s")).alias("x"))
+    return rows.select("doc_id", F.array_join("x.signals", ",").alias("signals"), "x.timing", "x.expected")
