@@ -126,7 +126,7 @@ class CuckooIndex:
 
 
 def _packed(rows: Iterator[tuple[bytes, list]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    while part := [x for x, _ in zip(rows, range(10_000))]:
+    while part := list(itertools.islice(rows, 10_000)):
         columns = [[k for k, _ in part], *([v[i] for _, v in part] for i in range(3))]
         yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], names=["digest", "length", "keep_id", "group_size"])
 

@@ -61,6 +61,15 @@ def test_exact_classes(nasty, empty):
     assert exact.classes(empty).count() == 0
 
 
+def test_exact_classes_keep_every_row_of_many_in_a_partition(spark):
+    """More texts than one record batch holds, in one partition on both levels."""
+    docs = spark.range(45_000, numPartitions=1).selectExpr("id AS doc_id", "concat('text ', id % 40000) AS text")
+    got = exact.classes(docs).agg(F.count("*"), F.countDistinct("doc_id"), F.count_if("kept"), F.sum("group_size")).first()
+    assert tuple(got) == (45_000, 45_000, 40_000, 35_000 + 5_000 * 4)
+    packed = exact._packed(iter([(b"%016d" % i, [1, i, 1]) for i in range(30_005)]), docs.selectExpr("cast(text AS binary) AS d", "1L AS l", "doc_id AS k", "1L AS n").limit(1).toArrow().schema)
+    assert [b.num_rows for b in packed] == [10_000, 10_000, 10_000, 5]
+
+
 def test_cuckoo_index_inserts_deletes_and_resizes():
     index = exact.CuckooIndex(4)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
