@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, html, lines, minhash, mixing, pieces, pii, quality, secrets
+from tallyforge.llm import chat, exact, html, lines, minhash, mixing, phrases, pieces, pii, quality, secrets, whitening
 
 QUERIES = {
     "op2_template_text": html.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
     "quality_ablation": quality.ablation_query,
+    "op12_whitened_components": whitening.query,
+    "op13_phrase_collocations": phrases.query,
 }
 ORACLE_SQL = {
     "op8_hierarchical_mix": mixing.SQL,
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op5_cuckoo_exact_dedup": exact.SQL,
     "op7_quality_ledger": quality.SQL,
     "quality_ablation": quality.ABLATION_SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
