@@ -2,8 +2,8 @@
 
 Words are split at white space, pieces at punctuation and line ends. Mining follows PrefixSpan for contiguous patterns:
 
-1. Words, then pairs of words that may be frequent, are counted by 64-bit hashes, and those that reach the support are
-   marked in a bitmap of fixed size. A collision or a full bitmap lets more through and never loses a phrase.
+1. Words are counted by 64-bit hashes, then pairs whose words reach the support, then triples whose pairs do; those that
+   reach it are marked in a bitmap of fixed size. A collision or a full bitmap lets more through and never loses a phrase.
 2. Every occurrence of such a word is projected to a pointer: the word and the up to three words behind it, as far as
    the bitmaps let the pattern grow. Equal pointers are summed where they are read and again by the shuffle.
 3. The pointers are dealt by ranges of (lang, word, word, ...), so that a task owns a run of prefixes and a hot prefix is
@@ -37,7 +37,7 @@ SCALE = 2_000_000
 #: Bits of a bitmap: 16 MB at any size of the corpus.
 LOG_BITS = 27
 #: Bytes of text whose words a task looks at together, and bytes that are hashed at a time.
-RUN, STEP = 8 << 20, 1 << 20
+RUN, STEP = 4 << 20, 1 << 20
 #: Rows of a run of sorted pointers.
 ROWS = 200_000
 
@@ -114,10 +114,26 @@ class Words:
         """Whether the next word is of the same piece."""
         return np.append(self.piece[1:] == self.piece[:-1], False) if len(self.piece) else np.zeros(0, bool)
 
-    def pairs(self) -> np.ndarray:
-        """Hashes of each word with the next one; only meaningful where beside()."""
-        nxt = np.append(self.hashes[1:], np.uint64(0)) if len(self.hashes) else self.hashes
-        return _mixed(self.hashes * np.uint64(0xD6E8FEB86659FD93) + nxt)
+    def patterns(self, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For k = 1, 2, ...: hashes of the k words from each word on, and where all shorter patterns inside are marked.
+
+        bits has the bitmap of each length; the pair behind the last one is that of the first length without.
+        """
+        beside, hashes, may = self.beside(), self.hashes, np.ones(len(self.hashes), bool)
+        for k in range(1, len(bits) + 2):
+            yield hashes, may
+            if k <= len(bits):
+                alive = may & _marked(bits[k - 1], hashes)
+                joined = _after(beside, k - 1, False)
+                may = alive & _after(alive, 1, False) & joined
+                hashes = _mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + _after(self.hashes, k, np.uint64(0)))
+
+
+def _after(values: np.ndarray, k: int, fill) -> np.ndarray:
+    """values[i + k] at each i."""
+    out = np.full(len(values), fill, values.dtype)
+    out[: max(0, len(values) - k)] = values[k:]
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
@@ -159,41 +175,38 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _pair_counts(word_bits):
+def _pattern_counts(marks: list):
+    """(null, hash, count) of the patterns that are one longer than the longest bitmap has."""
+
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(word_bits.value, np.uint8)
+        bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, _ in _runs(batches):
-            known = _marked(bits, words.hashes)
-            both = words.beside() & known & np.append(known[1:], False) if len(known) else known
-            yield _counted(words.pairs()[both])
+            *_, (hashes, may) = words.patterns(bits)
+            yield _counted(hashes[may])
 
     return work
 
 
-def _pointers(word_bits, pair_bits):
+def _pointers(marks: list):
     """Every occurrence of a frequent word with what may follow it, summed within a run."""
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = np.frombuffer(word_bits.value, np.uint8), np.frombuffer(pair_bits.value, np.uint8)
+        bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, langs in _runs(batches):
-            known = np.flatnonzero(_marked(first, words.hashes))
+            # Where a pattern of k words may be frequent; the longest ones by what they hold.
+            may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(words.patterns(bits))]
+            known = np.flatnonzero(may[0])
             if not len(known):
                 continue
             coded = words.strings().take(pa.array(known)).dictionary_encode()
             size = len(coded.dictionary) + 1
             ids = np.zeros(len(words.hashes) + LONGEST, np.int64)
             ids[known] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            grows = np.zeros(len(ids), bool)
-            grows[: len(words.hashes)] = words.beside() & _marked(second, words.pairs())
-            grows[:-1] &= (ids[:-1] > 0) & (ids[1:] > 0)
             names = sorted(set(langs))
             of = np.array([names.index(x) for x in langs])[words.text[known]]
-            columns, alive = [ids[known]], np.ones(len(known), bool)
-            for k in range(1, LONGEST):
-                alive = alive & grows[known + k - 1]
-                columns.append(np.where(alive, ids[known + k], 0))
+            columns = [ids[known], *(np.where(may[k][known], ids[known + k], 0) for k in range(1, LONGEST))]
             # Dense numbers of prefixes: equal ones stay equal, and no product passes 64 bits.
             key = of.astype(np.int64)
             for column in columns:
@@ -269,7 +282,7 @@ def _bitmap(counts: DataFrame):
     slot = F.shiftrightunsigned("h", 64 - LOG_BITS)
     parts = counts.select(slot.alias("slot")).groupBy(F.expr(f"slot div {part}").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % part).alias("bits"))
     bits = bytearray(1 << (LOG_BITS - 3))
-    for row in parts.toLocalIterator():
+    for row in parts.toArrow().to_pylist():  # 2^LOG_BITS bits at most
         bits[row["part"] * (part >> 3) : (row["part"] + 1) * (part >> 3)] = row["bits"]
     return spark.sparkContext.broadcast(bytes(bits))
 
@@ -282,12 +295,13 @@ def frequent(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang:
     kind = "lang string, h long, n long"
     counts = rows.mapInArrow(tidy(_word_counts), kind).groupBy("lang", "h").agg(F.sum("n").alias("n"))
     counts = written(counts.where(F.col("lang").isNotNull() | (F.col("n") >= support)), folder, "words")
-    word_bits = _bitmap(counts.where("lang is null"))
-    pairs = rows.mapInArrow(_pair_counts(word_bits), kind).groupBy("h").agg(F.sum("n").alias("n"))
-    pair_bits = _bitmap(pairs.where(F.col("n") >= support))
+    marks = [_bitmap(counts.where("lang is null"))]
+    while len(marks) < LONGEST - 1:
+        longer = rows.mapInArrow(_pattern_counts(list(marks)), kind).groupBy("h").agg(F.sum("n").alias("n"))
+        marks.append(_bitmap(longer.where(F.col("n") >= support)))
     columns = ["lang", *COLUMNS]
     kind = ", ".join(f"{c} string" for c in columns)
-    pointers = rows.mapInArrow(_pointers(word_bits, pair_bits), f"{kind}, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
+    pointers = rows.mapInArrow(_pointers(marks), f"{kind}, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
     pointers = written(pointers, folder, "pointers")
     dealt = pointers.repartitionByRange(*columns).sortWithinPartitions(*columns)
     grown = dealt.mapInArrow(_grown(support), "lang string, phrase string, k int, f long")
