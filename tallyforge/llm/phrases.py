@@ -14,7 +14,7 @@ Counts are exact: steps 2 and 3 compare the words themselves.
 
 Nulls and edge cases: a null text is empty, a null language is ``und``; empty texts and tables give no words and no rows.
 Repeated rows count each for itself. Ties are broken by the phrase in byte order. Other columns of the input are ignored.
-Texts of any length are read whole; a task holds the words of RUN bytes of text, or of one text if that is longer.
+Texts of any length are read whole; a task holds the words of a few MB of text, or of one text if that is longer.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table, tidy, work_dir, written
+from tallyforge.llm.words import Words, after, mixed, runs
 
 #: Code points that end a piece, and those that end a word; all are single bytes of UTF-8.
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -36,123 +37,40 @@ SUPPORT, LONGEST, COVER, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Bits of a bitmap: 16 MB at any size of the corpus.
 LOG_BITS = 27
-#: Bytes of text whose words a task looks at together, and bytes that are hashed at a time.
-RUN, STEP = 4 << 20, 1 << 20
 #: Rows of a run of sorted pointers.
 ROWS = 200_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in BLANKS]] = 1
 _KIND[[ord(c) for c in BREAKS]] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            factors = np.full(n, base, np.uint64)
-            factors[0] = 1
-            _powers[name] = np.multiply.accumulate(factors)
-    return _powers["up"][:n], _powers["down"][:n]
+def _patterns_of(words: Words, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1, 2, ...: hashes of the k words from each word on, and where all shorter patterns inside are marked.
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    bits has the bitmap of each length; the pair behind the last one is that of the first length without.
+    """
+    beside, hashes, may = words.beside(), words.hashes, np.ones(len(words.hashes), bool)
+    for k in range(1, len(bits) + 2):
+        yield hashes, may
+        if k <= len(bits):
+            alive = may & _marked(bits[k - 1], hashes)
+            joined = after(beside, k - 1, False)
+            may = alive & after(alive, 1, False) & joined
+            hashes = mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + after(words.hashes, k, np.uint64(0)))
 
 
 def _lang_seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big")
 
 
-class Words:
-    """The words of some texts: bounds in the lower-cased bytes, piece numbers, hashes and texts' numbers."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray):
-        kind = _KIND[data]
-        inside = kind == 0
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        begins[cuts] |= inside[cuts]
-        ends[cuts - 1] |= inside[cuts - 1]
-        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.text = np.searchsorted(offsets, self.starts, "right") - 1
-        breaks = np.flatnonzero(kind == 2)
-        self.piece = np.searchsorted(breaks, self.starts) + self.text  # both grow
-        self.inside, self.data = inside, _LOWER[data]
-        self.hashes = _mixed(self._hashed() ^ seeds[self.text])
-
-    def _hashed(self) -> np.ndarray:
-        """A polynomial hash of each word, worked out for STEP bytes at a time, more where a word is longer."""
-        out, at, n = np.zeros(len(self.starts), np.uint64), 0, len(self.starts)
-        while at < n:
-            low = self.starts[at]
-            stop = max(at + 1, int(np.searchsorted(self.ends, low + STEP, "right")))
-            high = self.ends[stop - 1]
-            up, down = _power_tables(max(int(high - low), STEP))
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-            s, e = self.starts[at:stop] - low, self.ends[at:stop] - low
-            out[at:stop] = (sums[e] - sums[s]) * down[s]
-            at = stop
-        return out
-
-    def strings(self) -> pa.Array:
-        lengths = np.zeros(len(self.starts) + 1, np.int64)
-        np.cumsum(self.ends - self.starts, out=lengths[1:])
-        return pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(lengths), pa.py_buffer(self.data[self.inside]))
-
-    def beside(self) -> np.ndarray:
-        """Whether the next word is of the same piece."""
-        return np.append(self.piece[1:] == self.piece[:-1], False) if len(self.piece) else np.zeros(0, bool)
-
-    def patterns(self, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For k = 1, 2, ...: hashes of the k words from each word on, and where all shorter patterns inside are marked.
-
-        bits has the bitmap of each length; the pair behind the last one is that of the first length without.
-        """
-        beside, hashes, may = self.beside(), self.hashes, np.ones(len(self.hashes), bool)
-        for k in range(1, len(bits) + 2):
-            yield hashes, may
-            if k <= len(bits):
-                alive = may & _marked(bits[k - 1], hashes)
-                joined = _after(beside, k - 1, False)
-                may = alive & _after(alive, 1, False) & joined
-                hashes = _mixed(hashes * np.uint64(0xD6E8FEB86659FD93) + _after(self.hashes, k, np.uint64(0)))
-
-
-def _after(values: np.ndarray, k: int, fill) -> np.ndarray:
-    """values[i + k] at each i."""
-    out = np.full(len(values), fill, values.dtype)
-    out[: max(0, len(values) - k)] = values[k:]
-    return out
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
-    """The words of consecutive texts of RUN bytes, with the texts' languages."""
+    """The words of consecutive texts, with the texts' languages."""
     for batch in batches:
-        texts, langs = batch.column(1).cast(pa.large_string()), batch.column(0).to_pylist()
-        if not len(texts):
-            continue
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        values = texts.buffers()[2]
-        data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
-        at = 0
-        while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, "right")) - 1)
-            own = offsets[at : stop + 1]
-            known = {lang: _lang_seed(lang) for lang in set(langs[at:stop])}
-            seeds = np.array([known[x] for x in langs[at:stop]], np.uint64)
-            yield Words(data[own[0] : own[-1]], own - own[0], seeds), langs[at:stop]
-            at = stop
+        langs = batch.column(0).to_pylist()
+        known = {lang: _lang_seed(lang) for lang in set(langs)}
+        for words, at, stop in runs(batch.column(1), _KIND, np.array([known[x] for x in langs], np.uint64)):
+            yield words, langs[at:stop]
 
 
 def _counted(hashes: np.ndarray) -> pa.RecordBatch:
@@ -182,7 +100,7 @@ def _pattern_counts(marks: list):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, _ in _runs(batches):
-            *_, (hashes, may) = words.patterns(bits)
+            *_, (hashes, may) = _patterns_of(words, bits)
             yield _counted(hashes[may])
 
     return work
@@ -196,7 +114,7 @@ def _pointers(marks: list):
         bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, langs in _runs(batches):
             # Where a pattern of k words may be frequent; the longest ones by what they hold.
-            may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(words.patterns(bits))]
+            may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(_patterns_of(words, bits))]
             known = np.flatnonzero(may[0])
             if not len(known):
                 continue

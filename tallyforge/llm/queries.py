@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import chat, exact, html, lines, minhash, mixing, phrases, pieces, pii, quality, secrets, whitening
+from tallyforge.llm import chat, exact, html, lines, minhash, mixing, phrases, pieces, pii, quality, secrets, toxicity, whitening
 
 QUERIES = {
     "op2_template_text": html.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_cuckoo_exact_dedup": exact.query,
     "op7_quality_ledger": quality.query,
     "quality_ablation": quality.ablation_query,
+    "op11_kneser_ney_toxicity": toxicity.query,
     "op12_whitened_components": whitening.query,
     "op13_phrase_collocations": phrases.query,
 }

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyforge.llm import phrases, whitening
+from tallyforge.llm import phrases, whitening, words
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -79,23 +79,23 @@ def test_collocations_of_edge_cases(spark, nasty, empty):
 
 def test_words_over_the_borders_of_steps_and_texts(monkeypatch):
     texts = ["Ab cd", "ef", "", "gh. ij\tkl" + "m" * 500 + " x", " ", "end"]
-    whole = phrases.Words(*_bytes(texts))
-    monkeypatch.setattr(phrases, "STEP", 7)
-    stepped = phrases.Words(*_bytes(texts))
+    whole = words.Words(*_bytes(texts))
+    monkeypatch.setattr(words, "STEP", 7)
+    stepped = words.Words(*_bytes(texts))
     assert (whole.hashes == stepped.hashes).all()
     want = [w for t in texts for p in plain_pieces(t) for w in p]
     assert whole.strings().to_pylist() == want and len(set(whole.hashes.tolist())) == len(want)
     assert whole.beside().tolist() == [True, False, False, False, True, True, False, False]
     # The same word has the same hash wherever it stands, and another one in another language.
-    again = phrases.Words(*_bytes(["zz ab", "ab"]))
+    again = words.Words(*_bytes(["zz ab", "ab"]))
     assert again.hashes[1] == again.hashes[2] == whole.hashes[0]
-    assert phrases.Words(*_bytes(["ab"], seed=5)).hashes[0] != whole.hashes[0]
+    assert words.Words(*_bytes(["ab"], seed=5)).hashes[0] != whole.hashes[0]
 
 
 def _bytes(texts, seed=0):
     parts = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return np.frombuffer(b"".join(parts), np.uint8), offsets, np.full(len(texts), seed, np.uint64)
+    return np.frombuffer(b"".join(parts), np.uint8), offsets, np.full(len(texts), seed, np.uint64), phrases._KIND
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
