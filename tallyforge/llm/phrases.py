@@ -2,7 +2,7 @@
 
 Words are split at white space, pieces at punctuation and line ends. Mining follows PrefixSpan for contiguous patterns:
 
-1. Words are counted by 64-bit hashes, then pairs whose words reach the support, then triples whose pairs do; those that
+1. Words are counted by 40-bit hashes, then pairs whose words reach the support, then triples whose pairs do; those that
    reach it are marked in a bitmap of fixed size. A collision or a full bitmap lets more through and never loses a phrase.
 2. Every occurrence of such a word is projected to a pointer: the word and the up to three words behind it, as far as
    the bitmaps let the pattern grow. Equal pointers are summed where they are read and again by the shuffle.
@@ -37,6 +37,8 @@ SUPPORT, LONGEST, COVER, TOP = 30, 4, 80, 2000
 SCALE = 2_000_000
 #: Bits of a bitmap: 16 MB at any size of the corpus.
 LOG_BITS = 27
+#: Bits of a hash that patterns are counted by. Two that share them are counted together and may both be let through.
+_KEPT = np.uint64(-(1 << 24) % (1 << 64))
 #: Rows of a run of sorted pointers.
 ROWS = 200_000
 
@@ -74,7 +76,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]
 
 
 def _counted(hashes: np.ndarray) -> pa.RecordBatch:
-    keys, n = np.unique(hashes, return_counts=True)
+    """Counts by the first 40 bits of the hashes; the rest is 0, which takes a third off what is shuffled."""
+    keys, n = np.unique(hashes & _KEPT, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
 
