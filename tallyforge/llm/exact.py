@@ -10,7 +10,7 @@ length, not read again.
 Work is spread in two levels so that no digest, however common, meets in one task, and memory is bounded in both. Each
 map task folds its rows in a shard of ``LIVE`` digests at most; when it is full the oldest digest is deleted and handed on
 (it may come again). Then rows are hashed to partitions by digest and ordered by the digest's first two bytes, and a
-partition's 65,536 shards are folded one after the other, each whole.
+partition is folded in shards of ``SHARD`` digests and a prefix more, one after the other, each whole.
 
 Nulls and edge cases: a null text counts as empty. Of equal texts the row with the largest id stays; null ids count as
 smallest. Rows that repeat an id and its text are one document and share its verdict. An empty table gives no rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
 
-SLOTS, MAX_KICKS, LIVE = 4, 200, 1 << 17
+SLOTS, MAX_KICKS, LIVE, SHARD = 4, 200, 1 << 17, 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -160,12 +160,18 @@ def _folded_locally(rows: Iterator[tuple]) -> Iterator[tuple[bytes, list]]:
 
 
 def _folded(rows: Iterator[tuple]) -> Iterator[tuple[bytes, list]]:
-    """One row for each digest of rows that are ordered by shard (their last column)."""
-    for _, shard in itertools.groupby(rows, key=lambda r: r[-1]):
-        index = CuckooIndex()
-        for *row, _ in shard:
-            index.fold(*row)
-        yield from index.items()
+    """One row for each digest of rows that are ordered by a prefix of the digest (their last column).
+
+    A shard ends with the prefix behind which it holds SHARD digests, so that it has that many and a prefix more.
+    """
+    index, prefix = CuckooIndex(), None
+    for *row, own in rows:
+        if own != prefix and len(index) >= SHARD:
+            yield from index.items()
+            index = CuckooIndex()
+        prefix = own
+        index.fold(*row)
+    yield from index.items()
 
 
 def normalised(text: Column) -> Column:
@@ -177,7 +183,7 @@ def groups(rows: DataFrame) -> DataFrame:
     """(digest, length, keep_id, group_size), one row for each digest of rows (digest, length, keep_id, group_size)."""
     kind = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     local = rows.mapInArrow(_with_schema(_folded_locally), kind)
-    dealt = local.withColumn("shard", F.substring("digest", 1, 2)).repartition("digest").sortWithinPartitions("shard")
+    dealt = local.withColumn("prefix", F.substring("digest", 1, 2)).repartition("digest").sortWithinPartitions("prefix")
     return dealt.mapInArrow(_with_schema(_folded), kind)
 
 

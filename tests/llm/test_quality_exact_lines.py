@@ -97,6 +97,26 @@ def test_full_shards_hand_on_their_oldest_digests(spark, monkeypatch):
     assert sorted((k, *v) for k, v in exact._folded(iter(rows))) == sorted((k, 1, 360 + i, 10) for i, k in enumerate(keys[:40]))
 
 
+def test_shards_hold_many_digests_and_resize(monkeypatch):
+    made = []
+
+    class Kept(exact.CuckooIndex):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(exact, "CuckooIndex", Kept)
+    monkeypatch.setattr(exact, "SHARD", 3_000)
+    keys = sorted(hashlib.sha256(str(i).encode()).digest() for i in range(10_000))
+    out = dict(exact._folded((k, 1, i, 1, k[:2]) for k in keys for i in (1, 2)))
+    assert len(out) == 10_000 and {tuple(v) for v in out.values()} == {(1, 2, 2)}
+    assert [len(x) >= 3_000 for x in made] == [True] * (len(made) - 1) + [False] and len(made) == 4
+    assert all(len(x.slots) > 1 << 8 for x in made)  # more buckets than at first: overflow has resized them
+    strangers = [hashlib.sha256(f"x{i}".encode()).digest() for i in range(40_000)]
+    false = [k for k in strangers if made[0].may_hold(k)]
+    assert false and all(made[0].get(k) is None for k in false)
+
+
 def brute_clean(rows):
     """rows (doc_id, text) in any order -> cleaned texts in that order."""
     seen, out = {}, {}
