@@ -4,8 +4,8 @@ Words are split at white space, pieces at punctuation and line ends. Mining foll
 
 1. Words are counted by 40-bit hashes, then pairs whose words reach the support, then triples whose pairs do; those that
    reach it are marked in a bitmap of fixed size. A collision or a full bitmap lets more through and never loses a phrase.
-2. Every occurrence of such a word is projected to a pointer: the word and the up to three words behind it, as far as
-   the bitmaps let the pattern grow. Equal pointers are summed where they are read and again by the shuffle.
+2. Every occurrence of a word of a frequent pair is projected to a pointer: the word and the up to three words behind it,
+   as far as the bitmaps let the pattern grow. Equal pointers are summed where they are read and again by the shuffle.
 3. The pointers are dealt by ranges of (lang, word, word, ...), so that a task owns a run of prefixes and a hot prefix is
    spread over several. In each run patterns grow to the right, depth first; what touches the edge of a run is handed on
    as a partial count, everything else is final and must reach the support to be grown further.
@@ -97,20 +97,28 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _pattern_counts(marks: list):
-    """(null, hash, count) of the patterns that are one longer than the longest bitmap has."""
+    """(null, hash, count) of the patterns that are one longer than the longest bitmap has.
+
+    Behind the pairs also (``USED``, hash, 1) of the words that lie in a frequent pair.
+    """
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, _ in _runs(batches):
-            *_, (hashes, may) = _patterns_of(words, bits)
+            *_, (shorter, might), (hashes, may) = _patterns_of(words, bits)
             yield _counted(hashes[may])
+            if len(bits) == 2:
+                pairs = might & _marked(bits[1], shorter)
+                pairs[1:] |= pairs[:-1].copy()
+                keys = np.unique(words.hashes[pairs])
+                yield pa.RecordBatch.from_arrays([pa.array([USED] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(np.ones(len(keys), np.int64))], names=["lang", "h", "n"])
 
     return work
 
 
-def _pointers(marks: list):
-    """Every occurrence of a frequent word with what may follow it, summed within a run."""
+def _pointers(marks: list, used):
+    """Every occurrence of a word of a frequent pair with what may follow it, summed within a run."""
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +126,7 @@ def _pointers(marks: list):
         for words, langs in _runs(batches):
             # Where a pattern of k words may be frequent; the longest ones by what they hold.
             may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(_patterns_of(words, bits))]
-            known = np.flatnonzero(may[0])
+            known = np.flatnonzero(may[0] & _marked(np.frombuffer(used.value, np.uint8), words.hashes))
             if not len(known):
                 continue
             coded = words.strings().take(pa.array(known)).dictionary_encode()
@@ -142,6 +150,7 @@ def _pointers(marks: list):
     return work
 
 
+USED = "used"
 COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
@@ -209,7 +218,8 @@ def _bitmap(counts: DataFrame):
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of k = 1 to LONGEST words with f >= support occurrences, and (lang, n) of all words."""
+    """(lang, phrase, k, f) of all phrases of k = 2 to LONGEST words with f >= support occurrences and of the words in them (k = 1),
+    and (lang, n) of all words."""
     spark = docs.sparkSession
     folder = work_dir(spark)
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -218,11 +228,13 @@ def frequent(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang:
     counts = written(counts.where(F.col("lang").isNotNull() | (F.col("n") >= support)), folder, "words")
     marks = [_bitmap(counts.where("lang is null"))]
     while len(marks) < LONGEST - 1:
-        longer = rows.mapInArrow(_pattern_counts(list(marks)), kind).groupBy("h").agg(F.sum("n").alias("n"))
-        marks.append(_bitmap(longer.where(F.col("n") >= support)))
+        longer = rows.mapInArrow(_pattern_counts(list(marks)), kind).groupBy("lang", "h").agg(F.sum("n").alias("n"))
+        longer = written(longer.where((F.col("n") >= support) | F.col("lang").isNotNull()), folder, f"patterns-{len(marks) + 1}")
+        marks.append(_bitmap(longer.where("lang is null")))
+    used = _bitmap(longer.where("lang is not null"))
     columns = ["lang", *COLUMNS]
     kind = ", ".join(f"{c} string" for c in columns)
-    pointers = rows.mapInArrow(_pointers(marks), f"{kind}, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
+    pointers = rows.mapInArrow(_pointers(marks, used), f"{kind}, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
     pointers = written(pointers, folder, "pointers")
     dealt = pointers.repartitionByRange(*columns).sortWithinPartitions(*columns)
     grown = dealt.mapInArrow(_grown(support), "lang string, phrase string, k int, f long")
