@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators.matching import with_hits
 
 Rule = Callable[[str], tuple[str, str, str] | None]
 
@@ -134,8 +137,8 @@ def candidates(code: str, language: str) -> Iterator[tuple[int, str, str, str]]:
                     yield i, *made
 
 
-def mutants(code: str, language: str, n: int) -> list[tuple[str, str, str]]:
-    """Up to n mutants (code, type, description) of whole code."""
+def picked(code: str, language: str, n: int) -> list[tuple[int, str, str, str]]:
+    """(line index, mutated line, type, description) of up to n mutants."""
     found: dict[str, list[tuple[int, str, str, str]]] = {}
     seen = 0
     for one in candidates(code, language):
@@ -143,35 +146,57 @@ def mutants(code: str, language: str, n: int) -> list[tuple[str, str, str]]:
             break
         seen += 1
         found.setdefault(one[2], []).append(one)
-    share, lines = max(1, n // max(1, len(found))), code.split("\n")
-    chosen = [one for ones in found.values() for one in ones[:share]][:n]
-    return [("\n".join([*lines[:i], new, *lines[i + 1 :]]), kind, f"Line {i + 1}: {what}") for i, new, kind, what in chosen]
+    share = max(1, n // max(1, len(found)))
+    return [one for ones in found.values() for one in ones[:share]][:n]
+
+
+def with_line(code: str, i: int, new: str) -> str:
+    """The code with line i replaced."""
+    lines = code.split("\n")
+    lines[i] = new
+    return "\n".join(lines)
+
+
+def mutants(code: str, language: str, n: int) -> list[tuple[str, str, str]]:
+    """Up to n mutants (code, type, description) of whole code."""
+    return [(with_line(code, i, new), kind, f"Line {i + 1}: {what}") for i, new, kind, what in picked(code, language, n)]
+
+
+#: Characters of mutants that a batch of the output holds.
+BATCH = 8 << 20
 
 
 def mutated(code: DataFrame, n: int = 5) -> DataFrame:
     """code (key, language, code) with a row for each mutant: key, nth, type, description, mutant."""
+    schema = pa.schema([("key", pa.int64()), ("nth", pa.int32()), ("type", pa.string()), ("description", pa.string()), ("mutant", pa.string())])
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [
-                (key, nth, kind, what, new)
-                for key, language, source in zip(batch["key"], batch["language"], batch["code"], strict=True)
-                for nth, (new, kind, what) in enumerate(mutants(source or "", language or "", n))
-            ]
-            yield pd.DataFrame(rows, columns=["key", "nth", "type", "description", "mutant"])
+            for key, language, source in zip(*batch.columns, strict=True):
+                text = source.as_py() or ""
+                for nth, (new, kind, what) in enumerate(mutants(text, language.as_py() or "", n)):
+                    rows.append((key.as_py(), nth, kind, what, new))
+                    size += len(new)
+                if size > BATCH:
+                    yield _packed(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield _packed(rows, schema)
+
+    return code.select("key", "language", "code").mapInArrow(run, "key long, nth int, type string, description string, mutant string")
+
 
-    return code.select("key", "language", "code").mapInPandas(run, "key long, nth int, type string, description string, mutant string")
+def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def static_coverage(golden: DataFrame, benches: DataFrame) -> DataFrame:
     """golden (seed, code) and benches (seed, code): executable lines and those that mention a tested signal.
 
-    Signals of a seed are few and stay an array beside its lines; nothing is cross-joined.
+    Signals of a seed are few and stay beside its lines; an index of them reads each line once.
     """
     lines = golden.select("seed", F.posexplode(F.split("code", "\n")).alias("n", "line")).where(T.executable(F.col("line")))
-    signals = benches.groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list(T.tested_signals(F.col("code"))))).alias("signals"))
-    rows = lines.join(signals, "seed", "left")
-    hit = F.coalesce(F.exists("signals", lambda s: F.col("line").contains(s)), F.lit(False))
-    return rows.withColumn("hit", hit).groupBy("seed").agg(F.count(F.lit(1)).alias("lines_total"), F.count_if("hit").alias("lines_covered"))
+    signals = benches.groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list(T.tested_signals(F.col("code"))))).alias("patterns"))
+    rows = with_hits(lines, signals, "seed")
+    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("lines_total"), F.count_if("hit").alias("lines_covered"))

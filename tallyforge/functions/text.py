@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -188,7 +190,7 @@ def checked_requirements(reply: Column, kind: str = "contradictions") -> Column:
     text = F.coalesce(reply, F.lit(""))
     read = F.from_json(_json_of(text, rf'(?s)\{{.*"{flag}".*\}}'), f"{flag} boolean, {kind} array<map<string, string>>, suggestions array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     good = F.coalesce(read["_bad"].isNull() & read.isNotNull(), F.lit(False))
-    none = lambda c, kind: F.when(good, c).otherwise(F.array().cast(kind))
+    none = lambda c, kind: F.when(good & c.isNotNull(), c).otherwise(F.array().cast(kind))
     return F.struct(
         (good & F.coalesce(read[flag], F.lit(False))).alias("found"),
         none(read[kind], "array<map<string, string>>").alias("items"),
@@ -403,3 +405,26 @@ def relevant_code(code: Column, most: int = 20) -> Column:
     kept = F.aggregate(F.split(code, "\n"), start, step, lambda s: s["kept"])
     cut = F.concat(F.array_join(F.slice(kept, 1, most), "\n"), F.lit("\n... (truncated)"))
     return F.when(F.size(kept) > most, cut).when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(F.concat(F.substring(code, 1, 500), F.lit("...")))
+
+
+def change_list(old: Column, new: Column, fields: Sequence[str], lists: Sequence[str]) -> Column:
+    """What differs between two versions of a problem, one text for each difference: ``field: old -> new``, and for lists
+    ``field[i]`` (from 0) with the items at each position, ``(none)`` where one is missing."""
+    shown = lambda c: F.coalesce(c, F.lit("(none)"))
+    arrow = lambda name, a, b: F.concat(name, F.lit(": "), shown(a), F.lit(" -> "), shown(b))
+    single = [F.when(~old[f].eqNullSafe(new[f]), arrow(F.lit(f), old[f], new[f])) for f in fields]
+    out = F.array_compact(F.array(*single)) if single else F.array().cast("array<string>")
+    for f in lists:
+        pairs = F.arrays_zip(F.coalesce(old[f], F.array()).alias("o"), F.coalesce(new[f], F.array()).alias("n"))
+        place = lambda i: F.concat(F.lit(f"{f}["), i.cast("string"), F.lit("]"))  # noqa: B023, E731
+        each = F.transform(pairs, lambda p, i: F.when(~p["o"].eqNullSafe(p["n"]), arrow(place(i), p["o"], p["n"])))  # noqa: B023
+        out = F.concat(out, F.array_compact(each))
+    return out
+
+
+def inferred_language(kind: Column, content: Column) -> Column:
+    """The language that the first message of a chat tells: only a system message does; null where it names none."""
+    system = F.coalesce(kind == "SystemMessage", F.lit(False))
+    text = F.coalesce(content, F.lit(""))
+    verilog = text.contains("Verilog") | text.contains("verilog")
+    return F.when(system & verilog, "verilog").when(system & (text.contains("C programming") | text.contains("```c")), "c")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import code_hash, normalize_code
+from tallyforge.sources.folders import written
 
 
 def hashed(code: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def groups(hashes: DataFrame, scope: str = "uuid") -> DataFrame:
 
 
 def representatives(hashes: DataFrame, scope: str = "uuid") -> DataFrame:
-    """Every run with the run that stands for it."""
+    """Every run with the run that stands for it. The hashes are written first, so that no code is normalised twice."""
+    hashes = written(hashes)
     keys = ["code_hash"] if scope == "global" else ["uuid", "code_hash"]
     return hashes.join(groups(hashes, scope).drop("size"), keys).select("uuid", "run_index", "rep_uuid", "rep_run_index")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.selection import nth_value
+
 
 def per_mutant(runs: DataFrame) -> DataFrame:
     """A mutant is detected if any test bench detects it."""
@@ -48,30 +50,17 @@ def breakdown(gated: DataFrame) -> DataFrame:
     )
 
 
-#: Relative rank error of the bounds around the median.
-MEDIAN_ACCURACY = 10_000
-
-
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """mean, min, max and upper median (element n div 2 of the ordered values); zeros for none.
 
-    A sketch bounds the median by ranks that are a thousandth of the rows apart at most; only the distinct values between
-    them are ordered, so that neither outliers nor skewed values gather others in one task.
+    The median is selected (operators/selection.py) by aggregations that run while the plan is made.
     """
-    from pyspark.sql import Window as W
-
     values = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    near = F.percentile_approx("v", F.array(F.lit(0.5 - 4 / MEDIAN_ACCURACY), F.lit(0.5 + 4 / MEDIAN_ACCURACY)), F.lit(MEDIAN_ACCURACY))
-    all_ = values.agg(F.sum("v").alias("sum"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("all"), near.alias("near"))
-    placed = values.crossJoin(F.broadcast(all_.select("all", "near")))  # all_ has one row
-    # The least element takes part, so that what lies below the bounds is counted with it.
-    counts = placed.where(F.col("v") <= F.col("near")[1]).groupBy(F.greatest("v", F.col("near")[0]).alias("v"), "all").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("v")))
-    median = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias("median"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return all_.crossJoin(F.broadcast(median)).select(
-        zero(F.try_divide(F.col("sum"), F.col("all").cast("double"))).alias("mean"), zero(F.col("lo")).alias("least"), zero(F.col("hi")).alias("most"), zero(F.col("median")).alias("median")
-    )
+    all_ = values.agg(zero(F.avg("v")).alias("mean"), zero(F.min("v")).alias("least"), zero(F.max("v")).alias("most"), F.count(F.lit(1)).alias("n"))
+    n = all_.first()["n"]
+    median = nth_value(values, "v", n // 2, n) if n else 0.0
+    return all_.select("mean", "least", "most", F.lit(float(median)).alias("median"))
 
 
 def coverage_union(lines: DataFrame) -> DataFrame:

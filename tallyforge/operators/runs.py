@@ -27,6 +27,11 @@ def partial_update(base: DataFrame, updates: DataFrame, key: str, seq: str, colu
     return base.join(merged, key, "left").select(*kept, *(F.coalesce(f"__{c}", c).alias(c) for c in columns))
 
 
+def with_end_time(updates: DataFrame, status: str = "status", at: str = "at") -> DataFrame:
+    """updates with ``end_time``: the time of those that end a run, null for the others, so that an update keeps the last."""
+    return updates.withColumn("end_time", F.when(F.col(status).isin("completed", "failed"), F.col(at)))
+
+
 def valid_runs(runs: DataFrame) -> DataFrame:
     """Runs that ended and iterated at least once."""
     return runs.where("end_time IS NOT NULL AND end_time <> '' AND total_iterations > 0")
@@ -127,3 +132,8 @@ def completed_seeds(runs: DataFrame, k: int) -> DataFrame:
 def expand_runs(cases: DataFrame, k: int) -> DataFrame:
     """Every case k times, run_index 0 to k - 1."""
     return cases.withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+
+def initial_summary(cases: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """The result document before any run: how many cases are planned, no runs, and every metric 0."""
+    return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n_planned"), F.lit(0).cast("long").alias("n_runs"), *(F.lit(0.0).alias(m) for m in metrics))

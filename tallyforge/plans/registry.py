@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import mutants as M
 from tallyforge.functions import text as T
-from tallyforge.operators import dedup, history, loop, quality, runs, seeds
+from tallyforge.operators import dedup, history, loop, matching, quality, runs, scan, seeds
 from tallyforge.plans import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,9 +92,12 @@ def _(spark, d):
     return runs.run_summary(with_first_rates(_valid(spark, d)))
 
 
-@query("initial_summary", _VALID, f"{_RUN_SUMMARY} FROM {_WITH_FIRST} WHERE false")
+_METRICS = ("first_functional", "first_security", "final_functional", "final_security")
+
+
+@query("initial_summary", "seeds", f"""SELECT language, count(*) AS n_planned, 0::BIGINT AS n_runs, {", ".join(f"0.0::DOUBLE AS avg_{m}" for m in _METRICS)} FROM seeds GROUP BY language""")
 def _(spark, d):
-    return runs.run_summary(with_first_rates(_valid(spark, d)).where(F.lit(False)))
+    return runs.initial_summary(B.seeds(spark, d), ["language"], [f"avg_{m}" for m in _METRICS])
 
 
 @query("run_upsert", "run_log runs", "SELECT uuid, run_index, f_rate, s_rate, n_req, total_iterations, end_time, success FROM runs")
@@ -302,9 +305,9 @@ def _(spark, d):
   WHERE len(list_filter(s.signals, lambda x: length(x) >= 6 AND contains(l.line, x))) > 0""")
 def _(spark, d):
     lines = B.lines(spark, d)
-    signals = lines.where("n = 1").select("doc_id", F.split(F.lower("line"), " ").alias("signals"))
-    hit = F.exists("signals", lambda s: (F.length(s) >= 6) & F.col("line").contains(s))
-    return lines.join(signals, "doc_id").where(hit).select("doc_id", "n")
+    long = F.filter(F.split(F.lower("line"), " "), lambda x: F.length(x) >= 6)
+    signals = lines.where("n = 1").select("doc_id", long.alias("patterns"))
+    return matching.with_hits(lines, signals, "doc_id").where("hit").select("doc_id", "n")
 
 
 # Dedup of code
@@ -515,11 +518,10 @@ def _(spark, d):
 
 @query("problem_diff", "attempts", """SELECT req, seq, verdict IS DISTINCT FROM prev AS changed, props IS DISTINCT FROM prev_props AS props_changed FROM (SELECT *, lag(verdict) OVER w AS prev, lag(props) OVER w AS prev_props FROM attempts WINDOW w AS (PARTITION BY req ORDER BY ts, seq))""")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("req").orderBy("ts", "seq")
-    changed = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(by))
-    return B.attempts(spark, d).select("req", "seq", changed("verdict").alias("changed"), changed("props").alias("props_changed"))
+    before = {f"{c}_before": scan.Fold("tail", F.col(c), 1, before=True) for c in ("verdict", "props")}
+    rows = scan.scanned(B.attempts(spark, d).select("req", "ts", "seq", "verdict", "props"), ["req"], ["ts", "seq"], before)
+    changed = lambda c: ~F.col(c).eqNullSafe(F.get(f"{c}_before", F.lit(0)))
+    return rows.select("req", "seq", changed("verdict").alias("changed"), changed("props").alias("props_changed"))
 
 
 @query("requirement_changes", "lines", """SELECT doc_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS spots FROM (SELECT doc_id, i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS o, string_split(replace(coalesce(text, ''), 'ing', 'ed'), chr(10)) AS n FROM documents), unnest(range(1, greatest(len(o), len(n)) + 1)) u(i)
@@ -701,11 +703,18 @@ def _(spark, d):
     return M.mutated(rows)
 
 
-@query("static_coverage")
+_CODE_SQL = _CODE.replace("\n  WHEN 1", " WHEN 1").replace("\\'", "''").replace("\n", "' || chr(10) || '").replace("concat_ws('' || chr(10) || '', text,", "concat_ws(chr(10), text,")
+_BENCH = "initial begin a = 1; if (y) $finish; end"
+
+
+@query("static_coverage", "", rf"""WITH s AS (SELECT list_distinct(list_concat(regexp_extract_all('{_BENCH}', '(\w+)\s*[<]?=', 1), regexp_extract_all('{_BENCH}', 'if\s*\([^)]*(\w+)', 1))) AS signals),
+l AS (SELECT doc_id AS seed, unnest(string_split({_CODE_SQL}, chr(10))) AS line FROM documents),
+e AS (SELECT seed, line FROM (SELECT seed, line, trim(line, E' \t\n\r\x0b\x0c') AS bare FROM l) WHERE bare <> '' AND NOT regexp_matches(bare, '^(//|/\*|module|endmodule|input|output|reg|wire)') AND regexp_matches(bare, '=|if|else|case'))
+SELECT seed, count(*) AS lines_total, count(*) FILTER (len(list_filter(signals, lambda x: contains(line, x))) > 0) AS lines_covered FROM e, s GROUP BY seed""")
 def _(spark, d):
     docs = B.table(spark, d, "documents")
     golden = docs.select(F.col("doc_id").alias("seed"), F.expr(_CODE).alias("code"))
-    benches = docs.select(F.col("doc_id").alias("seed"), F.lit("initial begin a = 1; if (y) $finish; end").alias("code"))
+    benches = docs.select(F.col("doc_id").alias("seed"), F.lit(_BENCH).alias("code"))
     return M.static_coverage(golden, benches)
 
 
@@ -716,4 +725,4 @@ def _(spark, d):
     return incremental.realtime_summary(spark, f"{d}/lineitem.parquet", K)
 
 
-from tallyforge.plans import reports, texts  # noqa: E402, F401  register their queries
+from tallyforge.plans import loops, reports, texts  # noqa: E402, F401  register their queries
