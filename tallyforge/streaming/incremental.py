@@ -22,6 +22,17 @@ from tallyforge.sources.folders import shared_folder
 COMPACT = 16
 
 
+def whole_tables(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Numbers of the batches whose table ``kind-n`` in the folder is whole, in order."""
+    of = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    system = of("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(of("")):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(of(""))]
+    numbers = sorted(int(n.rpartition("-")[2]) for n in names if n.startswith(f"{kind}-"))
+    return [n for n in numbers if system.exists(of(f"{kind}-{n}/_SUCCESS"))]
+
+
 class LatestRuns:
     """Keyed state over micro-batches, below a folder that a restarted stream gives again."""
 
@@ -33,13 +44,7 @@ class LatestRuns:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _written(self, kind: str) -> list[int]:
-        """Numbers of the batches whose table of this kind is whole."""
-        path, system = self._path("")
-        if not system.exists(path):
-            return []
-        names = [x.getPath().getName() for x in system.listStatus(path)]
-        numbers = sorted(int(n.rpartition("-")[2]) for n in names if n.startswith(f"{kind}-"))
-        return [n for n in numbers if system.exists(self._path(f"{kind}-{n}/_SUCCESS")[0])]
+        return whole_tables(self.spark, self.folder, kind)
 
     def _drop(self, name: str) -> None:
         path, system = self._path(name)
