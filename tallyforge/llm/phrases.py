@@ -2,8 +2,9 @@
 
 Words are split at white space, pieces at punctuation and line ends. Mining follows PrefixSpan for contiguous patterns:
 
-1. Words are counted by 40-bit hashes, then pairs whose words reach the support, then triples whose pairs do; those that
-   reach it are marked in a bitmap of fixed size. A collision or a full bitmap lets more through and never loses a phrase.
+1. Words are counted by 40-bit hashes, then pairs whose words reach the support, triples whose pairs do and fours whose
+   triples do; those that reach it are marked in a bitmap of fixed size. A collision or a full bitmap lets more through and
+   never loses a phrase.
 2. Every occurrence of a word of a frequent pair is projected to a pointer: the word and the up to three words behind it,
    as far as the bitmaps let the pattern grow. Equal pointers are summed where they are read and again by the shuffle.
 3. The pointers are dealt by ranges of (lang, word, word, ...), so that a task owns a run of prefixes and a hot prefix is
@@ -124,8 +125,8 @@ def _pointers(marks: list, used):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(m.value, np.uint8) for m in marks]
         for words, langs in _runs(batches):
-            # Where a pattern of k words may be frequent; the longest ones by what they hold.
-            may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(_patterns_of(words, bits))]
+            # Where the pattern of k words from a word on may be frequent.
+            may = [m & _marked(b, h) for b, (h, m) in zip(bits, _patterns_of(words, bits), strict=False)]
             known = np.flatnonzero(may[0] & _marked(np.frombuffer(used.value, np.uint8), words.hashes))
             if not len(known):
                 continue
@@ -227,11 +228,12 @@ def frequent(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang:
     counts = rows.mapInArrow(tidy(_word_counts), kind).groupBy("lang", "h").agg(F.sum("n").alias("n"))
     counts = written(counts.where(F.col("lang").isNotNull() | (F.col("n") >= support)), folder, "words")
     marks = [_bitmap(counts.where("lang is null"))]
-    while len(marks) < LONGEST - 1:
+    used = None
+    while len(marks) < LONGEST:
         longer = rows.mapInArrow(_pattern_counts(list(marks)), kind).groupBy("lang", "h").agg(F.sum("n").alias("n"))
         longer = written(longer.where((F.col("n") >= support) | F.col("lang").isNotNull()), folder, f"patterns-{len(marks) + 1}")
+        used = _bitmap(longer.where("lang is not null")) if len(marks) == 2 else used
         marks.append(_bitmap(longer.where("lang is null")))
-    used = _bitmap(longer.where("lang is not null"))
     columns = ["lang", *COLUMNS]
     kind = ", ".join(f"{c} string" for c in columns)
     pointers = rows.mapInArrow(_pointers(marks, used), f"{kind}, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
