@@ -5,12 +5,18 @@ All take paths that Spark can read and give lazy DataFrames; no file is opened b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import req_index_of_file
 from tallyforge.sources import schemas
 
+#: Characters that end a line.
+_LINE_ENDS = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for a whole-file JSON object (rows for an array); columns that are missing are null."""
@@ -93,14 +99,49 @@ def test_files(cases: DataFrame) -> DataFrame:
     return out
 
 
+def _where(spark: SparkSession, path: str) -> str | None:
+    """The full address of a file as Spark's readers give it; null where there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(place).getPath().toString() if system.exists(place) and system.getFileStatus(place).isFile() else None
+
+
+def named_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, exists, bytes, lines, content), a row for each of the paths; a missing file has nulls and is warned about.
+
+    Only what the driver is asked for by name is looked up there; the files are read by Spark.
+    """
+    found = {p: _where(spark, p) for p in dict.fromkeys(paths)}
+    for path, at in found.items():
+        if at is None:
+            warnings.warn(f"no such file: {path}", stacklevel=2)
+    asked = spark.createDataFrame(list(found.items()), "path string, __at string")
+    there = [at for at in found.values() if at]
+    read = spark.read.format("binaryFile").load(there) if there else spark.createDataFrame([], "path string, length long, content binary")
+    rows = read.select(F.col("path").alias("__at"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
+    rows = rows.select("__at", "bytes", "content", _line_count(F.col("content")).alias("lines"))
+    return asked.join(rows, "__at", "left").select("path", F.col("__at").isNotNull().alias("exists"), "bytes", "lines", "content")
+
+
+def code_of(spark: SparkSession, path: str) -> DataFrame:
+    """(path, code) of one code file, which must be there."""
+    if _where(spark, path) is None:
+        raise FileNotFoundError(path)
+    return named_files(spark, [path]).select("path", F.col("content").alias("code"))
+
+
+def _line_count(content: Column) -> Column:
+    """Lines by any of the line ends; one at the end of the text begins no further line."""
+    lines = F.size(F.split(F.regexp_replace(content, rf"\r\n|{_LINE_ENDS}", "\n"), "\n"))
+    return F.when(content == "", 0).otherwise(lines - F.when(content.rlike(rf"{_LINE_ENDS}\z"), 1).otherwise(0))
+
+
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(folder, file, content, bytes, lines) of text files below a path; Spark lists no files without content."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     content = F.decode("content", "UTF-8")
-    lines = F.size(F.split(F.regexp_replace(content, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n"), "\n"))
-    ended = F.when(content == "", 0).otherwise(lines - F.when(content.rlike(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]\z"), 1).otherwise(0))
-    return rows.select(F.element_at(F.split("path", "/"), -2).alias("folder"), name.alias("file"), content.alias("content"), F.col("length").alias("bytes"), ended.alias("lines"))
+    return rows.select(F.element_at(F.split("path", "/"), -2).alias("folder"), name.alias("file"), content.alias("content"), F.col("length").alias("bytes"), _line_count(content).alias("lines"))
 
 
 def bench_files(spark: SparkSession, path: str) -> DataFrame:

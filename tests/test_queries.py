@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, sf_dir, oracle, name):
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"mutants", "static_coverage"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"mutants"}
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 

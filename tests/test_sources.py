@@ -79,3 +79,19 @@ def test_results_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/code").where("cwe_id = 'c1'").first().code == "int x;"
     sinks.append_seeds(spark.createDataFrame([("u", None)], "uuid string, status string"), f"{tmp_path}/seeds")
     assert spark.read.parquet(f"{tmp_path}/seeds").first().status == "in_progress"
+
+
+def test_named_files_tell_what_is_missing(spark, tmp_path):
+    (tmp_path / "a.c").write_text("int é;\r\nx\n", encoding="utf-8")
+    (tmp_path / "b.v").write_text("")
+    paths = [str(tmp_path / n) for n in ("a.c", "b.v", "gone.c", "a.c")] + [str(tmp_path)]
+    with pytest.warns(UserWarning, match="no such file") as told:
+        got = {r["path"]: tuple(r)[1:] for r in documents.named_files(spark, paths).collect()}
+    assert {str(w.message).split()[-1] for w in told if w.category is UserWarning} == {paths[2], paths[4]} and len(got) == 4
+    assert got[paths[0]] == (True, 11, 2, "int é;\r\nx\n") and got[paths[1]] == (True, 0, 0, "")
+    assert got[paths[2]] == got[paths[4]] == (False, None, None, None)
+    assert documents.code_of(spark, paths[0]).first()["code"].startswith("int")
+    with pytest.raises(FileNotFoundError):
+        documents.code_of(spark, paths[2])
+    with pytest.warns(UserWarning):
+        assert documents.named_files(spark, [paths[2]]).count() == 1
