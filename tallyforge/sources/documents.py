@@ -116,11 +116,14 @@ def named_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         if at is None:
             warnings.warn(f"no such file: {path}", stacklevel=2)
     asked = spark.createDataFrame(list(found.items()), "path string, __at string")
-    there = [at for at in found.values() if at]
-    read = spark.read.format("binaryFile").load(there) if there else spark.createDataFrame([], "path string, length long, content binary")
+    at_all = [at for at in found.values() if at]
+    read = spark.read.format("binaryFile").load(at_all) if at_all else spark.createDataFrame([], "path string, length long, content binary")
     rows = read.select(F.col("path").alias("__at"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("content"))
     rows = rows.select("__at", "bytes", "content", _line_count(F.col("content")).alias("lines"))
-    return asked.join(rows, "__at", "left").select("path", F.col("__at").isNotNull().alias("exists"), "bytes", "lines", "content")
+    # Spark reads no row of a file without content.
+    there = F.col("__at").isNotNull()
+    known = lambda c, empty: F.when(there, F.coalesce(F.col(c), F.lit(empty))).alias(c)
+    return asked.join(rows, "__at", "left").select("path", there.alias("exists"), known("bytes", 0), known("lines", 0), known("content", ""))
 
 
 def code_of(spark: SparkSession, path: str) -> DataFrame:
