@@ -41,7 +41,6 @@ class SeedRuns(StatefulProcessor):
         self.names = [c.split()[0] for c in (*self.sequence, *RUN)]
         self.handle = handle
         self.runs = handle.getMapState("runs", "known boolean, run_index int", columns)
-        self.complete = handle.getValueState("complete", "complete boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Each run is read and written once for a batch, however often it was delivered.
@@ -52,7 +51,7 @@ class SeedRuns(StatefulProcessor):
             if run not in latest or self._order(new) > self._order(latest[run]):
                 latest[run] = new
         held = {tuple(k): tuple(v) for k, v in self.runs.iterator()}
-        before = self._share(held)
+        before, was_complete = self._share(held), self._complete(held)
         for run, new in latest.items():
             if run not in held or self._order(new) > self._order(held[run]):
                 held[run] = new
@@ -62,10 +61,8 @@ class SeedRuns(StatefulProcessor):
             for sign, share in ((-1, before), (1, after)):
                 if share:
                     yield _EVENT(key[0], "share", sign, *share)
-        complete = self.complete.exists()
-        if not complete and len({n for known, n in held if known}) >= self.k and any(not n for _, n in held):
-            self.complete.update((True,))
-            complete = True
+        complete = self._complete(held)
+        if complete and not was_complete:
             yield _EVENT(key[0], "completed", 0, *(after or [0.0] * len(SHARE)))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
@@ -80,6 +77,10 @@ class SeedRuns(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _complete(self, held: dict[tuple, tuple]) -> bool:
+        """runs.completed_seeds of one seed. Runs are never taken back, so it stays complete."""
+        return len({n for known, n in held if known}) >= self.k and any(not n for _, n in held)
+
     def _order(self, run: tuple) -> tuple:
         """Nulls come first, as in Spark."""
         return tuple((v is not None, v) for v in run[: len(self.sequence)])
