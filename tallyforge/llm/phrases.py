@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table, tidy, work_dir, written
-from tallyforge.llm.words import Words, after, mixed, runs
+from tallyforge.llm.words import RUN, Words, after, mixed, runs
 
 #: Code points that end a piece, and those that end a word; all are single bytes of UTF-8.
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -39,6 +39,8 @@ SCALE = 2_000_000
 LOG_BITS = 27
 #: Bits of a hash that patterns are counted by. Two that share them are counted together and may both be let through.
 _KEPT = np.uint64(-(1 << 24) % (1 << 64))
+#: Bytes of text whose pointers are summed together. The shuffle sums again, so that more gains little and takes memory.
+POINTED = 1 << 20
 #: Rows of a run of sorted pointers.
 ROWS = 200_000
 
@@ -66,12 +68,12 @@ def _lang_seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
+def _runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[tuple[Words, list[str]]]:
     """The words of consecutive texts, with the texts' languages."""
     for batch in batches:
         langs = batch.column(0).to_pylist()
         known = {lang: _lang_seed(lang) for lang in set(langs)}
-        for words, at, stop in runs(batch.column(1), _KIND, np.array([known[x] for x in langs], np.uint64)):
+        for words, at, stop in runs(batch.column(1), _KIND, np.array([known[x] for x in langs], np.uint64), size):
             yield words, langs[at:stop]
 
 
@@ -123,7 +125,7 @@ def _pointers(marks: list, used):
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(m.value, np.uint8) for m in marks]
-        for words, langs in _runs(batches):
+        for words, langs in _runs(batches, POINTED):
             # Where a pattern of k words may be frequent; the longest ones by what they hold.
             may = [m & (_marked(bits[k], h) if k < len(bits) else True) for k, (h, m) in enumerate(_patterns_of(words, bits))]
             known = np.flatnonzero(may[0] & _marked(np.frombuffer(used.value, np.uint8), words.hashes))

@@ -91,8 +91,8 @@ def after(values: np.ndarray, k: int, fill) -> np.ndarray:
     return out
 
 
-def runs(texts: pa.Array, kinds: np.ndarray, seeds: np.ndarray | None = None) -> Iterator[tuple[Words, int, int]]:
-    """The words of consecutive texts of RUN bytes, or of one text if that is longer, with the numbers of the texts."""
+def runs(texts: pa.Array, kinds: np.ndarray, seeds: np.ndarray | None = None, size: int = RUN) -> Iterator[tuple[Words, int, int]]:
+    """The words of consecutive texts of ``size`` bytes, or of one text if that is longer, with the numbers of the texts."""
     texts = texts.cast(pa.large_string())
     if not len(texts):
         return
@@ -102,7 +102,7 @@ def runs(texts: pa.Array, kinds: np.ndarray, seeds: np.ndarray | None = None) ->
     seeds = np.zeros(len(texts), np.uint64) if seeds is None else seeds
     at = 0
     while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, "right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         own = offsets[at : stop + 1]
         yield Words(data[own[0] : own[-1]], own - own[0], seeds[at:stop], kinds), at, stop
         at = stop
