@@ -67,8 +67,11 @@ def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return later.groupBy("__l_id", "__l_mark").agg(F.collect_set("at").alias("__l_later"))
 
 
-def with_removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the cleaned text in its column, and __l_removed, the number of lines removed."""
+def with_removals(docs: DataFrame, key: str = "doc_id", text: str = "text", before: str | None = None) -> DataFrame:
+    """docs with the cleaned text in its column, and __l_removed, the number of lines removed.
+
+    ``before`` names a column for the text as it was of rows that have lost lines, null for others.
+    """
     later = later_windows(docs, key, text)
     rows = _with_windows(docs, key, text).drop("__l_windows").join(later.hint("merge"), ["__l_id", "__l_mark"], "left")
     hit = F.array_union(F.coalesce("__l_later", F.array().cast("array<int>")), F.coalesce("__l_repeats", F.array().cast("array<int>")))
@@ -82,17 +85,21 @@ def with_removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     gone = F.transform("__l_covered", lambda c: F.get(F.col("__l_full"), c))
     rows = rows.select("*", F.array_except(F.sequence(F.lit(0), F.size("__l_parts") - 1), gone).alias("__l_stay"))
     cleaned = F.array_join(F.transform("__l_stay", lambda i: F.get(F.col("__l_parts"), i)), "\n")
-    own = [F.when(some, cleaned).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    own = [F.when(some, cleaned).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != before]
+    own += [F.when(some, t).alias(before)] if before else []
     return rows.select(*own, computed_once(F.when(some, F.size("__l_covered")).otherwise(F.lit(0)).cast("long")).alias("__l_removed"))
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """docs without later occurrences; rows of which no word is left go. n_chars, if there is one, follows the text."""
-    rows = with_removals(docs, key, text)
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", before: str | None = None) -> DataFrame:
+    """docs without later occurrences; rows of which no word is left go. n_chars, if there is one, follows the text.
+
+    ``before`` as for ``with_removals``.
+    """
+    rows = with_removals(docs, key, text, before)
     rows = rows.where((F.col("__l_removed") == 0) | (F.btrim(F.col(f"`{text}`"), F.lit(SPACES)) != "")).drop("__l_removed")
     if n_chars and n_chars in docs.columns:
         kind = docs.schema[n_chars].dataType
-        rows = rows.select(*(F.length(f"`{text}`").cast(kind).alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns))
+        rows = rows.select(*(F.length(f"`{text}`").cast(kind).alias(c) if c == n_chars else F.col(f"`{c}`") for c in rows.columns))
     return rows
 
 

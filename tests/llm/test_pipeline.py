@@ -65,3 +65,30 @@ def test_entry_lives_without_the_subpackage(tmp_path):
     root = importlib.import_module("tallyforge").__path__[0].rsplit("/", 1)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
     assert pieces.MODEL
+
+
+def test_stages_run_without_the_documents_table(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        # The folder has no documents table, as once the first stage has written its result.
+        stage(spark, docs, str(tmp_path / "tables")).write.parquet(str(tmp_path / f"stage-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage-{k}"))
+        if k in (0, 2, 3):
+            assert docs.columns == COLUMNS
+        if k == 1:
+            cut = docs.select(COLUMNS)
+        if k == 2:
+            want = corpus_pipeline.near_dedup(spark, cut, sf_dir)
+            assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, want.collect()))
+    assert docs.count() > 50
+
+
+def test_near_copies_are_found_by_the_texts_handed_on(spark, tmp_path):
+    lines = [" ".join(f"w{g}x{i}y{k}" for k in range(9)) for g in range(3) for i in range(24)]
+    text = lambda g, edits: "\n".join(f"edited line {g} {i} of the text has words of its own" if i in edits else lines[24 * g + i] for i in range(24))
+    rows = [(10 * g + k, text(g, edits), "en", "s1", 0) for g in range(3) for k, edits in enumerate(((), (5,), (0,)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    (_, line_dedup), (_, near_dedup) = corpus_pipeline.STAGES[1:3]
+    cut = line_dedup(spark, docs, str(tmp_path))
+    assert cut.where("text_before is not null").count() == 6
+    assert {r.doc_id for r in near_dedup(spark, cut, str(tmp_path)).collect()} == {0, 10, 20}
