@@ -118,3 +118,41 @@ def test_quiet_seeds_are_told_once(spark, folders):
         query.stop()
     assert sorted(events) == [(1, "quiet"), (2, "completed")]
     assert live.summary().select(F.col("total_seeds")).first()[0] == 2
+
+
+def test_runs_of_a_batch_are_counted_natively(spark, tmp_path, monkeypatch):
+    for own in deliveries(seed=5):
+        add(spark, tmp_path / "in", own)
+
+    def none(*_):
+        raise AssertionError("a call of Python for each seed")
+
+    monkeypatch.setattr(keyed, "seed_events", none)
+    live = keyed.Live(spark, str(tmp_path / "state"), K)
+    keyed.follow(stream_of(spark, tmp_path / "in"), live).awaitTermination()
+    assert live.summary().first()["total_seeds"] >= 5
+
+
+def test_events_equal_those_of_the_state_store(spark, tmp_path):
+    for own in deliveries(2, seed=6):
+        add(spark, tmp_path / "in", own)
+    found = {}
+    for name, idle in (("tables", None), ("store", 3600)):
+        live = keyed.Live(spark, str(tmp_path / name), K)
+        events = found[name] = []
+        keyed.follow(stream_of(spark, tmp_path / "in"), live, on_event=lambda e, n, to=events: to.extend((n, *r) for r in e.collect()), idle_seconds=idle).awaitTermination()
+        events += [tuple(live.totals().first())]
+    key = lambda r: (len(r), str(r))
+    assert len(found["tables"]) > 10 and sorted(found["tables"], key=key) == sorted(found["store"], key=key)
+
+
+def test_batches_that_come_again_around_a_compaction(spark, tmp_path):
+    live, rows = keyed.Live(spark, str(tmp_path / "state"), K, compact=2), []
+    for n, own in enumerate(deliveries(5, seed=9)):
+        batch = spark.createDataFrame(own, SCHEMA)
+        once, again = (sorted(map(str, live.add(live.arrived(batch, n), n).collect())) for _ in range(2))
+        assert once == again
+        rows += own
+        same(live.summary().first(), batch_summary(spark.createDataFrame(rows, SCHEMA)))
+    names = [x.name for x in (tmp_path / "state").iterdir()]
+    assert sum(n.startswith("all-") for n in names) == 1 and sum(n.startswith("runs-") for n in names) <= 3
