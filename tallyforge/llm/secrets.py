@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The text itself is layer 0. Every layer is scanned for the three kinds of secrets. Regions of a layer that are
-percent-encoded, escaped (Unicode escapes, character references), base64 or base64 of zlib, gzip, bzip2 or raw deflate
-data are decoded to new layers, which are put on the
+percent-encoded, escaped (Unicode escapes, character references) or base64 are decoded to new layers, and zlib, gzip,
+bzip2 or raw deflate data in decoded layers, also in inflated ones, are inflated to such; all are put on the
 worklist until no new layer appears; a layer whose content has been seen in the same text is not visited again, so
 cycles end. Each layer maps its characters to spans of the whole text; a hit in a deeper layer is reported as the span
 of the text that encodes it.
@@ -12,7 +12,7 @@ Base spans are those of layer 0. Hits of deeper layers are added to ``spans``, a
 
 Nulls and edge cases: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty
 table gives no rows. Compressed data are inflated in pieces of about ``PIECE`` characters, each a layer that repeats the
-last ``OVERLAP`` of the one before. A piece ends before any encoded region or secret that is open at its border, which the
+last ``OVERLAP`` of the one before. A piece ends before any encoded or packed region or secret that is open at its border, which the
 next one has whole, so that a small blob that inflates to a huge text is scanned whole in memory for a piece and its
 longest region. Layers lie as deep as they like; each step makes them shorter. Of an escape character that is escaped by
 itself in more than ``LEVELS`` levels (%252525...) the outer levels are unwrapped together, without layers between them.
@@ -110,10 +110,11 @@ class Layer:
     Both are arrays, worked out once from those of the layer around; so a layer costs no more the deeper it lies.
     """
 
-    __slots__ = ("text", "starts", "ends", "depth")
+    __slots__ = ("text", "starts", "ends", "depth", "searched")
 
-    def __init__(self, text: str, starts, ends, depth: int):
+    def __init__(self, text: str, starts, ends, depth: int, searched: bool = False):
         self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+        self.searched = searched  # whether compressed data have been looked for
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """The span of the whole text behind the characters start to end."""
@@ -213,6 +214,7 @@ class _Stream:
         self.raw, self.at = raw, at
         self.engine = (lambda: zlib.decompressobj(-15)) if bare else _Bunzip if raw.startswith(b"BZh", at) else lambda: zlib.decompressobj(47)
         self.whole = False  # once all is read: whether the data end by their checksum; ``at`` is behind them then
+        self.short = False  # and whether they go on behind the end of raw
 
     def texts(self) -> Iterator[str]:
         """The text in pieces; ends at the first error."""
@@ -237,21 +239,52 @@ class _Stream:
                 self.at, self.whole = member.start(1), False
                 engine, rest = zlib.decompressobj(47), b""
             elif not rest:
+                self.short = True
                 return
             else:
                 rest = engine.unconsumed_tail
 
 
+def _ended(stream: _Stream) -> _Stream:
+    """The stream, read to its end."""
+    for _ in stream.texts():
+        pass
+    return stream
+
+
 def _is_deflated(raw: bytes) -> bool:
     """Whether raw deflate data begin here and end by themselves; they have no mark that tells, so all is read."""
-    if raw[0] & 6 == 6:  # no such kind of block
+    if not raw or raw[0] & 6 == 6:  # no such kind of block
         return False
     stream, some = _Stream(raw, 0, True), False
     for text in stream.texts():
-        some = some or _may_hit(text)
+        some = some or _may_go_on(text)
     return stream.whole and some
 
 
+def _may_go_on(text: str) -> bool:
+    """Whether an inflated text can hold a hit at any depth; what is packed in it is looked into as a layer."""
+    if _may_hit(text):
+        return True
+    raw = text.encode("latin-1")
+    return bool(_PACKED.search(raw)) or bool(raw) and raw[0] & 6 != 6 and _ended(_Stream(raw, 0, True)).whole
+
+
+def _outside_packed(raw: bytes, cut: int, first: bool) -> int:
+    """The place of the cut, or the beginning of compressed data that it would part; raw deflate at the beginning of the
+    first piece only."""
+    parted = lambda stream: stream.short or stream.whole and stream.at > cut
+    if first and raw[0] & 6 != 6 and parted(_ended(_Stream(raw, 0, True))):
+        return 0
+    z = _PACKED.search(raw)
+    while z and z.start() < cut:
+        stream = _ended(_Stream(raw, z.start()))
+        if parted(stream):
+            return z.start()
+        z = _PACKED.search(raw, stream.at if stream.whole else z.start() + 1)
+    return cut
+
+
 def _closed(text: str) -> int:
     """The place in a text behind which a region or secret may be that goes on behind its end."""
     m = _OPEN_ASSIGN.search(text)
@@ -261,15 +294,16 @@ def _closed(text: str) -> int:
 
 def _inflated(stream: _Stream) -> Iterator[str]:
     """The text of a stream in pieces, each with the end of the one before."""
-    last, more, n = "", [], 0
+    last, more, n, first = "", [], 0, True
     for piece in stream.texts():
         more.append(piece)
         n += len(piece)
         if n >= max(PIECE, len(last)):
             text = "".join((last, *more))
-            cut = _closed(text)
+            cut = _outside_packed(text.encode("latin-1"), _closed(text), first)
             if cut > OVERLAP:
                 yield text[:cut]
+                first = False
             last, more, n = text[max(0, cut - OVERLAP) :], [], 0
     if last or more:
         yield "".join((last, *more))
@@ -364,7 +398,7 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
                 stream, at = _Stream(raw, z.start()), z.start() + 1
                 a, b = region.source(skip + z.start() * 4 // 3, skip + len(part))
                 for text in _inflated(stream):
-                    if _may_hit(text):
+                    if _may_go_on(text):
                         yield Layer(text, _Same(a, len(text)), _Same(b, len(text)), layer.depth + 1)
                 if stream.whole:
                     at = stream.at
@@ -373,14 +407,42 @@ def _unbase64(layer: Layer) -> Iterator[Layer]:
             if raw and _is_deflated(raw):
                 a, b = region.source(skip, skip + len(part))
                 for text in _inflated(_Stream(raw, 0, True)):
-                    if _may_hit(text):
+                    if _may_go_on(text):
                         yield Layer(text, _Same(a, len(text)), _Same(b, len(text)), layer.depth + 1)
             if not _may_hit(raw.decode("latin-1")):
                 continue
             for a, b in _runs(raw, [(x - skip) * 3 // 4 for x in region.at]):
                 text = raw[a:b].decode("latin-1")
                 if _may_hit(text):
-                    yield Layer(text, *region.sources(skip, a, b - a), layer.depth + 1)
+                    yield Layer(text, *region.sources(skip, a, b - a), layer.depth + 1, True)
+
+
+def _unpack(layer: Layer) -> Iterator[Layer]:
+    """The layers of compressed data in a decoded layer, whose characters are bytes; also in what was inflated before.
+
+    Raw deflate data have no mark; they are looked for where inflated bytes begin.
+    """
+    raw, n = layer.text.encode("latin-1", "replace"), len(layer.text)
+    inflated = isinstance(layer.starts, _Same)
+
+    def layers(stream: _Stream, end: int) -> Iterator[Layer]:
+        a, b = layer.source(stream.at, end)
+        for text in _inflated(stream):
+            if _may_go_on(text):
+                yield Layer(text, _Same(a, len(text)), _Same(b, len(text)), layer.depth + 1)
+
+    z = _PACKED.search(raw)
+    while z:
+        if inflated:
+            stream = _Stream(raw, z.start())
+            yield from layers(stream, n)
+        else:
+            # The span ends with the data.
+            stream = _ended(_Stream(raw, z.start()))
+            yield from layers(_Stream(raw, z.start()), stream.at if stream.whole else n)
+        z = _PACKED.search(raw, stream.at if stream.whole else z.start() + 1)
+    if inflated and _is_deflated(raw):
+        yield from layers(_Stream(raw, 0, True), n)
 
 
 def _inner(layer: Layer) -> list[partial[Layer | None] | Iterator[Layer]]:
@@ -392,7 +454,8 @@ def _inner(layer: Layer) -> list[partial[Layer | None] | Iterator[Layer]]:
         (_narrow, layer.depth and "\0" in text and _WIDE.search(text)),
     )
     near = _shortened(layer) if any(some for _, some in steps[:2]) else layer
-    return [*(partial(one, near) for one, some in steps if some), _unbase64(layer)]
+    packed = [_unpack(layer)] if layer.depth and not layer.searched else []
+    return [*(partial(one, near) for one, some in steps if some), *packed, _unbase64(layer)]
 
 
 def _mark(text: str, start: int, end: int) -> bytes:

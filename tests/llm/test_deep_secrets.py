@@ -1,5 +1,9 @@
 """op3 on deep layers: the time follows the input, and the spans are those of the source."""
 
+import zlib
+import random
+import gzip
+import bz2
 import base64
 import time
 
@@ -65,3 +69,19 @@ def test_short_and_long_chains_give_the_same_innermost_span(first, unit, last, l
     _, spans = secrets.scan(text)
     at = text.index(" x token")
     assert ("assign", 2, at) in spans and ("assign", at + 3, len(text)) in spans
+
+
+def test_packed_data_inside_of_packed_data(monkeypatch):
+    def deflated(raw):
+        engine = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return engine.compress(raw) + engine.flush()
+
+    monkeypatch.setattr(secrets, "PIECE", 1 << 14)
+    # Packed twice, the inner data are longer than a piece.
+    noise = random.Random(3).randbytes(40_000).translate(bytes(range(128)) * 2).replace(b"%", b" ").replace(b"&", b" ").replace(b"\\", b" ")
+    for body in (b"token=abcdefgh12345678", noise + b" token=abcdefgh12345678 " + noise):
+        for outer in (gzip.compress, zlib.compress, bz2.compress, deflated):
+            for inner in (gzip.compress, zlib.compress, bz2.compress, deflated):
+                blob = base64.b64encode(outer(inner(body))).decode()
+                spans = [s for s in secrets.scan(f"so {blob} on")[1] if s[0] == "assign"]
+                assert spans and all(3 <= a < b <= 3 + len(blob) for _, a, b in spans), (outer, inner, len(body))
