@@ -156,3 +156,11 @@ def test_batches_that_come_again_around_a_compaction(spark, tmp_path):
         same(live.summary().first(), batch_summary(spark.createDataFrame(rows, SCHEMA)))
     names = [x.name for x in (tmp_path / "state").iterdir()]
     assert sum(n.startswith("all-") for n in names) == 1 and sum(n.startswith("runs-") for n in names) <= 3
+
+
+def test_seeds_are_aggregated_by_hashing(spark, capsys):
+    run = "struct<f_rate:double,s_rate:double,n_req:bigint,total_iterations:int,end_time:string,success:boolean>"
+    for columns in (f"uuid long, run_index int, after {run}", f"uuid long, run_index int, before {run}, after {run}"):
+        keyed._events(spark.createDataFrame([], columns), K).explain()
+        plan = capsys.readouterr().out
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
