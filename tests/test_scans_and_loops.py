@@ -149,6 +149,28 @@ def test_fixpoint_equals_the_loop(spark, budget):
     assert found == plain_fixpoint([r for r in log if r[0]], budget) and len(found) == len(got)
 
 
+@pytest.mark.parametrize("whole", [0, 3, 10_000])
+def test_rounds_by_windows_and_by_tables_equal_the_loop(spark, monkeypatch, whole):
+    rng = random.Random(4)
+    # Repeated recordings, of which the largest counts, and verdicts around the known ones.
+    verdicts = ["problem_issue", "tb_issue", "code_issue", "a", "q", "unclear", None]
+    log = [(f"case-{rng.randrange(40)}", rng.choice("fs"), rng.randrange(4), rng.randrange(7), rng.choice([True, False, False, None]), rng.choice(verdicts), rng.choice([True, False, None])) for _ in range(4000)]
+    best = {}
+    for *test, passed, verdict, revised in log:
+        best[tuple(test)] = max(best.get(tuple(test), (False, False, "", False)), (bool(passed), verdict is not None, verdict or "", bool(revised)))
+    once = [(*test, passed, verdict if known else None, revised) for test, (passed, known, verdict, revised) in best.items()]
+    monkeypatch.setattr(fixpoint, "WHOLE", whole)
+    got = fixpoint.replayed(spark.createDataFrame(log, LOG), 5).collect()
+    found = {(r["case"], r["iteration"]): tuple(r)[2:] for r in got}
+    assert found == plain_fixpoint(once, 5) and len(found) == len(got)
+
+
+def test_all_rounds_take_one_shuffle(spark, capsys):
+    log = [("c", "s", r, a, False, "code_issue", False) for r in range(3) for a in range(5)]
+    fixpoint.replayed(spark.createDataFrame(log, LOG), 5).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
 def test_fixpoint_of_an_empty_log_and_no_budget(spark):
     assert fixpoint.replayed(spark.createDataFrame([], LOG)).count() == 0
     with pytest.raises(ValueError):
